@@ -38,37 +38,25 @@ def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None =
     return reader.schema(as_written).csv(path)
 
 
-def _stata_type(dtype: Any) -> T.DataType:
-    kind = getattr(dtype, "kind", "O")
-    if kind in "iu":
-        return T.LongType()
-    if kind == "f":
-        return T.DoubleType()
-    if kind == "b":
-        return T.BooleanType()
-    if kind == "M":
-        return T.TimestampNTZType()
-    return T.StringType()
+# Kinds of numpy types and the column types that hold them.
+STATA_KINDS = {"i": "bigint", "u": "bigint", "f": "double", "b": "boolean", "M": "timestamp_ntz"}
 
 
 def _stata_schema(spark: SparkSession, path: str) -> T.StructType:
-    """The schema of one file, found in a task from that file's first rows."""
+    """The schema of one file, found in a task from that file's first row."""
     one = spark.read.format("binaryFile").option("pathGlobFilter", "*.dta").load(path).limit(1)
 
     def header(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
-                reader = pd.read_stata(io.BytesIO(content), chunksize=1, convert_categoricals=False)
-                first = next(iter(reader))
-                fields = [T.StructField(str(c), _stata_type(t)) for c, t in first.dtypes.items()]
-                yield pd.DataFrame({"schema": [T.StructType(fields).json()]})
+                first = next(iter(pd.read_stata(io.BytesIO(content), chunksize=1, convert_categoricals=False)))
+                kinds = [getattr(t, "kind", "O") for t in first.dtypes]
+                yield pd.DataFrame({"name": [str(c) for c in first.columns], "kind": kinds})
 
-    import json
-
-    found = one.select("content").mapInPandas(header, "schema string").first()
-    if found is None:
+    found = one.select("content").mapInPandas(header, "name string, kind string").collect()
+    if not found:
         raise FileNotFoundError(f"no .dta file under '{path}'")
-    return T.StructType.fromJson(json.loads(found["schema"]))
+    return T.StructType([T.StructField(r["name"], T.DataType.fromDDL(STATA_KINDS.get(r["kind"], "string"))) for r in found])
 
 
 def read_stata(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
@@ -84,9 +72,10 @@ def read_stata(spark: SparkSession, path: str, schema: str | T.StructType | None
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
-                for part in pd.read_stata(io.BytesIO(content), chunksize=STATA_BATCH, convert_categoricals=False):
+                for part in pd.read_stata(io.BytesIO(content), chunksize=size, convert_categoricals=False):
                     yield part[names]
 
+    size = STATA_BATCH
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.dta").load(path)
     return files.select("content").mapInPandas(rows, schema)
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,73 +63,65 @@ def _field(field_: T.StructField) -> Column:
 # --- paged source ------------------------------------------------------------
 
 
-@dataclass(frozen=True)
-class Request:
-    """One request for a page."""
+Fetch = Callable[[dict[str, Any]], tuple[int, str]]
 
-    url: str
-    page: int
-    method: str = "GET"
-    headers: dict[str, str] = field(default_factory=dict)
-    params: dict[str, Any] = field(default_factory=dict)
-    body: dict[str, Any] | None = None
-    timeout: int = 30
-    verify_ssl: bool = True
 
-
-Fetch = Callable[[Request], tuple[int, str]]
-
-
-def http_fetch(request: Request) -> tuple[int, str]:
-    """Fetch over HTTP: the status and the text of the answer."""
+def http_fetch(request: dict[str, Any]) -> tuple[int, str]:
+    """Fetch one page over HTTP: the status and the text of the answer."""
     import requests
 
     answer = requests.request(
-        request.method,
-        request.url,
-        headers=request.headers,
-        params={**request.params, "page": request.page},
-        json=request.body or None,
-        timeout=request.timeout,
-        verify=request.verify_ssl,
+        request["method"],
+        request["url"],
+        headers=request["headers"],
+        params={**request["params"], "page": request["page"]},
+        json=request["body"] or None,
+        timeout=request["timeout"],
+        verify=request["verify_ssl"],
     )
     return answer.status_code, answer.text
 
 
-@dataclass
-class _Page(InputPartition):
-    page: int
-
-    def __init__(self, page: int) -> None:
-        super().__init__(page)
-        self.page = page
-
-
-class _PageReader(DataSourceReader):
-    def __init__(self, pages: int, request: dict[str, Any], fetch: Fetch) -> None:
-        self.pages, self.request, self.fetch = pages, request, fetch
-
-    def partitions(self) -> list[InputPartition]:
-        return [_Page(i) for i in range(self.pages)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple[int, str]]:
-        status, text = self.fetch(Request(page=partition.page, **self.request))
-        if not 200 <= status < 300:
-            raise RuntimeError(f"page {partition.page}: status {status}")
-        yield partition.page, text
-
-
-def paged_source(spark: SparkSession, url: str, pages: int, fetch: Fetch = http_fetch, **request: Any) -> DataFrame:
+def paged_source(
+    spark: SparkSession,
+    url: str,
+    pages: int,
+    fetch: Fetch = http_fetch,
+    method: str = "GET",
+    headers: dict[str, str] | None = None,
+    params: dict[str, Any] | None = None,
+    body: dict[str, Any] | None = None,
+    timeout: int = 30,
+    verify_ssl: bool = True,
+) -> DataFrame:
     """``(page, body)``, one task per page. A status other than 2xx is an error.
 
-    ``fetch`` runs in the tasks. :func:`json_records` takes the bodies apart.
+    ``fetch`` runs in the tasks and gets one request as a dict, with the number
+    of its ``page``. :func:`json_records` takes the bodies apart.
     """
     if not url:
         raise ValueError("paged_source: missing 'url'")
-    method = str(request.pop("method", "GET")).upper()
-    if method not in ("GET", "POST"):
+    if method.upper() not in ("GET", "POST"):
         raise ValueError("paged_source: method must be GET or POST")
-    settings = {"url": url, "method": method, **request}
+    request = {
+        "url": url,
+        "method": method.upper(),
+        "headers": headers or {},
+        "params": params or {},
+        "body": body,
+        "timeout": timeout,
+        "verify_ssl": verify_ssl,
+    }
+
+    class PageReader(DataSourceReader):
+        def partitions(self) -> list[InputPartition]:
+            return [InputPartition(i) for i in range(pages)]
+
+        def read(self, partition: InputPartition) -> Iterator[tuple[int, str]]:
+            status, text = fetch({**request, "page": partition.value})
+            if not 200 <= status < 300:
+                raise RuntimeError(f"page {partition.value}: status {status}")
+            yield partition.value, text
 
     class Pages(DataSource):
         @classmethod
@@ -141,7 +132,7 @@ def paged_source(spark: SparkSession, url: str, pages: int, fetch: Fetch = http_
             return "page int, body string"
 
         def reader(self, schema: T.StructType) -> DataSourceReader:
-            return _PageReader(pages, settings, fetch)
+            return PageReader()
 
     spark.dataSource.register(Pages)
     return spark.read.format("tablecraft_pages").load()
