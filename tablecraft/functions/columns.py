@@ -67,6 +67,17 @@ def any_of(conditions: Iterable[Column]) -> Column:
     return result
 
 
+def spread(df: DataFrame) -> Column:
+    """A last sort key for full sorts.
+
+    Rows that are equal in the sort column would all go to one partition; a
+    hash of the row lets the range partitioning split them. It follows from the
+    row alone, so a task that runs again sends each row where it went before.
+    """
+    hashable = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return F.xxhash64(*[col(c) for c in hashable])
+
+
 def require(df: DataFrame, names: Iterable[str], operator: str) -> None:
     for name in names:
         if name not in df.columns:

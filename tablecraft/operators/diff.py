@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import all_of, any_of, col, dtype_of, require
 from ..functions.ordering import row_numbers
+from ..session import settle
 from .filters import union_all
 
 _COPY = "_copy"
@@ -93,10 +94,11 @@ def _has_repeated_keys(df: DataFrame, keys: Sequence[str]) -> bool:
 def _with_copy_numbers(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Number the rows of one key by their values.
 
-    Rows that agree in all compared columns are interchangeable, so they are
-    first given numbers that tell them apart.
+    Rows that agree in all compared columns are interchangeable, but numbers
+    must tell them apart. These are written down first: made up again for a
+    lost task they could differ, and a row could be counted twice.
     """
-    listed = df.select(*[col(c) for c in [*keys, *values]]).withColumn("_tie", F.monotonically_increasing_id())
+    listed = settle(df.select(*[col(c) for c in [*keys, *values]]).withColumn("_tie", F.monotonically_increasing_id()), "copies")
     order = [col(c).asc_nulls_last() for c in values] + [F.col("_tie").asc()]
     return row_numbers(listed, keys, order, _COPY).drop("_tie")
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import all_of, any_of, col, dtype_of, is_missing, require
+from ..functions.columns import all_of, any_of, col, dtype_of, is_missing, require, spread
 
 
 def drop_nulls(df: DataFrame, columns: Sequence[str] = (), how: str = "any") -> DataFrame:
@@ -37,7 +37,7 @@ def filter_by_date(df: DataFrame, column: str, start: str) -> DataFrame:
     require(df, [column], "filter_by_date")
     dtype = dtype_of(df, column)
     bound = F.lit(start) if isinstance(dtype, T.StringType) else F.lit(start).cast(dtype)
-    return df.filter(col(column) >= bound).orderBy(col(column).asc_nulls_last())
+    return df.filter(col(column) >= bound).orderBy(col(column).asc_nulls_last(), spread(df))
 
 
 def as_date(df: DataFrame, column: str) -> Column:
@@ -72,7 +72,7 @@ def filter_code_length(df: DataFrame, code: str, value: str, length: int = 3) ->
     """Keep rows with a code of the given length and a value, largest value first."""
     require(df, [code, value], "filter_code_length")
     kept = df.filter(col(value).isNotNull() & (F.length(col(code)) == length))
-    return kept.orderBy(col(value).desc_nulls_last())
+    return kept.orderBy(col(value).desc_nulls_last(), spread(kept))
 
 
 def not_completed(nodes: DataFrame, completed: DataFrame, key: str) -> DataFrame:
@@ -82,7 +82,7 @@ def not_completed(nodes: DataFrame, completed: DataFrame, key: str) -> DataFrame
 
 def sort_desc(df: DataFrame, column: str) -> DataFrame:
     """Largest first, missing values last."""
-    return df.orderBy(col(column).desc_nulls_last())
+    return df.orderBy(col(column).desc_nulls_last(), spread(df))
 
 
 def sql_top_n(df: DataFrame, column: str, n: int = 100, tie_breakers: Sequence[str] = ()) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import FRACTIONAL, col, dtype_of, present, require, to_number
+from ..functions.columns import FRACTIONAL, col, dtype_of, present, require, spread, to_number
 
 # The dtype names a caller may use for each kind of column.
 INTEGER_NAMES = ("int", "integer", "int64", "bigint", "long")
@@ -279,7 +279,8 @@ def cast_sort_movers(
     typed |= {c: col(c).cast("bigint") for c in long}
     typed |= {c: col(c).cast("double") for c in double}
     typed[change] = F.round(col(change).cast("double"), 2)
-    return kept.withColumns(typed).orderBy(F.abs(col(change)).desc_nulls_last())
+    result = kept.withColumns(typed)
+    return result.orderBy(F.abs(col(change)).desc_nulls_last(), spread(result))
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def reachable(
     in the round before and keeps the new ones, so cycles end. Without
     ``inclusive`` a start node is left out unless an edge leads back to it.
     """
-    links = edges.select("src", "dst").filter(F.col("src").isNotNull() & F.col("dst").isNotNull())
+    links = settle(edges.select("src", "dst").filter(F.col("src").isNotNull() & F.col("dst").isNotNull()), "edges")
     first = starts.select(col(starts.columns[0]).alias("node")).distinct()
     frontier = settle(first, "frontier")
     found = [frontier.withColumn("depth", F.lit(0))] if inclusive else []

@@ -126,12 +126,15 @@ def lineage_closure(
     here, there = ("node_id", "output_column"), ("source_node_id", "source_column")
     if direction == "downstream":
         here, there = there, here
-    steps = lineage.filter(F.col("source_column").isNotNull()).select(
-        F.col(here[0]).alias("node_id"),
-        F.col(here[1]).alias("column"),
-        F.col(there[0]).alias("_node"),
-        F.col(there[1]).alias("_column"),
-        _rank(F.col("confidence")).alias("_step"),
+    steps = settle(
+        lineage.filter(F.col("source_column").isNotNull()).select(
+            F.col(here[0]).alias("node_id"),
+            F.col(here[1]).alias("column"),
+            F.col(there[0]).alias("_node"),
+            F.col(there[1]).alias("_column"),
+            _rank(F.col("confidence")).alias("_step"),
+        ),
+        "steps",
     )
     frontier = settle(
         starts.select("node_id", "column").distinct().withColumn("_sure", F.lit(1).cast("long")), "closure"

@@ -115,8 +115,10 @@ def trace_rows(
     JSON, how many paths lead there, and ``opaque`` where the walk ended
     because the way back is lost. Nodes that nothing is known about give no line.
     """
-    keyed = edges.select("node_id", F.col("output_row_id").alias("row_id"), "source_node_id", "source_row_id")
-    traced = settle(edges.select("node_id").distinct(), "traced")
+    keyed = settle(
+        edges.select("node_id", F.col("output_row_id").alias("row_id"), "source_node_id", "source_row_id"), "edges"
+    )
+    traced = settle(keyed.select("node_id").distinct(), "traced")
     walk = settle(
         starts.select(
             F.col("node_id").alias("start_node"),

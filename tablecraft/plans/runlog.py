@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import col, require
+from ..functions.columns import col, require, spread
 from ..operators.windows import last_state
 
 # How a session's status reads as the status of its last run.
@@ -140,7 +140,7 @@ def run_durations(
 ) -> DataFrame:
     """Seconds from start to finish, NULL while either is unknown; oldest start first."""
     unit = F.expr(f"timestampdiff(MICROSECOND, `{started}`, `{finished}`)")
-    return nodes.withColumn(out, unit / 1_000_000).orderBy(col(started).asc_nulls_last())
+    return nodes.withColumn(out, unit / 1_000_000).orderBy(col(started).asc_nulls_last(), spread(nodes))
 
 
 def register_run(runs: DataFrame, key: str, order_by: Sequence[str]) -> DataFrame:

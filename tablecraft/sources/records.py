@@ -32,25 +32,32 @@ def json_records(
 
     A list at the path gives a row per element and an object gives one row. A
     missing key is an error naming the key, and so is a plain value. A whole
-    number in the path picks a list element. Fields a record lacks are NULL.
+    number in the path picks a list element. Fields a record lacks are NULL,
+    and a NULL body has no records.
     """
     require(df, [body, *keep], "json_records")
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    value = F.parse_json(col(body))
-    for part in _segments(record_path):
-        step = f"$[{part}]" if part.isdigit() else f"$['{part}']"
-        inner = F.try_variant_get(value, step, "variant")
-        value = F.when(inner.isNotNull(), inner).otherwise(
-            F.raise_error(F.lit(f"json_records: key '{part}' not found")).cast("variant")
-        )
+    parsed, steps = F.parse_json(col(body)), _segments(record_path)
+    paths = ["$"]
+    for step in steps:
+        paths.append(paths[-1] + (f"[{step}]" if step.isdigit() else f"['{step}']"))
+    found = F.try_variant_get(parsed, paths[-1], "variant")
+    # Looked at only when nothing was found: the first key that is not there.
+    missing = F.coalesce(
+        *[F.when(F.try_variant_get(parsed, p, "variant").isNull(), F.lit(s)) for p, s in zip(paths[1:], steps)],
+        F.lit(""),
+    )
+    error = F.raise_error(F.concat(F.lit("json_records: key '"), missing, F.lit("' not found"))).cast("variant")
+    value = F.coalesce(found, error) if steps else parsed
     shape = F.schema_of_variant(F.col("_at"))
     checked = (
         F.when(F.startswith(shape, F.lit("ARRAY")), F.col("_at").cast("array<variant>"))
         .when(F.startswith(shape, F.lit("OBJECT")), F.array(F.col("_at")))
         .otherwise(F.raise_error(F.lit("json_records: expected a list or an object")).cast("array<variant>"))
     )
-    records = df.select(*[col(c) for c in keep], value.alias("_at")).select(
+    bodies = df.filter(col(body).isNotNull())
+    records = bodies.select(*[col(c) for c in keep], value.alias("_at")).select(
         *[col(c) for c in keep], F.explode(checked).alias("_record")
     )
     return records.select(*[col(c) for c in keep], *[_field(f) for f in schema.fields])

@@ -98,14 +98,15 @@ def push_jdbc(df: DataFrame, connection: Connection, table: str, mode: str = "re
     ready.write.format("jdbc").options(**settings).mode("overwrite" if mode == "replace" else "append").save()
 
 
-def write_stata(df: DataFrame, folder: str) -> DataFrame:
+def write_stata(df: DataFrame, folder: str, rows_per_file: int = 500_000) -> DataFrame:
     """One ``.dta`` part per partition in a folder all executors reach; returns ``(path, rows)``.
 
-    A part is written in batches of Arrow size, each to a file of its own, so no
-    task holds a partition. Names are fixed by partition and batch, and a task
-    that runs again writes the same files.
+    A partition is cut into files of about ``rows_per_file`` rows, so no task
+    holds more. Names are fixed by partition and file, and a task that runs
+    again writes the same files.
     """
     names = df.columns
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     times = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))]
     root = folder.removeprefix("file:")
 
@@ -116,12 +117,28 @@ def write_stata(df: DataFrame, folder: str) -> DataFrame:
 
         os.makedirs(root, exist_ok=True)
         part = TaskContext.get().partitionId()
-        for i, batch in enumerate(batches):
-            if not len(batch):
-                continue
-            path = f"{root}/part-{part:05d}-{i:05d}.dta"
-            batch[names].to_stata(path, write_index=False, convert_dates={c: "tc" for c in times}, version=118)
-            yield pd.DataFrame({"path": [path], "rows": [len(batch)]})
+
+        def to_file(held: list[pd.DataFrame], number: int) -> pd.DataFrame:
+            path = f"{root}/part-{part:05d}-{number:05d}.dta"
+            rows = pd.concat(held, ignore_index=True)[names]
+            rows[texts] = rows[texts].fillna("")
+            # A plain text column of this format holds 2045 bytes; longer ones are kept apart.
+            long = [c for c in texts if rows[c].str.len().max() * 4 > 2045]
+            rows.to_stata(
+                path, write_index=False, convert_dates={c: "tc" for c in times}, version=118, convert_strl=long
+            )
+            return pd.DataFrame({"path": [path], "rows": [len(rows)]})
+
+        held, count, number = [], 0, 0
+        for batch in batches:
+            if len(batch):
+                held.append(batch)
+                count += len(batch)
+            if count >= rows_per_file:
+                yield to_file(held, number)
+                held, count, number = [], 0, number + 1
+        if held:
+            yield to_file(held, number)
 
     return df.mapInPandas(write, "path string, rows bigint")
 

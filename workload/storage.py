@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tablecraft.plans.runlog import file_manifest
 from tablecraft.session import new_path, settle
 from tablecraft.sources import files, records, tables, writers
 
@@ -68,6 +69,35 @@ def _(spark, folder):
     return manifest.agg(F.sum("rows").alias("rows"))
 
 
+@query("paged_source", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def _(spark, folder):
+    events = table(spark, folder, "events")
+    pages = -(-events.count() // 2000)
+    path = new_path(spark, "pages")
+    row = F.concat(F.lit('{"event_id": '), F.col("event_id").cast("string"), F.lit(', "props": '), "props", F.lit("}"))
+    paged = events.select(row.alias("row"), F.pmod(F.xxhash64("event_id"), F.lit(pages)).alias("page"))
+    paged.repartition(pages, "page").write.partitionBy("page").text(path)
+
+    def fetch(request):
+        """Answer with the stored rows of a page, as an interface would."""
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(request["url"] if ":" in request["url"] else "file://" + request["url"])
+        files = store.get_file_info(fs.FileSelector(f"{root}/page={request['page']}", allow_not_found=True))
+        parts = [f.path for f in files if f.base_name.startswith("part-")]
+        rows = [line for p in parts for line in store.open_input_stream(p).read().decode().splitlines()]
+        return 200, '{"items": [' + ", ".join(rows) + "]}"
+
+    bodies = records.paged_source(spark, path, pages, fetch)
+    found = records.json_records(bodies, "body", "event_id bigint, props variant", "items")
+    return found.select("event_id", F.variant_get("props", "$.k", "bigint").alias("k"))
+
+
+@query("file_manifest")
+def _(spark, folder):
+    return file_manifest(spark, folder, "*.parquet")
+
+
 @query("read_table", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA'")
 def _(spark, folder):
     return tables.read_table(
