@@ -22,7 +22,7 @@ RUN = "_run"
 _STEP = "_step"
 
 
-def _runs(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+def ordered_runs(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """``df`` cut into ordered runs and written down, so run numbers are fixed."""
     spread = df.repartitionByRange(*[col(k).asc() for k in keys], *order)
     return settle(spread.withColumn(RUN, F.spark_partition_id()), "runs")
@@ -62,7 +62,7 @@ def running_totals(
     weighted = df
     for name, weight in totals.items():
         weighted = weighted.withColumn(f"_w_{name}", weight)
-    runs = _runs(weighted, keys, order)
+    runs = ordered_runs(weighted, keys, order)
 
     per_run = runs.groupBy(*[col(k) for k in keys], RUN).agg(
         F.count(F.lit(1)).alias("_rows"),
@@ -102,7 +102,7 @@ def previous_values(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], columns: Mapping[str, str]
 ) -> DataFrame:
     """Add, per ``new: source`` entry, the source value of the key's previous row."""
-    runs = _runs(df, keys, order)
+    runs = ordered_runs(df, keys, order)
     inside = Window.partitionBy(*[col(k) for k in keys], RUN).orderBy(*order)
     local = runs.withColumn(_STEP, F.row_number().over(inside))
     for new, source in columns.items():

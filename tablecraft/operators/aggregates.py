@@ -7,9 +7,10 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.columns import all_of, col, is_missing, present, require
-from ..functions.ordering import running_totals
+from ..functions.ordering import RUN, ordered_runs
 from .filters import as_date, union_all
 
 # The aggregation names a specification may use.
@@ -36,28 +37,34 @@ def _aggregate(df: DataFrame, source: str, name: str) -> Column:
 def exact_median(df: DataFrame, keys: Sequence[str], column: str, out: str) -> DataFrame:
     """The median per key, exact, without holding a group's values in one task.
 
-    Values are counted per key first. The running count over the sorted values
-    then shows which one or two of them lie in the middle.
+    Values are counted per key and put into ordered runs. How many values each
+    run holds tells which one or two runs the middle lies in, so only those are
+    looked at closely. Keys must not be NULL.
     """
-    cells = (
-        df.filter(~is_missing(df, column))
-        .groupBy(*[col(k) for k in keys], col(column).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+    by = [col(k) for k in keys]
+    cells = df.filter(~is_missing(df, column)).groupBy(*by, col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    runs = ordered_runs(cells, keys, [F.col("_v").asc()])
+
+    whole = Window.partitionBy(*by)
+    per_run = runs.groupBy(*by, RUN).agg(F.sum("_n").alias("_in_run"))
+    placed = per_run.select(
+        *by,
+        RUN,
+        (F.sum("_in_run").over(whole.orderBy(RUN)) - F.col("_in_run")).alias("_before"),
+        "_in_run",
+        F.sum("_in_run").over(whole).alias("_size"),
     )
-    upto = running_totals(cells, keys, [F.col("_v").asc()], {"_upto": F.col("_n")})
-    sizes = upto.groupBy(*[col(k) for k in keys]).agg(F.max("_upto").alias("_size"))
-    placed = upto.join(sizes, on=list(keys), how="inner")
     low, high = F.expr("(_size + 1) div 2"), F.expr("(_size + 2) div 2")
+    wanted = placed.filter((F.col("_before") < high) & (F.col("_before") + F.col("_in_run") >= low)).drop("_in_run")
+
+    inside = Window.partitionBy(*by, RUN).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = runs.join(wanted, on=[*keys, RUN]).withColumn("_upto", F.col("_before") + F.sum("_n").over(inside))
 
     def holds(position: Column) -> Column:
         return (F.col("_upto") >= position) & (F.col("_upto") - F.col("_n") < position)
 
-    middle = placed.filter(holds(low) | holds(high))
-    return middle.groupBy(*[col(k) for k in keys]).agg(
-        ((F.max(F.when(holds(low), F.col("_v"))) + F.max(F.when(holds(high), F.col("_v")))) / 2)
-        .cast("double")
-        .alias(out)
-    )
+    middle = F.max(F.when(holds(low), F.col("_v"))) + F.max(F.when(holds(high), F.col("_v")))
+    return near.groupBy(*by).agg((middle / 2).cast("double").alias(out))
 
 
 def group_summary(df: DataFrame, group_by: Sequence[str], aggs: Mapping[str, Any]) -> DataFrame:

@@ -313,5 +313,12 @@ def shadow_overview(summaries: Sequence[DataFrame], expected: DataFrame) -> Data
     known = union_all(
         *[s.select("node_id", "status", "total_primary", "total_shadow", "matched", "breach_count") for s in summaries]
     )
-    listed = expected.select("node_id").join(known, on="node_id", how="left")
-    return listed.withColumn("status", F.coalesce("status", F.lit("not_run")))
+    counts = ("total_primary", "total_shadow", "matched", "breach_count")
+    listed = expected.select(
+        "node_id", F.lit("not_run").alias("status"), *[F.lit(None).cast("bigint").alias(c) for c in counts]
+    )
+    both = known.withColumn("_run", F.lit(True)).unionByName(listed.withColumn("_run", F.lit(False)))
+    last = both.groupBy("node_id").agg(
+        F.max_by(F.struct("status", *counts), "_run").alias("_s"), F.bool_or(~F.col("_run")).alias("_expected")
+    )
+    return last.filter("_expected").select("node_id", "_s.*")

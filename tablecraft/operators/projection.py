@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import FRACTIONAL, col, dtype_of, present, require, spread, to_number
+from ..functions.columns import FRACTIONAL, all_of, col, dtype_of, present, require, spread, text_to_long, to_number
 
 # The dtype names a caller may use for each kind of column.
 INTEGER_NAMES = ("int", "integer", "int64", "bigint", "long")
@@ -71,7 +71,7 @@ def _coerced(df: DataFrame, name: str, dtype: str) -> Column:
             return col(name).cast("bigint")
         if isinstance(source, T.StringType):
             # Whole numbers of any length first: a double cannot hold them all.
-            return F.coalesce(F.trim(col(name)).try_cast("bigint"), to_number(df, name).try_cast("bigint"))
+            return F.coalesce(text_to_long(col(name)), to_number(df, name).try_cast("bigint"))
         return to_number(df, name).try_cast("bigint")
     if target == "double":
         return to_number(df, name)
@@ -133,24 +133,37 @@ def _key_type(mapping: Mapping[Any, Any]) -> str:
 
 
 def map_multi_key(
-    df: DataFrame, keys: Sequence[str], lookup: DataFrame, output: str, default: Any = None
+    df: DataFrame,
+    keys: Sequence[str],
+    lookup: Mapping[tuple, Any] | DataFrame,
+    output: str,
+    default: Any = None,
 ) -> DataFrame:
     """Look up ``output`` by several key columns.
 
-    ``lookup`` has the key columns in the order of ``keys`` and then the value;
-    its keys must be unique. A row without an entry gets ``default``, or keeps
-    its old ``output`` when there is one and no default is given. The planner
-    broadcasts the lookup when its measured size allows.
+    ``lookup`` is a dict from key tuples to values, which becomes a literal map
+    in the plan, or for large lookups a frame with the key columns in the order
+    of ``keys`` and then the value; its keys must be unique. A row without an
+    entry gets ``default``, or keeps its old ``output`` when there is one and no
+    default is given. The planner broadcasts a frame when its size allows.
     """
     require(df, keys, "map_multi_key")
+    fallback = col(output) if default is None and output in df.columns else F.lit(default)
+    if not isinstance(lookup, DataFrame):
+        names = [f"k{i}" for i in range(len(keys))]
+
+        def entry(parts: Sequence[Column]) -> Column:
+            typed = zip(keys, names, parts)
+            return F.struct(*[part.cast(dtype_of(df, k)).alias(n) for k, n, part in typed])
+
+        pairs = [x for key, value in lookup.items() for x in (entry([F.lit(k) for k in key]), F.lit(value))]
+        known = all_of(col(k).isNotNull() for k in keys)
+        found = F.when(known, F.try_element_at(F.create_map(*pairs), entry([col(k) for k in keys])))
+        return df.withColumn(output, F.coalesce(found, fallback) if pairs else fallback)
     named = lookup.toDF(*[f"_k{i}" for i in range(len(keys))], "_mapped")
     joined = df.join(
         named.withColumn("_hit", F.lit(True)), [col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)], "left"
     )
-    if default is None and output in df.columns:
-        fallback = col(output)
-    else:
-        fallback = F.lit(default)
     return joined.withColumn(output, F.when(F.col("_hit"), F.col("_mapped")).otherwise(fallback)).drop(
         "_mapped", "_hit", *named.columns
     )

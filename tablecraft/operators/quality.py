@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import col, dtype_of, is_missing, present
+from ..functions.columns import NUMBER_TEXT, WHOLE_TEXT, col, dtype_of, is_missing, present
 from .filters import union_all
 
 REPORT = "`table` string, check_no int, type string, label string, `column` string, observed double, bound double, passed boolean, message string"
@@ -347,13 +347,24 @@ def contract_messages(df: DataFrame, expected: Mapping[str, str]) -> list[str]:
     return found
 
 
+def _converted(df: DataFrame, column: str, dtype: str) -> Column:
+    """The value in the contracted type, NULL when it does not convert."""
+    value = present(df, column)
+    target = T.DataType.fromDDL(dtype)
+    if isinstance(dtype_of(df, column), T.StringType) and isinstance(target, T.NumericType):
+        # Most text that does not convert is sorted out without a failing cast.
+        pattern = WHOLE_TEXT if isinstance(target, T.IntegralType) else NUMBER_TEXT
+        return F.when(F.trim(value).rlike(pattern), F.trim(value).try_cast(target))
+    return value.try_cast(target)
+
+
 def contract_conformance(df: DataFrame, expected: Mapping[str, str]) -> DataFrame:
     """Per contracted column, how many values there are and how many convert to its type."""
     parts = []
     for i, (name, dtype) in enumerate(expected.items()):
         if name in df.columns:
             value = present(df, name)
-            parts += [F.count(value).alias(f"v{i}"), F.count(value.try_cast(dtype)).alias(f"c{i}")]
+            parts += [F.count(value).alias(f"v{i}"), F.count(_converted(df, name, dtype)).alias(f"c{i}")]
         else:
             parts += [F.lit(0).cast("bigint").alias(f"v{i}"), F.lit(0).cast("bigint").alias(f"c{i}")]
     measured = df.agg(F.count(F.lit(1)).alias("_rows"), *parts)

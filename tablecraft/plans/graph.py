@@ -77,27 +77,35 @@ def _peel(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Returns ``(node, level)`` for the nodes taken away, the level being the
     longest path from a root, and the ``(node)`` that are left, which lie on a
-    cycle or behind one.
+    cycle or behind one. A round counts the edges that leave the nodes taken in
+    the round before and subtracts them from what their targets wait for.
     """
-    left = settle(edges.select("src", "dst").distinct(), "edges")
-    rest = settle(nodes.select(col(nodes.columns[0]).alias("node")).distinct(), "nodes")
+    links = settle(edges.select("src", "dst").distinct(), "edges")
+    listed = nodes.select(col(nodes.columns[0]).alias("node")).distinct()
+    incoming = links.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("waits"))
+    state = settle(
+        listed.join(incoming, on="node", how="left").withColumn("waits", F.coalesce("waits", F.lit(0).cast("long"))),
+        "degrees",
+    )
     taken: list[DataFrame] = []
-    level = 0
     while True:
-        targets = left.select(F.col("dst").alias("node")).distinct()
-        roots = settle(rest.join(targets, on="node", how="left_anti"), "level")
+        roots, rest = state.filter("waits = 0").select("node"), state.filter("waits > 0")
         if roots.isEmpty():
             break
-        taken.append(roots.withColumn("level", F.lit(level)))
-        level += 1
-        rest = settle(rest.join(roots, on="node", how="left_anti"), "nodes")
-        left = settle(left.join(roots.withColumnRenamed("node", "src"), on="src", how="left_anti"), "edges")
+        taken.append(roots.withColumn("level", F.lit(len(taken))))
+        freed = (
+            links.join(roots.withColumnRenamed("node", "src"), on="src", how="left_semi")
+            .groupBy(F.col("dst").alias("node"))
+            .agg(F.count(F.lit(1)).alias("_freed"))
+        )
+        waits = (F.col("waits") - F.coalesce("_freed", F.lit(0))).alias("waits")
+        state = settle(rest.join(freed, on="node", how="left").select("node", waits), "degrees")
     if not taken:
-        return rest.limit(0).withColumn("level", F.lit(0)), rest
+        return state.limit(0).select("node", F.lit(0).alias("level")), state.select("node")
     levels = taken[0]
     for part in taken[1:]:
         levels = levels.unionByName(part)
-    return levels, rest
+    return levels, state.select("node")
 
 
 def all_nodes(edges: DataFrame) -> DataFrame:
@@ -155,14 +163,17 @@ def stale_nodes(edges: DataFrame, stored: DataFrame, current: DataFrame) -> Data
 def normalise_path(path: Column, base: str = "/") -> Column:
     """An absolute path in lower case without ``.``, ``..`` and doubled slashes."""
     absolute = F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), path))
-    parts = F.split(absolute, "/")
+    # Slashes, each with or without a dot, before another slash or the end.
+    plain = F.regexp_replace(absolute, r"(/\.?)+(?=/|$)", "")
 
     def step(done: Column, part: Column) -> Column:
         up = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
-        return F.when(part.isin("", "."), done).when(part == "..", up).otherwise(F.concat(done, F.array(part)))
+        return F.when(part == "", done).when(part == "..", up).otherwise(F.concat(done, F.array(part)))
 
-    folded = F.aggregate(parts, F.array().cast("array<string>"), step)
-    return F.lower(F.concat(F.lit("/"), F.array_join(folded, "/")))
+    # Only a path that goes up is taken apart; that costs far more.
+    folded = F.array_join(F.aggregate(F.split(plain, "/"), F.array().cast("array<string>"), step), "/")
+    rooted = F.when(plain.rlike(r"/\.\.(/|$)"), F.concat(F.lit("/"), folded)).when(plain == "", "/").otherwise(plain)
+    return F.lower(rooted)
 
 
 def sink_source_edges(sinks: DataFrame, sources: DataFrame, order_by: str = "pipeline", base: str = "/") -> DataFrame:

@@ -22,29 +22,34 @@ LINEAGE = ("node_id", "output_column", "source_node_id", "source_column", "confi
 CONFIDENCE = ("sql_exact", "tracked", "schema_diff")
 
 
-def _by_name(outputs: DataFrame, known: DataFrame, confidence: str) -> DataFrame:
+def _by_name(outputs: DataFrame, known: DataFrame, confidence: str, expand: bool = True) -> DataFrame:
     """Rules shared by both kinds of lineage.
 
     An output with the name of a known column comes from the first input that
     has it; a new name may come from every known column of its node. Each
     output is matched to its node's columns in one equality join on the node.
+    Without ``expand`` a new name gets one line per input instead, with ``*``
+    for its columns, so that wide nodes do not give a line per pair of columns.
     """
     first = known.groupBy("node_id", "column").agg(F.min_by("source_node_id", "input_no").alias("source_node_id"))
-    same = outputs.join(first, on=["node_id", "column"]).select(
+    placed = settle(outputs.join(first, on=["node_id", "column"], how="left"), "placed")
+    same = placed.filter(F.col("source_node_id").isNotNull()).select(
         "node_id",
         F.col("column").alias("output_column"),
         "source_node_id",
         F.col("column").alias("source_column"),
     )
-    new = outputs.join(first, on=["node_id", "column"], how="left_anti").withColumnRenamed("column", "output_column")
-    every = known.select("node_id", "source_node_id", F.col("column").alias("source_column"))
+    new = placed.filter(F.col("source_node_id").isNull()).select("node_id", F.col("column").alias("output_column"))
+    source_column = F.col("column") if expand else F.lit("*")
+    every = known.select("node_id", "source_node_id", source_column.alias("source_column"))
+    every = every if expand else every.distinct()
     novel = new.join(every, on="node_id").select("node_id", "output_column", "source_node_id", "source_column")
     return same.unionByName(novel).withColumn("confidence", F.lit(confidence))
 
 
-def lineage_schema_diff(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
+def lineage_schema_diff(inputs: DataFrame, outputs: DataFrame, expand: bool = True) -> DataFrame:
     """Lineage from column names alone."""
-    return _by_name(outputs, inputs, "schema_diff")
+    return _by_name(outputs, inputs, "schema_diff", expand)
 
 
 def lineage_tracked(accessed: DataFrame, inputs: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -55,16 +60,10 @@ def lineage_tracked(accessed: DataFrame, inputs: DataFrame, outputs: DataFrame)
     read anything falls back to names alone.
     """
     bulk = accessed.filter(F.col("column").isNull()).select("node_id", "source_node_id").distinct()
-    read = (
-        accessed.filter(F.col("column").isNotNull())
-        .select("node_id", "input_no", "source_node_id", "column")
-        .unionByName(
-            inputs.join(bulk, on=["node_id", "source_node_id"], how="left_semi").select(
-                "node_id", "input_no", "source_node_id", "column"
-            )
-        )
-        .distinct()
-    )
+    columns = ("node_id", "input_no", "source_node_id", "column")
+    single = accessed.filter(F.col("column").isNotNull()).select(*columns)
+    whole = inputs.join(bulk, on=["node_id", "source_node_id"], how="left_semi").select(*columns)
+    read = settle(single.unionByName(whole).distinct(), "read")
     watched = read.select("node_id").distinct()
     tracked = _by_name(outputs.join(watched, on="node_id", how="left_semi"), read, "tracked")
     unwatched = outputs.join(watched, on="node_id", how="left_anti")
@@ -91,15 +90,18 @@ def gathered(df: DataFrame, keys: Sequence[str], item: Column, out: str, size: i
 
     A key with more items gets several rows, told apart by ``part``, so that no
     array grows with the data. Which part an item is in follows from its hash.
+    Only the keys that need parts are joined back, which are few.
     """
-    counts = df.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
-    items = df.withColumn("_item", item).join(counts, on=list(keys))
-    part = F.pmod(F.xxhash64("_item"), F.ceil(F.col("_n") / size)).cast("int")
-    return (
-        items.withColumn("part", part)
-        .groupBy(*[col(k) for k in keys], "part")
-        .agg(F.sort_array(F.collect_list("_item")).alias(out))
+    by = [col(k) for k in keys]
+    crowded = (
+        df.groupBy(*by)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") > size)
+        .select(*by, F.ceil(F.col("_n") / size).alias("_parts"))
     )
+    items = df.select(*by, item.alias("_item")).join(crowded, on=list(keys), how="left")
+    part = F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("_item"), F.col("_parts"))).cast("int")
+    return items.withColumn("part", part).groupBy(*by, "part").agg(F.sort_array(F.collect_list("_item")).alias(out))
 
 
 def lineage_edges(lineage: DataFrame, size: int = 1000) -> DataFrame:

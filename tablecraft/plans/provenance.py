@@ -92,11 +92,15 @@ def probe_status(
         ]
     )
     if edges is not None:
-        lost = edges.filter(F.col("source_node_id") == OPAQUE).select("node_id").distinct().withColumn("_lost", F.lit(True))
+        lost = edges.filter(F.col("source_node_id") == OPAQUE).select("node_id").distinct()
+        flagged = counted.withColumn("_lost", F.lit(False)).unionByName(
+            lost.select("node_id", F.lit(None).cast("string").alias("status"), F.lit(None).cast("bigint").alias("row_count"), F.lit(True).alias("_lost"))
+        )
         counted = (
-            counted.join(lost, on="node_id", how="left")
-            .withColumn("status", F.when(F.col("_lost"), "opaque").otherwise(F.col("status")))
-            .drop("_lost")
+            flagged.groupBy("node_id")
+            .agg(F.max("row_count").alias("row_count"), F.bool_or("_lost").alias("_lost"))
+            .filter(F.col("row_count").isNotNull())
+            .select("node_id", F.when(F.col("_lost"), "opaque").otherwise("ok").alias("status"), "row_count")
         )
     others = [(n, "skipped", 0) for n in skipped] + [(n, "failed", 0) for n in failed]
     if others:
@@ -131,20 +135,26 @@ def trace_rows(
         "walk",
     )
     ends, lost = [], []
+    gone = F.col("source_node_id") == OPAQUE
     for _ in range(max_depth + 1):
         if walk.isEmpty():
             break
         ends.append(walk.join(traced, on="node_id", how="left_anti").select(*walk.columns))
-        stepped = settle(keyed.join(walk, on=["node_id", "row_id"]), "step")
-        lost.append(stepped.filter(F.col("source_node_id") == OPAQUE).select(*walk.columns))
-        walk = settle(
-            stepped.filter(F.col("source_node_id") != OPAQUE)
+        # Where the way back is lost, the walk ends at the row it has reached.
+        stepped = settle(
+            keyed.join(walk, on=["node_id", "row_id"])
             .groupBy(
-                "start_node", "start_row", F.col("source_node_id").alias("node_id"), F.col("source_row_id").alias("row_id")
+                "start_node",
+                "start_row",
+                F.when(gone, F.col("node_id")).otherwise(F.col("source_node_id")).alias("node_id"),
+                F.when(gone, F.col("row_id")).otherwise(F.col("source_row_id")).alias("row_id"),
+                gone.alias("_gone"),
             )
             .agg(F.sum("paths").alias("paths")),
             "walk",
         )
+        lost.append(stepped.filter("_gone").select(*walk.columns))
+        walk = stepped.filter("NOT _gone").select(*walk.columns)
 
     known = [
         df.select(

@@ -71,6 +71,8 @@ def test_schema_diff(spark, rows):
     assert got == sorted(
         [("n", "x", "a", "x")] + [("n", "new", s, c) for s, c in (("a", "x"), ("a", "y"), ("b", "x"), ("b", "z"))], key=repr
     )
+    short = lineage.lineage_schema_diff(inputs, outputs, expand=False).drop("confidence")
+    assert rows(short) == [("n", "new", "a", "*"), ("n", "new", "b", "*"), ("n", "x", "a", "x")]
 
 
 def test_tracked(spark, rows):

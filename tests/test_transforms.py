@@ -187,3 +187,14 @@ def test_pandas_rowwise(spark):
     df = spark.range(5).withColumn("v", F.col("id") * 2)
     out = pandas_rowwise(df, lambda p: p.assign(w=p["v"] + 1), "id long, v long, w long")
     assert out.filter("w <> v + 1").count() == 0 and out.count() == 5
+
+
+def test_map_multi_key(spark, rows):
+    df = spark.createDataFrame([("a", 1, "old"), ("a", 2, "old"), (None, 1, "old")], "k string, n long, out string")
+    lookup = {("a", 1): "hit"}
+    table = spark.createDataFrame([("a", 1, "hit")], "x string, y long, z string")
+    for found in (lookup, table):
+        kept = projection.map_multi_key(df, ["k", "n"], found, "out")
+        assert rows(kept) == sorted([("a", 1, "hit"), ("a", 2, "old"), (None, 1, "old")], key=repr)
+        given = projection.map_multi_key(df, ["k", "n"], found, "new", "none")
+        assert rows(given.select("n", "new")) == [(1, "hit"), (1, "none"), (2, "none")]

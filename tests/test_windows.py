@@ -66,11 +66,11 @@ def test_previous_values_of_a_hot_key(skewed):
 
 def test_a_hot_key_spreads_over_runs(spark, skewed):
     """Even if all rows have one key, no run holds much more than its share."""
-    from tablecraft.functions.ordering import RUN, _runs
+    from tablecraft.functions.ordering import RUN, ordered_runs
 
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        runs = _runs(skewed.withColumn("k", F.lit("one")), ["k"], [F.col("id").asc()])
+        runs = ordered_runs(skewed.withColumn("k", F.lit("one")), ["k"], [F.col("id").asc()])
         sizes = [r["count"] for r in runs.groupBy(RUN).count().collect()]
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -6,6 +6,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from tablecraft.functions.columns import text_to_long
 from tablecraft.operators import filters, projection
 from tablecraft.registry import apply_transform, pandas_rowwise
 
@@ -90,7 +91,7 @@ def _(spark, folder):
        FROM lineitem""",
 )
 def _(spark, folder):
-    lookup = spark.createDataFrame([("A", "F", "back"), ("N", "O", "out")], "flag string, status string, state string")
+    lookup = {("A", "F"): "back", ("N", "O"): "out"}
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
     return projection.map_multi_key(lines, ["l_returnflag", "l_linestatus"], lookup, "state", "other")
 
@@ -193,6 +194,18 @@ def _(spark, folder):
     return projection.cast_sort_movers(events)
 
 
+@query(
+    "map_multi_key_table",
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, COALESCE(n, 0) AS n_orders FROM lineitem LEFT JOIN
+       (SELECT l_partkey AS p, l_suppkey AS s, COUNT(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2) ON l_partkey = p AND l_suppkey = s""",
+)
+def _(spark, folder):
+    lines = table(spark, folder, "lineitem")
+    lookup = lines.filter("l_returnflag = 'R'").groupBy("l_partkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    rows = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return projection.map_multi_key(rows, ["l_partkey", "l_suppkey"], lookup, "n_orders", 0)
+
+
 # --- filters -----------------------------------------------------------------
 
 LABELLED = """(SELECT d.doc_id, n_chars, quality, CASE WHEN lang = 'fr' THEN CAST('NaN' AS DOUBLE) ELSE CAST(n_chars AS DOUBLE) END AS score
@@ -334,13 +347,14 @@ def _(spark, folder):
     text = """
         SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
                abs(l_quantity - 25) AS distance, round(l_extendedprice / 1000, 1) AS thousands, cast(l_quantity AS int) AS whole,
-               try_cast(l_returnflag AS int) AS no_number, date_format(l_shipdate, 'yyyy-MM') AS month,
+               date_format(l_shipdate, 'yyyy-MM') AS month,
                cast(l_shipdate AS date) + INTERVAL '30' DAY AS due, length(l_returnflag) AS n,
                CASE WHEN l_discount > 0.05 THEN 'high' ELSE 'low' END AS band, coalesce(nullif(l_linestatus, 'O'), 'none') AS status,
                l_returnflag IS NOT DISTINCT FROM nullif(l_returnflag, 'A') AS same, upper(lower(l_returnflag)) AS flag,
                l_returnflag RLIKE '[AR]' AS back
         FROM {lines}"""
-    return spark.sql(text, lines=table(spark, folder, "lineitem"))
+    flagged = spark.sql(text, lines=table(spark, folder, "lineitem"))
+    return flagged.withColumn("no_number", text_to_long(F.col("flag")).cast("int"))
 
 
 @query(

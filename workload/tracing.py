@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablecraft.plans import lineage, provenance
+from tablecraft.session import settle
 
 from .base import query, table
 from .graphs import tagged
@@ -162,9 +163,10 @@ customer_id AS (SELECT *, ROW_NUMBER() OVER (ORDER BY c_custkey) - 1 AS id FROM
 
 
 def numbered(spark, folder):
-    orders = provenance.stamp_row_id(table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), ["o_orderkey"], None)
-    customers = provenance.stamp_row_id(table(spark, folder, "customer").select("c_custkey", "c_name", "c_mktsegment"), ["c_custkey"], None)
-    return orders, customers
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    customers = table(spark, folder, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    stamped = (provenance.stamp_row_id(orders, ["o_orderkey"], None), provenance.stamp_row_id(customers, ["c_custkey"], None))
+    return tuple(settle(s, "stamped") for s in stamped)
 
 
 @query("stamp_row_id", "SELECT *, ROW_NUMBER() OVER (ORDER BY p_partkey) - 1 AS _row_id FROM part ORDER BY p_partkey LIMIT 50")
@@ -201,7 +203,7 @@ def _(spark, folder):
 
 def grouped(orders):
     counted = orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
-    return provenance.stamp_row_id(counted, ["o_custkey"], None)
+    return settle(provenance.stamp_row_id(counted, ["o_custkey"], None), "stamped")
 
 
 GROUPED = "grouped AS (SELECT o_custkey, COUNT(*) AS n, ROW_NUMBER() OVER (ORDER BY o_custkey) - 1 AS id FROM orders GROUP BY 1)"
