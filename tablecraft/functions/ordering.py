@@ -20,6 +20,8 @@ from .columns import all_of, col, quoted
 
 RUN = "_run"
 _STEP = "_step"
+# monotonically_increasing_id holds the row's place in its partition in the low 33 bits.
+_PLACES = 2**33
 
 
 def ordered_runs(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -95,7 +97,20 @@ def running_totals(
 
 def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
     """``row_number()`` per key, starting at 1. ``order`` must break all ties."""
-    return running_totals(df, keys, order, {out: F.lit(1).cast("long")})
+    if keys:
+        return running_totals(df, keys, order, {out: F.lit(1).cast("long")})
+    # Without keys a row's place in its sorted run is known while it is written,
+    # so the rows are shuffled once and need no window.
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit(_PLACES - 1).cast("long"))
+    runs = settle(ordered.withColumn(RUN, F.spark_partition_id()).withColumn(_STEP, place), "runs")
+    sizes = runs.groupBy(RUN).agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = _earlier_runs([]).rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(RUN, F.sum("_rows").over(earlier).alias("_before")).filter(F.col("_before").isNotNull())
+    # One row per run: bounded by the number of partitions.
+    placed = runs.join(F.broadcast(before), on=RUN, how="left")
+    number = F.col(_STEP) + 1 + F.coalesce("_before", F.lit(0))
+    return placed.select(*[col(c) for c in df.columns], number.alias(out))
 
 
 def previous_values(
