@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
@@ -24,7 +25,7 @@ def _segments(record_path: str | Sequence[str | int] | None) -> list[str]:
 def json_records(
     df: DataFrame,
     body: str,
-    schema: str | T.StructType,
+    schema: str | T.StructType | None = None,
     record_path: str | Sequence[str | int] | None = None,
     keep: Sequence[str] = (),
 ) -> DataFrame:
@@ -33,7 +34,8 @@ def json_records(
     A list at the path gives a row per element and an object gives one row. A
     missing key is an error naming the key, and so is a plain value. A whole
     number in the path picks a list element. Fields a record lacks are NULL,
-    and a NULL body has no records.
+    and a NULL body has no records. Without a schema the fields are those found
+    in any record, which takes a pass of its own.
     """
     require(df, [body, *keep], "json_records")
     if isinstance(schema, str):
@@ -60,9 +62,20 @@ def json_records(
     records = bodies.select(*[col(c) for c in keep], value.alias("_at")).select(
         *[col(c) for c in keep], F.explode(checked).alias("_record")
     )
+    if schema is None:
+        schema = _found_schema(records)
     return records.select(*[col(c) for c in keep], *[_field(f) for f in schema.fields])
 
 
+def _found_schema(records: DataFrame) -> T.StructType:
+    """The fields of all records; one that is null everywhere is text."""
+    found = records.agg(F.schema_of_variant_agg("_record").alias("s")).first()["s"]
+    if not found.startswith("OBJECT<"):
+        raise ValueError(f"json_records: records have no fields in common, found {found}")
+    ddl = re.sub(r"\bOBJECT<", "STRUCT<", found)
+    return T.DataType.fromDDL(re.sub(r": VOID\b", ": STRING", ddl))
+
+
 def _field(field_: T.StructField) -> Column:
     return F.variant_get("_record", f"$['{field_.name}']", field_.dataType.simpleString()).alias(field_.name)
 

@@ -99,7 +99,7 @@ def push_jdbc(df: DataFrame, connection: Connection, table: str, mode: str = "re
 
 
 def write_stata(df: DataFrame, folder: str, rows_per_file: int = 500_000) -> DataFrame:
-    """One ``.dta`` part per partition in a folder all executors reach; returns ``(path, rows)``.
+    """Parts in ``.dta`` in a folder all executors reach; returns ``(path, rows)``.
 
     A partition is cut into files of about ``rows_per_file`` rows, so no task
     holds more. Names are fixed by partition and file, and a task that runs
@@ -108,14 +108,16 @@ def write_stata(df: DataFrame, folder: str, rows_per_file: int = 500_000) -> Dat
     names = df.columns
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     times = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))]
-    root = folder.removeprefix("file:")
+    address = folder if re.match(r"[a-z0-9]+:", folder) else f"file://{folder}"
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
+        import io
 
+        from pyarrow import fs
         from pyspark import TaskContext
 
-        os.makedirs(root, exist_ok=True)
+        store, root = fs.FileSystem.from_uri(address)
+        store.create_dir(root, recursive=True)
         part = TaskContext.get().partitionId()
 
         def to_file(held: list[pd.DataFrame], number: int) -> pd.DataFrame:
@@ -124,9 +126,12 @@ def write_stata(df: DataFrame, folder: str, rows_per_file: int = 500_000) -> Dat
             rows[texts] = rows[texts].fillna("")
             # A plain text column of this format holds 2045 bytes; longer ones are kept apart.
             long = [c for c in texts if rows[c].str.len().max() * 4 > 2045]
+            content = io.BytesIO()
             rows.to_stata(
-                path, write_index=False, convert_dates={c: "tc" for c in times}, version=118, convert_strl=long
+                content, write_index=False, convert_dates={c: "tc" for c in times}, version=118, convert_strl=long
             )
+            with store.open_output_stream(path) as target:
+                target.write(content.getvalue())
             return pd.DataFrame({"path": [path], "rows": [len(rows)]})
 
         held, count, number = [], 0, 0

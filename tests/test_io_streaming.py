@@ -116,6 +116,11 @@ def test_json_records(spark, rows):
     df = bodies(spark, '{"d": {"items": [{"a": 1, "b": "x"}, {"a": 2}]}}', '{"d": {"items": {"b": "y"}}}', None)
     out = records.json_records(df, "body", "a int, b string", "d.items", ["id"])
     assert rows(out) == sorted([(0, 1, "x"), (0, 2, None), (1, None, "y")], key=repr)
+    found = records.json_records(df, "body", None, "d.items")
+    assert found.dtypes == [("a", "bigint"), ("b", "string")] and found.count() == 3
+    nested = bodies(spark, '{"o": {"x": 1.5}, "l": [1], "n": null}', '{"o": null}')
+    typed = records.json_records(nested, "body")
+    assert dict(typed.dtypes)["n"] == "string" and [r.o.x if r.o else None for r in typed.collect()][1] is None
     listed = bodies(spark, '[{"page": 1}, [{"a": 5}]]')
     assert rows(records.json_records(listed, "body", "a int", ["1"])) == [(5,)]
     assert rows(records.json_records(bodies(spark, '{"a": 3}'), "body", "a int")) == [(3,)]

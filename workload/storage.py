@@ -156,4 +156,4 @@ def _(spark, folder):
 
 @query("json_record_single", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def _(spark, folder):
-    return records.json_records(table(spark, folder, "events"), "props", "k bigint", None, ["event_id"])
+    return records.json_records(table(spark, folder, "events"), "props", None, None, ["event_id"])
