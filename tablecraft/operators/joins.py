@@ -66,7 +66,9 @@ def full_outer_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str])
     """Full outer join in which a missing key matches a missing key.
 
     Other columns are named ``l_…`` and ``r_…``; ``_in_left`` and ``_in_right``
-    tell which sides a row came from.
+    tell which sides a row came from. The matches and the two rests are joined
+    apart: Spark can split a hot key in an inner or anti join, on either side,
+    but not in a full outer join.
     """
     require(left, keys, "full_outer_null_safe")
     require(right, keys, "full_outer_null_safe")
@@ -74,18 +76,22 @@ def full_outer_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str])
     a = left.select(
         *[col(k).alias(f"_lk{i}") for i, k in enumerate(keys)],
         *[col(c).alias(f"l_{c}") for c in left.columns if c not in keys],
-        F.lit(True).alias("_in_left"),
     )
     b = right.select(
         *[col(k).alias(f"_rk{i}") for i, k in enumerate(keys)],
         *[col(c).alias(f"r_{c}") for c in right.columns if c not in keys],
-        F.lit(True).alias("_in_right"),
-    )
-    joined = a.join(b, all_of(F.col(f"_lk{i}").eqNullSafe(F.col(f"_rk{i}")) for i in range(len(keys))), "full_outer")
-    return joined.select(
-        *[F.coalesce(f"_lk{i}", f"_rk{i}").alias(k) for i, k in enumerate(keys)],
-        *[col(f"l_{c}") for c in left.columns if c not in keys],
-        *[col(f"r_{c}") for c in right.columns if c not in keys],
-        F.coalesce("_in_left", F.lit(False)).alias("_in_left"),
-        F.coalesce("_in_right", F.lit(False)).alias("_in_right"),
     )
+    on = all_of(F.col(f"_lk{i}").eqNullSafe(F.col(f"_rk{i}")) for i in range(len(keys)))
+
+    def rows(df: DataFrame, side: str, in_left: bool, in_right: bool) -> DataFrame:
+        return df.select(
+            *[F.col(f"_{side}k{i}").alias(k) for i, k in enumerate(keys)],
+            *[col(c) for c in df.columns if c.startswith(("l_", "r_"))],
+            F.lit(in_left).alias("_in_left"),
+            F.lit(in_right).alias("_in_right"),
+        )
+
+    matched = rows(a.join(b, on, "inner"), "l", True, True)
+    left_only = rows(a.join(b, on, "left_anti"), "l", True, False)
+    right_only = rows(b.join(a, on, "left_anti"), "r", False, True)
+    return matched.unionByName(left_only, True).unionByName(right_only, True).select(*matched.columns)

@@ -104,6 +104,11 @@ def test_hot_keys_are_split_in_joins(spark, hot):
         plan, n = joined_rows(joins.compute_pnl(positions, prices))
         assert "skew=true" in plan and n == 60000
 
+        small = spark.range(1001).select(F.col("id").alias("k"), (F.col("id") + 1).alias("w"))
+        for left, right in ((hot, small), (small, hot)):
+            plan, n = joined_rows(joins.full_outer_null_safe(left, right, ["k"]))
+            assert "skew=true" in plan and n == 60001
+
         plan, n = joined_rows(windows.add_rank(hot, "k", method="min"))
         assert "skew=true" in plan and n == 60000
 

@@ -174,8 +174,8 @@ def _(spark, folder):
 SHADOW = """shadow AS (
   SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 13 = 0 THEN CAST(o_totalprice AS DECIMAL(12,2)) + 5
               WHEN o_orderkey % 7 = 0 THEN CAST(o_totalprice AS DECIMAL(12,2)) + 0.5 ELSE CAST(o_totalprice AS DECIMAL(12,2)) END AS price
-  FROM orders WHERE o_orderkey % 97 <> 0
-  UNION ALL SELECT o_orderkey + (SELECT MAX(o_orderkey) + 1 FROM orders), o_custkey, 1.00 FROM orders WHERE o_orderkey % 101 = 0)"""
+  FROM orders WHERE o_orderpriority <> '5-LOW' OR o_totalprice < 400000
+  UNION ALL SELECT o_orderkey + (SELECT MAX(o_orderkey) + 1 FROM orders), o_custkey, 1.00 FROM orders WHERE o_totalprice < 10000)"""
 PRIMARY = "main AS (SELECT o_orderkey, o_custkey, CAST(o_totalprice AS DECIMAL(12,2)) AS price FROM orders)"
 DIFF = f"""{PRIMARY}, {SHADOW}, wide AS (
   SELECT COALESCE(p.o_orderkey, s.o_orderkey) AS o_orderkey, p.o_custkey AS p_o_custkey, s.o_custkey AS s_o_custkey, p.price AS p_price, s.price AS s_price,
@@ -193,24 +193,24 @@ SPEC = diff.DiffSpec(
 )
 
 
-def primary(spark, folder):
-    return table(spark, folder, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("decimal(12,2)").alias("price"))
+def primary(spark, folder, *more):
+    return table(spark, folder, "orders").select(*more, "o_orderkey", "o_custkey", F.col("o_totalprice").cast("decimal(12,2)").alias("price"))
 
 
 def shadow(spark, folder):
     """The primary with some rows gone, some new and some prices changed."""
-    p = primary(spark, folder)
+    p = primary(spark, folder, "o_orderpriority")
     changed = (
         F.when(F.col("o_orderkey") % 13 == 0, F.col("price") + F.lit(5).cast("decimal(12,2)"))
         .when(F.col("o_orderkey") % 7 == 0, F.col("price") + F.lit(0.5).cast("decimal(12,2)"))
         .otherwise(F.col("price"))
     )
     top = p.agg(F.max("o_orderkey") + 1).scalar()
-    new = p.filter(F.col("o_orderkey") % 101 == 0).select(
+    new = p.filter("price < 10000").select(
         (F.col("o_orderkey") + top).alias("o_orderkey"), "o_custkey", F.lit(1).cast("decimal(12,2)").alias("price")
     )
-    kept = p.filter(F.col("o_orderkey") % 97 != 0).withColumn("price", changed.cast("decimal(12,2)"))
-    return kept.unionByName(new)
+    kept = p.filter("o_orderpriority <> '5-LOW' OR price < 400000").withColumn("price", changed.cast("decimal(12,2)"))
+    return kept.drop("o_orderpriority").unionByName(new)
 
 
 def diffed(spark, folder, spec=SPEC):
