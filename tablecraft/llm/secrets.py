@@ -38,16 +38,17 @@ class CharacterClass:
 
 # The patterns of the contract. A hex or access match that is too short holds no longer one,
 # so its least length can stand in the pattern; an assignment's cannot, as a short match uses up its text.
+# What is looked at first (one letter ahead, one character back) changes no match and passes over most text.
 PATTERNS = (
-    Pattern("assign", r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8),
+    Pattern("assign", r"(?i)(?=[psta])(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8),
     Pattern("access", r"AKIA[A-Z0-9]{12,}", 0, 16),
-    Pattern("hex", r"[0-9a-f]{32,}", 0, 32),
+    Pattern("hex", r"(?<![0-9a-f])[0-9a-f]{32,}", 0, 32),
 )
 _HEX = "0123456789abcdefABCDEF"
 _BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 CLASSES = (
     CharacterClass("entropy_hex", _HEX, r"(?<![A-Za-z0-9+/_-])[0-9a-fA-F]{20,}(?![A-Za-z0-9+/_-])", 20, 3.0),
-    CharacterClass("entropy_base64", _BASE64, r"[A-Za-z0-9+/_-]{24,}", 24, 3.8),
+    CharacterClass("entropy_base64", _BASE64, r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}", 24, 3.8),
 )
 #: Candidates that match one of these are no secrets: placeholders, runs of the alphabet, checksums, paths,
 #: and strings without both a letter and a digit.
