@@ -12,6 +12,7 @@ import itertools
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -162,9 +163,29 @@ def _digest(texts: pa.Array, file) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], DIGEST.fieldNames())
 
 
+def _lists(encoded: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, encoded)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *encoded])))
+
+
 def _encoded(texts: pa.Array, file) -> pa.Array:
     codec = _codec(file)
-    return pa.array([codec.encode(text) for text in texts_of(texts)], pa.list_(pa.int32()))
+    return _lists([np.array(codec.encode(text), np.int32) for text in texts_of(texts)])
+
+
+TOKENS = T.StructType(
+    [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())]
+)
+
+
+def _tokens(texts: pa.Array, file) -> pa.Array:
+    codec, ids, same = _codec(file), [], []
+    for text in texts_of(texts):
+        found = codec.encode(text)
+        same.append(codec.decode(found) == text)
+        ids.append(np.array(found, np.int32))
+    counts = pa.array([len(i) for i in ids], pa.int64())
+    return pa.StructArray.from_arrays([counts, _lists(ids), pa.array(same, pa.bool_())], TOKENS.fieldNames())
 
 
 def _decoded(lists: pa.Array, file) -> pa.Array:
@@ -205,6 +226,16 @@ def round_trip(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     return rows.select("doc_id", digest("text").alias("_digest")).select("doc_id", "_digest.*")
 
 
+def tokenized(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", path: str | None = None) -> DataFrame:
+    """``(doc_id, n_tokens, ids, round_trip)`` per row of ``docs``, with the cases of ``round_trip``.
+
+    ``round_trip`` says whether the ids decode to the text itself.
+    """
+    found = _with(_tokens, docs.sparkSession, path, TOKENS)
+    rows = picked(docs, doc_id=id_column, text=text_column)
+    return rows.select("doc_id", found("text").alias("_tokens")).select("doc_id", "_tokens.*")
+
+
 @query("op5_bpe")
 def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return round_trip(table(spark, folder, "documents"))

@@ -1,6 +1,6 @@
 """The queries of this package; importing the modules registers them."""
 
-from . import bpe, mixing, secrets, simhash, tokens  # noqa: F401
+from . import bpe, mixing, secrets, simhash, tokens, toxicity  # noqa: F401
 from .common import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

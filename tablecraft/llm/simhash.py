@@ -219,23 +219,28 @@ def links(fingerprints: DataFrame, split: int = SPLIT) -> DataFrame:
     return dealt.repartition(*key).sortWithinPartitions(*key, "visitor").mapInArrow(_compare, "a long, b long")
 
 
+def _rooted(marked: DataFrame, split: int) -> DataFrame:
+    """``(fingerprint, rep, root)`` per different fingerprint of ``marked (doc_id, fingerprint)``."""
+    # Copies meet here, in a min that combines before the shuffle: one row per fingerprint goes on.
+    distinct = settle(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")), "distinct")
+    reached = components(links(distinct, split)).withColumnRenamed("component", "root")
+    return distinct.join(reached, distinct.fingerprint == reached.node, "left").select(
+        "fingerprint", "rep", F.coalesce("root", "fingerprint").alias("root")
+    )
+
+
 def simhash_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", split: int = SPLIT) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every row of ``docs``.
 
     Two documents are linked if their fingerprints differ in at most 3 bits; ``component_id`` is the
     smallest id reachable. Null and empty texts have no words, hence fingerprint zero, and link like any
     other. Repeated rows are returned as often as they occur. A null id is returned with the component of
-    the other rows of its fingerprint, null if there are none. An empty table gives an empty result;
-    columns other than the two are ignored.
+    the other rows of its group, null if there are none. An empty table gives an empty result; columns
+    other than the two are ignored.
     """
     rows = picked(docs, doc_id=id_column, text=text_column)
     marked = settle(rows.select("doc_id", _fingerprints("text").alias("fingerprint")), "fingerprints")
-    # Copies meet here, in a min that combines before the shuffle: one row per fingerprint goes on.
-    distinct = settle(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")), "distinct")
-    reached = components(links(distinct, split)).withColumnRenamed("component", "root")
-    rooted = distinct.join(reached, distinct.fingerprint == reached.node, "left").select(
-        "fingerprint", "rep", F.coalesce("root", "fingerprint").alias("root")
-    )
+    rooted = _rooted(marked, split)
     smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     known = rooted.join(smallest, "root").select(F.col("fingerprint").alias("_fp"), "component_id")
     return marked.join(known, F.col("fingerprint") == F.col("_fp"), "left").select(
@@ -243,6 +248,25 @@ def simhash_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     )
 
 
+def without_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", split: int = SPLIT) -> DataFrame:
+    """One row of ``docs`` per group of near copies, with all its columns: that of the smallest id.
+
+    A null id comes after all others; among rows of one id a hash of the text decides. Groups are reduced
+    before the shuffle, so one of any size sends one row per task.
+    """
+    names = docs.columns
+    whole = F.struct(*[F.col(f"`{c}`") for c in names])
+    rows = docs.select(
+        whole.alias("row"),
+        F.struct(F.col(f"`{id_column}`").isNull(), F.col(f"`{id_column}`"), F.xxhash64(F.col(f"`{text_column}`"))).alias("order"),
+        _fingerprints(F.col(f"`{text_column}`")).alias("fingerprint"),
+    )
+    marked = settle(rows.select("fingerprint", F.col(f"row.`{id_column}`").alias("doc_id")), "fingerprints")
+    known = _rooted(marked, split).select(F.col("fingerprint").alias("_fp"), "root")
+    grouped = rows.join(known, F.col("fingerprint") == F.col("_fp")).groupBy("root")
+    return grouped.agg(F.min_by("row", "order").alias("row")).select("row.*")
+
+
 @query("op9_simhash")
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_components(table(spark, folder, "documents"))
