@@ -63,8 +63,9 @@ def exact_median(df: DataFrame, keys: Sequence[str], column: str, out: str) -> D
     def holds(position: Column) -> Column:
         return (F.col("_upto") >= position) & (F.col("_upto") - F.col("_n") < position)
 
-    middle = F.max(F.when(holds(low), F.col("_v"))) + F.max(F.when(holds(high), F.col("_v")))
-    return near.groupBy(*by).agg((middle / 2).cast("double").alias(out))
+    # Halved as doubles: the sum of two large longs would not fit a long.
+    middle = [F.max(F.when(holds(place), F.col("_v"))).cast("double") / 2 for place in (low, high)]
+    return near.groupBy(*by).agg((middle[0] + middle[1]).alias(out))
 
 
 def group_summary(df: DataFrame, group_by: Sequence[str], aggs: Mapping[str, Any]) -> DataFrame:

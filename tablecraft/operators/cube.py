@@ -61,11 +61,12 @@ def cube_query(
     return result
 
 
-def level_members(dimension: DataFrame, level: str, max_members: int = 200) -> DataFrame:
-    """The first ``max_members`` distinct members of a level, in order."""
+def level_members(dimension: DataFrame, level: str, max_members: int | None = None) -> DataFrame:
+    """The distinct members of a level in order: all, or the first ``max_members``."""
     require(dimension, [level], "level_members")
     members = dimension.select(col(level).alias("member")).filter(F.col("member").isNotNull()).distinct()
-    return members.orderBy("member").limit(max_members)
+    ordered = members.orderBy("member")
+    return ordered if max_members is None else ordered.limit(max_members)
 
 
 def cube_metadata(dimensions: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import col, require, to_number
+from ..functions.columns import any_of, col, require, to_number
 from .filters import filter_where
 from .projection import nan_to_null
 
@@ -57,12 +57,42 @@ def chart_pivot(
     return labelled.groupBy(col(x)).agg(*cells)
 
 
+def chart_series(
+    df: DataFrame, x: str, values: Sequence[str], group_by: str, order_by: Sequence[str]
+) -> DataFrame:
+    """The cells of a grouped chart as rows ``(x, series, value)``, for every group there is.
+
+    The last row by ``order_by`` wins in a cell. With several value columns a
+    series is named after group and column.
+    """
+    require(df, [x, group_by, *values, *order_by], "chart_series")
+    group = F.coalesce(col(group_by).cast("string"), F.lit(""))
+    order = F.struct(*[col(c) for c in order_by])
+    last = df.groupBy(col(x).alias("x"), group.alias("_g")).agg(
+        *[F.max_by(col(v), order).cast("double").alias(f"_v{i}") for i, v in enumerate(values)]
+    )
+    single = len(values) == 1
+    cells = [
+        F.struct((F.col("_g") if single else F.concat(F.col("_g"), F.lit(f" · {v}"))).alias("series"), F.col(f"_v{i}").alias("value"))
+        for i, v in enumerate(values)
+    ]
+    return last.select("x", F.inline(F.array(*cells)))
+
+
+# Forms of dates besides yyyy-mm-dd: with slashes or dots, either order, and with a month's name.
+DATE_FORMS = (
+    r"^\d{4}[-/.]\d{1,2}[-/.]\d{1,2}([T ]|$)",
+    r"^\d{1,2}[-/.]\d{1,2}[-/.]\d{4}([T ]|$)",
+    r"(?i)^(\d{1,2}[ -])?(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[ -]\d{1,4}(, ?\d{4}|[ -]\d{4})?$",
+)
+
+
 def infer_chart_columns(df: DataFrame) -> DataFrame:
     """Per column: does any value read as a number, and does any look like a date?"""
     parts = []
     for i, name in enumerate(df.columns):
         text = col(name).cast("string")
-        dated = text.rlike(r"^\d{4}-\d{2}-\d{2}")
+        dated = any_of(text.rlike(form) for form in (r"^\d{4}-\d{2}-\d{2}", *DATE_FORMS))
         parts.append(F.count(to_number(df, name)).alias(f"n{i}"))
         parts.append(F.count_if(dated).alias(f"d{i}"))
     measured = df.agg(*parts)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import decimal
 from collections.abc import Mapping, Sequence
 from typing import Any
 
@@ -78,12 +79,12 @@ def _coerced(df: DataFrame, name: str, dtype: str) -> Column:
     return col(name).try_cast(target)
 
 
-def coerce_types(df: DataFrame, casts: Mapping[str, str], on_fraction: str = "truncate") -> DataFrame:
+def coerce_types(df: DataFrame, casts: Mapping[str, str], on_fraction: str = "keep_column") -> DataFrame:
     """Cast columns; a value that does not parse becomes NULL.
 
-    Casting fractions to integers either cuts them off (``truncate``) or, with
-    ``keep_column``, leaves a column that holds any fraction as it is. The
-    second needs one aggregate over those columns to decide.
+    Where integers are asked for, a column that holds any fraction stays as it
+    is (``keep_column``), which takes one aggregate over those columns to decide;
+    ``truncate`` cuts fractions off instead.
     """
     if on_fraction not in ("truncate", "keep_column"):
         raise ValueError("coerce_types: on_fraction must be 'truncate' or 'keep_column'")
@@ -106,6 +107,7 @@ def coerce_types(df: DataFrame, casts: Mapping[str, str], on_fraction: str = "tr
 def map_values(df: DataFrame, column: str, mapping: Mapping[Any, Any] | DataFrame) -> DataFrame:
     """Replace values by lookup; a value without an entry stays.
 
+    Keys are read as the column's type; one that does not fit it matches nothing.
     ``mapping`` is a dict, which becomes a literal map in the plan, or for
     large lookups a frame whose first two columns are key and value; its keys
     must be unique.
@@ -116,20 +118,37 @@ def map_values(df: DataFrame, column: str, mapping: Mapping[Any, Any] | DataFram
     if not mapping:
         return df
     dtype = dtype_of(df, column)
-    entries = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
-    looked_up = F.try_element_at(entries, col(column).cast(_key_type(mapping)))
+    keyed = {_as_key(key, dtype): value for key, value in mapping.items()}
+    keyed.pop(None, None)
+    if not keyed:
+        return df
+    entries = F.create_map(*[x for key, value in keyed.items() for x in (F.lit(key).cast(dtype), F.lit(value))])
+    looked_up = F.try_element_at(entries, col(column))
     values_fit = all(isinstance(v, str) for v in mapping.values()) == isinstance(dtype, T.StringType)
     kept = col(column) if values_fit else col(column).cast("string")
     return df.withColumn(column, F.coalesce(looked_up if values_fit else looked_up.cast("string"), kept))
 
 
-def _key_type(mapping: Mapping[Any, Any]) -> str:
-    first = next(iter(mapping))
-    if isinstance(first, bool):
-        return "boolean"
-    if isinstance(first, int):
-        return "bigint" if abs(first) > 2**31 - 1 else "int"
-    return "double" if isinstance(first, float) else "string"
+def _as_key(key: Any, dtype: T.DataType) -> Any:
+    """A lookup key as a value of the column's type; None when there is none."""
+    if isinstance(dtype, T.StringType):
+        return str(key).lower() if isinstance(key, bool) else str(key)
+    if isinstance(dtype, T.BooleanType):
+        return key if isinstance(key, bool) else {"true": True, "false": False}.get(str(key).lower())
+    try:
+        if isinstance(dtype, T.IntegralType):
+            whole = int(key)
+            bits = {"tinyint": 8, "smallint": 16, "int": 32}.get(dtype.simpleString(), 64)
+            return whole if whole == float(key) and -(2 ** (bits - 1)) <= whole < 2 ** (bits - 1) else None
+        if isinstance(dtype, T.DecimalType):
+            number = decimal.Decimal(str(key))
+            fits = number == round(number, dtype.scale) and abs(number) < 10 ** (dtype.precision - dtype.scale)
+            return number if fits else None
+        if isinstance(dtype, T.NumericType):
+            return float(key)
+    except (TypeError, ValueError, OverflowError, decimal.InvalidOperation):
+        return None
+    return key
 
 
 def map_multi_key(

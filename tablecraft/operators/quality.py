@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import NUMBER_TEXT, WHOLE_TEXT, col, dtype_of, is_missing, present
+from ..functions.columns import NUMBER_TEXT, WHOLE_TEXT, col, dtype_of, is_missing, present, to_number
 from .filters import union_all
 
 REPORT = "`table` string, check_no int, type string, label string, `column` string, observed double, bound double, passed boolean, message string"
@@ -76,19 +76,18 @@ def _measures(df: DataFrame, checks: Sequence[Check]) -> list[Column]:
         if check.type == "null_rate" and check.column in df.columns:
             parts.append(_null_share(df, check.column).alias(f"_null{i}"))
         if check.type == "value_range" and check.column in df.columns:
-            value = present(df, check.column)
-            parts += [F.min(value).alias(f"_min{i}"), F.max(value).alias(f"_max{i}")]
+            value = _comparable(df, check.column)
+            odd = value.isNull() & ~is_missing(df, check.column)
+            parts += [F.min(value).alias(f"_min{i}"), F.max(value).alias(f"_max{i}"), F.count_if(odd).alias(f"_odd{i}")]
     return parts
 
 
-def _as_float(df: DataFrame, column: str, value: Column) -> Column:
-    """The least or largest value as a double; NULL when it is not a number."""
+def _comparable(df: DataFrame, column: str) -> Column:
+    """The value to compare with bounds: text as the number it holds, NULL when it is no number."""
     dtype = dtype_of(df, column)
-    if isinstance(dtype, T.StringType):
-        return F.trim(value).try_cast("double")
     if isinstance(dtype, (T.NumericType, T.BooleanType)):
-        return value.cast("double")
-    return F.lit(None).cast("double")
+        return present(df, column)
+    return to_number(df, column)
 
 
 def _entry(
@@ -153,12 +152,13 @@ def _lines(df: DataFrame, no: int, check: Check, table: str) -> list[Column]:
         ):
             if bound is None:
                 continue
-            actual = _as_float(df, check.column, raw)
+            actual = raw.cast("double")
             holds = actual >= bound if word == "min" else actual <= bound
             # No value at all passes; a value that is not a number fails.
-            passed = F.when(raw.isNull(), True).when(actual.isNull(), False).otherwise(holds)
+            odd = F.col(f"_odd{no}") > 0
+            passed = F.when(odd, False).when(raw.isNull(), True).otherwise(holds)
             breach = F.concat(F.lit(f"[{where}] {word} value "), actual.cast("string"), F.lit(f" {sign} {float(bound)}"))
-            text = F.when(actual.isNull(), f"[{where}] could not compare values (non-numeric?)").otherwise(breach)
+            text = F.when(odd, f"[{where}] could not compare values (non-numeric?)").otherwise(breach)
             lines.append(_entry(no, check, actual, bound, passed, text, table))
         return lines or [_entry(no, check, nothing, None, F.lit(True), F.lit(""), table)]
 
@@ -241,7 +241,7 @@ def dq_violations(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
         if check.type == "null_rate":
             broken = is_missing(df, check.column)
         elif check.type == "value_range":
-            number = _as_float(df, check.column, present(df, check.column))
+            number = _comparable(df, check.column).cast("double")
             broken = F.lit(False)
             if check.min_value is not None:
                 broken = broken | (number < check.min_value)

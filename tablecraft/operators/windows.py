@@ -17,6 +17,10 @@ RANK_METHODS = ("dense", "min", "max", "first", "average")
 ROW_ID = "_row_id"
 
 
+# The default of spark.sql.optimizer.windowGroupLimitThreshold.
+FEW = 1000
+
+
 def _sorted(df: DataFrame, column: str, ascending: bool) -> list[Column]:
     """Sort keys that put missing values last in either direction."""
     value = col(column).asc_nulls_last() if ascending else col(column).desc_nulls_last()
@@ -60,7 +64,11 @@ def _first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
 
     The filter on ``row_number`` lets every task drop all but ``n`` rows per key
     before the shuffle, so a key that holds most rows sends only a few of them.
+    Spark does so up to ``FEW`` rows; for more, rows are numbered in ordered
+    runs, over which a large key is spread.
     """
+    if n > FEW:
+        return row_numbers(df, keys, order, out).filter(F.col(out) <= n)
     window = Window.partitionBy(*[col(k) for k in keys]).orderBy(*order)
     return df.withColumn(out, F.row_number().over(window)).filter(F.col(out) <= n)
 
@@ -93,11 +101,13 @@ def top_n(
 ) -> DataFrame:
     """The first ``n`` rows by a column, over all or per group; missing values last.
 
-    Without such a column these are any ``n`` rows, in the order of
-    ``tie_breakers`` if given. Rows without a group are left out.
+    Without such a column ``tie_breakers`` give the order; rows have none of their
+    own, so one of the two is needed. Rows without a group are left out.
     """
     if not sort_by or sort_by not in df.columns:
-        return df.orderBy(*_ties(tie_breakers)).limit(n) if tie_breakers else df.limit(n)
+        if not tie_breakers:
+            raise ValueError("top_n: 'sort_by' or 'tie_breakers' must say which rows are first")
+        return df.orderBy(*_ties(tie_breakers)).limit(n)
     order = [*_sorted(df, sort_by, ascending), *_ties(tie_breakers)]
     if partition_by and partition_by in df.columns:
         grouped = df.filter(~is_missing(df, partition_by))
@@ -159,8 +169,8 @@ def add_rank(
     return base.join(ranks, on, "left").drop("_v", *[f"_k{i}" for i in range(len(keys))])
 
 
-def probe_row_id(df: DataFrame, order_by: Sequence[str], sample: int | None = 50) -> DataFrame:
-    """Number rows from 0 in a stated order: a first sample, or with ``None`` all rows.
+def probe_row_id(df: DataFrame, order_by: Sequence[str], sample: int | None = None) -> DataFrame:
+    """Number rows from 0 in a stated order: all rows, or only the first ``sample``.
 
     ``order_by`` must tell all rows apart when all rows are numbered.
     """

@@ -176,21 +176,44 @@ def normalise_path(path: Column, base: str = "/") -> Column:
     return F.lower(rooted)
 
 
-def sink_source_edges(sinks: DataFrame, sources: DataFrame, order_by: str = "pipeline", base: str = "/") -> DataFrame:
-    """Pipelines that read what another one writes.
+def shared_paths(sinks: DataFrame, sources: DataFrame, base: str = "/") -> DataFrame:
+    """Who writes and who reads each path that has both: one row per pipeline and role.
 
-    Both sides are ``(pipeline, path, templated)``. The consumer of a path is
-    the last pipeline, by ``order_by``, that reads it, so a path with many
-    readers and writers gives one edge per writer. A pipeline has no edge to
-    itself; an edge is ``resolved`` when neither path was a template.
+    Both sides are ``(pipeline, path, templated)``. Rows grow with the uses of a
+    path, not with the pairs of its writers and readers.
     """
-    last = sources.groupBy(normalise_path(F.col("path"), base).alias("_path")).agg(
-        F.max_by(F.struct(F.col("pipeline").alias("p"), F.col("templated").alias("t")), col(order_by)).alias("_last")
-    )
-    joined = sinks.withColumn("_path", normalise_path(F.col("path"), base)).join(last, on="_path")
-    return joined.filter(F.col("pipeline") != F.col("_last.p")).select(
-        F.col("pipeline").alias("source_pipeline"),
-        F.col("_last.p").alias("target_pipeline"),
-        F.col("path").alias("shared_path"),
-        (~(F.col("templated") | F.col("_last.t"))).alias("resolved"),
+
+    def uses(df: DataFrame, role: str) -> DataFrame:
+        path = normalise_path(F.col("path"), base).alias("shared_path")
+        return df.select(path, F.lit(role).alias("role"), "pipeline", "templated")
+
+    every = uses(sinks, "writer").unionByName(uses(sources, "reader"))
+    both = every.groupBy("shared_path").agg(F.count_distinct("role").alias("_roles")).filter(F.col("_roles") == 2)
+    return every.join(both.select("shared_path"), on="shared_path", how="left_semi")
+
+
+def sink_source_edges(sinks: DataFrame, sources: DataFrame, pipelines: DataFrame, base: str = "/") -> DataFrame:
+    """Pipelines that read what another one writes, for the named ``pipelines (pipeline)``.
+
+    Both sides are ``(pipeline, path, templated)``. Every reader of a path is a
+    consumer of it. A path with many writers and readers has very many pairs, so
+    edges are given for those that start or end at a named pipeline; all uses of
+    all paths are in ``shared_paths``. A pipeline has no edge to itself; an edge
+    is ``resolved`` when neither path was a template.
+    """
+    named = pipelines.select("pipeline").distinct()
+
+    def side(df: DataFrame, mark: str) -> DataFrame:
+        path = normalise_path(F.col("path"), base).alias("_path")
+        return df.select(path, F.col("pipeline").alias(f"{mark}_pipeline"), F.col("templated").alias(f"_{mark}"), col("path").alias(f"_{mark}_path"))
+
+    writers, readers = side(sinks, "source"), side(sources, "target")
+    from_named = writers.join(named, writers.source_pipeline == named.pipeline, "left_semi").join(readers, on="_path")
+    others = writers.join(named, writers.source_pipeline == named.pipeline, "left_anti")
+    to_named = others.join(readers.join(named, readers.target_pipeline == named.pipeline, "left_semi"), on="_path")
+    return from_named.unionByName(to_named).filter(F.col("source_pipeline") != F.col("target_pipeline")).select(
+        "source_pipeline",
+        "target_pipeline",
+        F.col("_source_path").alias("shared_path"),
+        (~(F.col("_source") | F.col("_target"))).alias("resolved"),
     )

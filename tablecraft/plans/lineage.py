@@ -22,7 +22,7 @@ LINEAGE = ("node_id", "output_column", "source_node_id", "source_column", "confi
 CONFIDENCE = ("sql_exact", "tracked", "schema_diff")
 
 
-def _by_name(outputs: DataFrame, known: DataFrame, confidence: str, expand: bool = True) -> DataFrame:
+def _by_name(outputs: DataFrame, known: DataFrame, confidence: str, expand: bool = False) -> DataFrame:
     """Rules shared by both kinds of lineage.
 
     An output with the name of a known column comes from the first input that
@@ -47,12 +47,15 @@ def _by_name(outputs: DataFrame, known: DataFrame, confidence: str, expand: bool
     return same.unionByName(novel).withColumn("confidence", F.lit(confidence))
 
 
-def lineage_schema_diff(inputs: DataFrame, outputs: DataFrame, expand: bool = True) -> DataFrame:
-    """Lineage from column names alone."""
+def lineage_schema_diff(inputs: DataFrame, outputs: DataFrame, expand: bool = False) -> DataFrame:
+    """Lineage from column names alone.
+
+    With ``expand`` a new column gets a line per known column of its node, else one per input.
+    """
     return _by_name(outputs, inputs, "schema_diff", expand)
 
 
-def lineage_tracked(accessed: DataFrame, inputs: DataFrame, outputs: DataFrame) -> DataFrame:
+def lineage_tracked(accessed: DataFrame, inputs: DataFrame, outputs: DataFrame, expand: bool = False) -> DataFrame:
     """Lineage from the columns a function was seen to read.
 
     ``accessed`` has the shape of ``inputs``; a NULL column stands for bulk
@@ -65,9 +68,9 @@ def lineage_tracked(accessed: DataFrame, inputs: DataFrame, outputs: DataFrame)
     whole = inputs.join(bulk, on=["node_id", "source_node_id"], how="left_semi").select(*columns)
     read = settle(single.unionByName(whole).distinct(), "read")
     watched = read.select("node_id").distinct()
-    tracked = _by_name(outputs.join(watched, on="node_id", how="left_semi"), read, "tracked")
+    tracked = _by_name(outputs.join(watched, on="node_id", how="left_semi"), read, "tracked", expand)
     unwatched = outputs.join(watched, on="node_id", how="left_anti")
-    return tracked.unionByName(lineage_schema_diff(inputs, unwatched))
+    return tracked.unionByName(lineage_schema_diff(inputs, unwatched, expand))
 
 
 def lineage_upsert(lineage: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -85,29 +88,21 @@ def lineage_query(lineage: DataFrame, node_id: str | None = None) -> DataFrame:
     return lineage.orderBy("node_id", "output_column", "source_node_id", "source_column")
 
 
-def gathered(df: DataFrame, keys: Sequence[str], item: Column, out: str, size: int = 1000) -> DataFrame:
-    """Collect items per key into sorted arrays of about ``size`` at most.
+def counted(df: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
+    """The distinct rows of ``df``, each with the number of them that share its keys.
 
-    A key with more items gets several rows, told apart by ``part``, so that no
-    array grows with the data. Which part an item is in follows from its hash.
-    Only the keys that need parts are joined back, which are few.
+    The numbers come from an aggregate that combines before the shuffle, and join
+    back: a key of any size is spread over tasks.
     """
-    by = [col(k) for k in keys]
-    crowded = (
-        df.groupBy(*by)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > size)
-        .select(*by, F.ceil(F.col("_n") / size).alias("_parts"))
-    )
-    items = df.select(*by, item.alias("_item")).join(crowded, on=list(keys), how="left")
-    part = F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("_item"), F.col("_parts"))).cast("int")
-    return items.withColumn("part", part).groupBy(*by, "part").agg(F.sort_array(F.collect_list("_item")).alias(out))
+    rows = df.distinct()
+    sizes = rows.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias(out))
+    return rows.join(sizes, on=list(keys))
 
 
-def lineage_edges(lineage: DataFrame, size: int = 1000) -> DataFrame:
-    """Edges between tables with the column mappings each carries, in parts of ``size``."""
-    mapping = F.struct("output_column", "source_column", "confidence")
-    return gathered(lineage, ["source_node_id", "node_id"], mapping, "mappings", size)
+def lineage_edges(lineage: DataFrame) -> DataFrame:
+    """Edges between tables: one row per column mapping, with ``n_mappings`` of its edge."""
+    mappings = lineage.select("source_node_id", "node_id", "output_column", "source_column", "confidence")
+    return counted(mappings, ["source_node_id", "node_id"], "n_mappings")
 
 
 def _rank(confidence: Column) -> Column:
@@ -115,13 +110,14 @@ def _rank(confidence: Column) -> Column:
 
 
 def lineage_closure(
-    lineage: DataFrame, starts: DataFrame, direction: str = "upstream", max_depth: int = 20
+    lineage: DataFrame, starts: DataFrame, direction: str = "upstream"
 ) -> DataFrame:
     """All columns that lie behind the start columns, or with ``downstream`` before them.
 
     ``starts`` is ``(node_id, column)``. A path is as sure as its least sure
     step, and a column as sure as the surest path to it. Every round keeps only
-    columns that are new or were reached more surely than before.
+    columns that are new or were reached more surely than before. As a column can
+    become surer twice at most, the rounds end, whatever cycles there are.
     """
     if direction not in ("upstream", "downstream"):
         raise ValueError("lineage_closure: direction must be 'upstream' or 'downstream'")
@@ -142,7 +138,7 @@ def lineage_closure(
         starts.select("node_id", "column").distinct().withColumn("_sure", F.lit(1).cast("long")), "closure"
     )
     best = frontier
-    for _ in range(max_depth):
+    while True:
         reached = (
             steps.join(frontier, on=["node_id", "column"])
             .groupBy(F.col("_node").alias("node_id"), F.col("_column").alias("column"))

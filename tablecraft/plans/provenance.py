@@ -16,15 +16,13 @@ from ..functions.columns import all_of, col
 from ..operators.filters import union_all
 from ..operators.windows import ROW_ID, probe_row_id
 from ..session import settle
-from .lineage import gathered
+from .lineage import counted
 
 OPAQUE = "__opaque__"
-MAX_DEPTH = 20
-SAMPLE = 50
 
 
-def stamp_row_id(df: DataFrame, order_by: Sequence[str], sample: int | None = SAMPLE) -> DataFrame:
-    """The first rows of a source, or all rows, numbered from 0."""
+def stamp_row_id(df: DataFrame, order_by: Sequence[str], sample: int | None = None) -> DataFrame:
+    """All rows of a source, or only its first ``sample``, numbered from 0."""
     return probe_row_id(df, order_by, sample)
 
 
@@ -110,14 +108,16 @@ def probe_status(
 
 
 def trace_rows(
-    edges: DataFrame, starts: DataFrame, sources: Mapping[str, DataFrame], max_depth: int = MAX_DEPTH
+    edges: DataFrame, starts: DataFrame, sources: Mapping[str, DataFrame]
 ) -> DataFrame:
-    """Walk from output rows back to their source rows.
+    """Walk from output rows back to their source rows, however far they lie.
 
     ``starts`` is ``(node_id, row_id)``, and all of them are walked at once.
     The result has one line per start and source row: the source's values as
     JSON, how many paths lead there, and ``opaque`` where the walk ended
     because the way back is lost. Nodes that nothing is known about give no line.
+    A walk that takes more steps than there are nodes goes round in a circle,
+    which is an error.
     """
     keyed = settle(
         edges.select("node_id", F.col("output_row_id").alias("row_id"), "source_node_id", "source_row_id"), "edges"
@@ -136,9 +136,10 @@ def trace_rows(
     )
     ends, lost = [], []
     gone = F.col("source_node_id") == OPAQUE
-    for _ in range(max_depth + 1):
-        if walk.isEmpty():
-            break
+    nodes = traced.count()
+    while not walk.isEmpty():
+        if len(ends) > nodes:
+            raise ValueError("trace_rows: the nodes form a cycle")
         ends.append(walk.join(traced, on="node_id", how="left_anti").select(*walk.columns))
         # Where the way back is lost, the walk ends at the row it has reached.
         stepped = settle(
@@ -156,22 +157,22 @@ def trace_rows(
         lost.append(stepped.filter("_gone").select(*walk.columns))
         walk = stepped.filter("NOT _gone").select(*walk.columns)
 
-    known = [
-        df.select(
-            F.lit(name).alias("node_id"),
-            F.col(ROW_ID).cast("bigint").alias("row_id"),
-            F.to_json(F.struct(*[col(c) for c in df.columns if c != ROW_ID]), {"ignoreNullFields": "false"}).alias("row_values"),
-        )
-        for name, df in sources.items()
-    ]
+    def valued_by(reached: DataFrame, name: str, df: DataFrame) -> DataFrame:
+        """Rows of one source with their values; only rows that were reached become JSON."""
+        ids = reached.filter(F.col("node_id") == name)
+        values = F.struct(*[col(c) for c in df.columns if c != ROW_ID])
+        rows = df.select(F.col(ROW_ID).cast("bigint").alias("row_id"), values.alias("_values"))
+        as_json = F.to_json("_values", {"ignoreNullFields": "false"}).alias("row_values")
+        return ids.join(rows, on="row_id").select(*reached.columns, as_json)
+
     columns = ["start_node", "start_row", "node_id", "row_id"]
     if not ends:
         empty = walk.withColumn("row_values", F.lit(None).cast("string")).withColumn("opaque", F.lit(False))
         return empty.select(*columns, "paths", "row_values", "opaque")
     reached = union_all(*ends).groupBy(*columns).agg(F.sum("paths").alias("paths"))
     valued = (
-        reached.join(union_all(*known), on=["node_id", "row_id"]).withColumn("opaque", F.lit(False))
-        if known
+        union_all(*[valued_by(reached, name, df) for name, df in sources.items()]).withColumn("opaque", F.lit(False))
+        if sources
         else reached.limit(0).withColumn("row_values", F.lit(None).cast("string")).withColumn("opaque", F.lit(False))
     )
     ended = (
@@ -186,13 +187,13 @@ def trace_rows(
 
 
 def trace_row(
-    edges: DataFrame, node_id: str, row_id: int, sources: Mapping[str, DataFrame], max_depth: int = MAX_DEPTH
+    edges: DataFrame, node_id: str, row_id: int, sources: Mapping[str, DataFrame]
 ) -> DataFrame:
     """The source rows of one output row."""
     start = edges.sparkSession.createDataFrame([(node_id, row_id)], "node_id string, row_id bigint")
-    return trace_rows(edges, start, sources, max_depth)
+    return trace_rows(edges, start, sources)
 
 
-def trace_by_source(traced: DataFrame, size: int = 1000) -> DataFrame:
-    """Traced rows per source table, in parts of about ``size`` rows."""
-    return gathered(traced, ["node_id"], F.struct("row_id", "row_values", "opaque"), "rows", size)
+def trace_by_source(traced: DataFrame) -> DataFrame:
+    """The traced rows of each source table, each once, with ``n_rows`` of its table."""
+    return counted(traced.select("node_id", "row_id", "row_values", "opaque"), ["node_id"], "n_rows")

@@ -96,21 +96,25 @@ def list_runs(
     workspace: str | None = None,
     pipeline: str | None = None,
     status: str | None = None,
-    limit: int = 100,
+    limit: int | None = None,
     workspace_col: str = "workspace",
     pipeline_col: str = "pipeline_file",
     status_col: str = "status",
     created_at: str = "created_at",
     tie_breakers: Sequence[str] = (),
 ) -> DataFrame:
-    """The newest runs, of one workspace, with a text in the pipeline's name, in one status."""
+    """Runs, newest first, of one workspace, with a text in the pipeline's name, in one status.
+
+    All of them, or the newest ``limit``.
+    """
     if workspace:
         runs = runs.filter(col(workspace_col) == workspace)
     if pipeline:
         runs = runs.filter(F.contains(F.lower(F.coalesce(col(pipeline_col), F.lit(""))), F.lit(pipeline.lower())))
     if status:
         runs = runs.filter(col(status_col) == status)
-    return runs.orderBy(col(created_at).desc_nulls_last(), *[col(c).asc_nulls_last() for c in tie_breakers]).limit(limit)
+    ordered = runs.orderBy(col(created_at).desc_nulls_last(), *[col(c).asc_nulls_last() for c in tie_breakers])
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def run_history(
@@ -157,6 +161,15 @@ def status_changes(events: DataFrame, key: str, order_by: Sequence[str], state:
     return last_state(events, key, order_by, state)
 
 
+def manifest(files: DataFrame, path: str, content: str, skip: Sequence[str] = SKIPPED_FOLDERS) -> DataFrame:
+    """Path, size and SHA-256 of each row's content, leaving out rows in skipped folders."""
+    folders = F.slice(F.split(col(path), "/"), 1, F.size(F.split(col(path), "/")) - 1)
+    kept = files.filter(~F.arrays_overlap(folders, F.array(*[F.lit(s) for s in skip]))) if skip else files
+    return kept.select(
+        col(path).alias("file"), F.octet_length(col(content)).cast("bigint").alias("n_bytes"), F.sha2(col(content).cast("binary"), 256).alias("sha256")
+    )
+
+
 def file_manifest(spark, root: str, pattern: str = "*", skip: Sequence[str] = SKIPPED_FOLDERS) -> DataFrame:
     """Path and SHA-256 of each file under a folder, leaving out skipped folders."""
     files = (
@@ -164,10 +177,7 @@ def file_manifest(spark, root: str, pattern: str = "*", skip: Sequence[str] = SK
     )
     base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
     relative = F.regexp_replace("path", "^[a-z0-9]*:?/*" + _escaped(base) + "/", "")
-    folders = F.slice(F.split(F.col("file"), "/"), 1, F.size(F.split(F.col("file"), "/")) - 1)
-    listed = files.withColumn("file", relative)
-    kept = listed.filter(~F.arrays_overlap(folders, F.array(*[F.lit(s) for s in skip])))
-    return kept.select("file", F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+    return manifest(files.withColumn("file", relative), "file", "content", skip)
 
 
 def _escaped(text: str) -> str:

@@ -67,11 +67,11 @@ INPUT = "node_id string, input_no long, source_node_id string, column string"
 def test_schema_diff(spark, rows):
     inputs = spark.createDataFrame([("n", 0, "a", "x"), ("n", 0, "a", "y"), ("n", 1, "b", "x"), ("n", 1, "b", "z")], INPUT)
     outputs = spark.createDataFrame([("n", "x"), ("n", "new"), ("empty", "q")], "node_id string, column string")
-    got = rows(lineage.lineage_schema_diff(inputs, outputs).drop("confidence"))
+    got = rows(lineage.lineage_schema_diff(inputs, outputs, expand=True).drop("confidence"))
     assert got == sorted(
         [("n", "x", "a", "x")] + [("n", "new", s, c) for s, c in (("a", "x"), ("a", "y"), ("b", "x"), ("b", "z"))], key=repr
     )
-    short = lineage.lineage_schema_diff(inputs, outputs, expand=False).drop("confidence")
+    short = lineage.lineage_schema_diff(inputs, outputs).drop("confidence")
     assert rows(short) == [("n", "new", "a", "*"), ("n", "new", "b", "*"), ("n", "x", "a", "x")]
 
 
@@ -79,7 +79,7 @@ def test_tracked(spark, rows):
     inputs = spark.createDataFrame([("n", 0, "a", "x"), ("n", 0, "a", "y"), ("m", 0, "a", "x"), ("b", 0, "a", "x"), ("b", 0, "a", "y")], INPUT)
     accessed = spark.createDataFrame([("n", 0, "a", "x"), ("b", 0, "a", None)], INPUT)
     outputs = spark.createDataFrame([("n", "x"), ("n", "new"), ("m", "new"), ("b", "new")], "node_id string, column string")
-    assert rows(lineage.lineage_tracked(accessed, inputs, outputs)) == sorted(
+    assert rows(lineage.lineage_tracked(accessed, inputs, outputs, expand=True)) == sorted(
         [
             ("n", "x", "a", "x", "tracked"),
             ("n", "new", "a", "x", "tracked"),
@@ -115,15 +115,21 @@ def test_upsert_query_edges(spark, rows):
     fresh = table.filter("node_id = 'b'").withColumn("confidence", F.lit("tracked"))
     assert lineage.lineage_upsert(table, fresh).filter("node_id = 'b' AND confidence = 'tracked'").count() == 1
     assert [r.source_node_id for r in lineage.lineage_query(table, "c").collect()] == ["a", "b"]
-    edges = {(r.source_node_id, r.node_id): len(r.mappings) for r in lineage.lineage_edges(table).collect()}
+    edges = {(r.source_node_id, r.node_id): r.n_mappings for r in lineage.lineage_edges(table).collect()}
     assert edges == {("a", "b"): 1, ("a", "c"): 1, ("b", "c"): 1, ("c", "a"): 1}
 
 
-def test_gathered_cuts_large_groups(spark):
-    df = spark.range(5000).select(F.lit("hot").alias("k"), "id")
-    out = lineage.gathered(df, ["k"], F.col("id"), "ids", size=100).collect()
-    assert len(out) == 50 and max(len(r.ids) for r in out) < 200
-    assert sorted(i for r in out for i in r.ids) == list(range(5000))
+def test_equal_items_give_one_row(spark):
+    traced = spark.range(5000).select(F.lit("src").alias("node_id"), F.lit(1).alias("row_id"), F.lit("{}").alias("row_values"), F.lit(False).alias("opaque"))
+    (only,) = provenance.trace_by_source(traced).collect()
+    assert only.n_rows == 1
+
+
+def test_closure_of_a_long_chain(spark):
+    links = [(f"n{i}", "x", f"n{i + 1}", "x", "tracked") for i in range(30)] + [("n30", "x", "n0", "x", "sql_exact")]
+    table = spark.createDataFrame(links, "node_id string, output_column string, source_node_id string, source_column string, confidence string")
+    start = spark.createDataFrame([("n0", "x")], "node_id string, column string")
+    assert lineage.lineage_closure(table, start).count() == 30
 
 
 # --- provenance ----------------------------------------------------------------------
@@ -153,11 +159,13 @@ def test_trace_opaque_and_shared_paths(spark, rows):
     assert rows(out.select("node_id", "row_id", "paths", "opaque")) == [("agg", 0, 1, True), ("src", 0, 2, False)]
 
 
-def test_trace_stops_at_the_depth(spark):
+def test_trace_goes_all_the_way(spark):
     source = spark.createDataFrame([(0, "v")], "_row_id int, x string")
-    edges = edge_table(spark, [(f"n{i}", 0, f"n{i + 1}", 0) for i in range(5)])
-    assert provenance.trace_row(edges, "n0", 0, {"n5": source}, max_depth=5).count() == 1
-    assert provenance.trace_row(edges, "n0", 0, {"n5": source}, max_depth=4).count() == 0
+    edges = edge_table(spark, [(f"n{i}", 0, f"n{i + 1}", 0) for i in range(30)])
+    assert provenance.trace_row(edges, "n0", 0, {"n30": source}).count() == 1
+    circle = edge_table(spark, [("a", 0, "b", 0), ("b", 0, "a", 0)])
+    with pytest.raises(ValueError, match="cycle"):
+        provenance.trace_row(circle, "a", 0, {"c": source})
 
 
 def test_trace_group_matches_missing_keys(spark, rows):
@@ -228,7 +236,14 @@ def test_sink_source_edges(spark, rows):
     columns = "pipeline string, path string, templated boolean"
     sinks = spark.createDataFrame([("a", "/w/s.dta", False), ("b", "/w/t.dta", True), ("c", "/w/own.dta", False), ("d", "/w/none", False)], columns)
     sources = spark.createDataFrame([("x", "/W/./s.dta", False), ("y", "/w/s.dta", False), ("z", "/w/t.dta", False), ("c", "/w/own.dta", False)], columns)
-    assert rows(graph.sink_source_edges(sinks, sources)) == [("a", "y", "/w/s.dta", True), ("b", "z", "/w/t.dta", False)]
+    named = spark.createDataFrame([("a",), ("z",), ("c",)], "pipeline string")
+    edges = [("a", "x", "/w/s.dta", True), ("a", "y", "/w/s.dta", True), ("b", "z", "/w/t.dta", False)]
+    assert rows(graph.sink_source_edges(sinks, sources, named)) == edges
+    assert rows(graph.sink_source_edges(sinks, sources, named.filter("pipeline = 'y'"))) == []
+    assert rows(graph.sink_source_edges(sinks, sources, spark.createDataFrame([("y",)], "pipeline string"))) == edges[1:2]
+    uses = rows(graph.shared_paths(sinks, sources).select("shared_path", "role", "pipeline"))
+    assert [u for u in uses if u[0] == "/w/s.dta"] == [("/w/s.dta", "reader", "x"), ("/w/s.dta", "reader", "y"), ("/w/s.dta", "writer", "a")]
+    assert not any(u[0] == "/w/none" for u in uses)
 
 
 # --- run logs ------------------------------------------------------------------------

@@ -36,6 +36,9 @@ def test_value_range(spark):
     ]
     assert found(df, Check("value_range", "s", min_value=0)) == ["[value_range:s] could not compare values (non-numeric?)"]
     assert found(df, Check("value_range", "n", min_value=0, max_value=4)) == []
+    text = df.sparkSession.createDataFrame([("9",), ("10",), (None,)], "t string")
+    assert found(text, Check("value_range", "t", max_value=9.5)) == ["[value_range:t] max value 10.0 > 9.5"]
+    assert [r.t for r in quality.dq_violations(text, [Check("value_range", "t", max_value=9.5)]).collect()] == ["10"]
     assert found(df.filter("false"), Check("value_range", "x", min_value=0)) == []
 
 
@@ -69,7 +72,7 @@ def test_observe(spark):
     df = spark.createDataFrame([(1.0,), (None,)], "v double")
     watched, seen = quality.dq_observe(df, [Check("null_rate", "v"), Check("value_range", "v")])
     assert watched.count() == 2
-    assert seen.get == {"_rows": 2, "_null0": 0.5, "_min1": 1.0, "_max1": 1.0}
+    assert seen.get == {"_rows": 2, "_null0": 0.5, "_min1": 1.0, "_max1": 1.0, "_odd1": 0}
     with pytest.raises(ValueError):
         quality.dq_observe(df, [Check("unique", "v")])
 

@@ -32,9 +32,10 @@ def test_coerce_types(spark, rows):
 
 def test_coerce_types_keeps_a_column_with_fractions(spark):
     df = spark.createDataFrame([(1.5, "7"), (2.0, "8.0")], "a double, b string")
-    kept = projection.coerce_types(df, {"a": "int", "b": "int"}, on_fraction="keep_column")
+    kept = projection.coerce_types(df, {"a": "int", "b": "int"})
     assert [t for _, t in kept.dtypes] == ["double", "bigint"]
-    assert [r.a for r in projection.coerce_types(df, {"a": "int"}).orderBy("a").collect()] == [1, 2]
+    cut = projection.coerce_types(df, {"a": "int"}, on_fraction="truncate")
+    assert [r.a for r in cut.orderBy("a").collect()] == [1, 2]
 
 
 def test_coerce_keeps_long_whole_numbers(spark):
@@ -48,6 +49,9 @@ def test_map_values_keeps_what_is_not_listed(spark, rows):
     lookup = spark.createDataFrame([("a", "x")], "k string, v string")
     assert rows(projection.map_values(df, "s", lookup)) == rows(projection.map_values(df, "s", {"a": "x"}))
     assert [r.n for r in projection.map_values(df, "n", {1: "one"}).collect()] == ["one", "2", None]
+    big = spark.createDataFrame([(3_000_000_000, "x"), (1, "1")], "b long, s string")
+    assert [r.b for r in projection.map_values(big, "b", {1: 9, "y": 4}).collect()] == [3_000_000_000, 9]
+    assert [r.s for r in projection.map_values(big, "s", {1: "one"}).collect()] == ["x", "one"]
 
 
 def test_derive_columns_names_the_failing_column(spark):

@@ -82,6 +82,8 @@ def test_top_n_and_dedup(table, rows):
     assert {r.g for r in best.collect()} == {"a", "b"} and best.count() == 4
     assert [r.id for r in windows.top_n(table, 3, tie_breakers=["id"]).collect()] == [0, 1, 2]
     assert [r.v for r in windows.top_n(table, 100, "v").collect()][-1] is None
+    with pytest.raises(ValueError, match="top_n"):
+        windows.top_n(table, 3)
     newest = windows.deduplicate_by_key(table, "g", "id")
     assert {r.g: r.id for r in newest.collect()} == {None: 56, "a": 58, "b": 59}
     assert newest.columns == ["id", "g", "v"]
@@ -102,3 +104,11 @@ def test_last_state_keeps_first_and_changed(spark, rows):
     assert rows(windows.last_state(df, "k", ["t"], ["s"])) == sorted(
         [(1, 1, "a"), (1, 3, None), (1, 5, "a"), (2, 1, None), (2, 2, "z")], key=repr
     )
+
+
+def test_many_rows_of_a_hot_group(spark):
+    """Beyond the number that Spark cuts before the shuffle, a large group is spread over ordered runs."""
+    hot = spark.range(12_000).select("id", F.when(F.col("id") % 10 < 9, "hot").otherwise("cold").alias("g"))
+    best = windows.top_n(hot, 5_000, "id", partition_by="g")
+    assert {r.g: r["count"] for r in best.groupBy("g").count().collect()} == {"hot": 5_000, "cold": 1_200}
+    assert best.filter("g = 'hot'").agg(F.min("id")).first()[0] == hot.filter("g = 'hot'").orderBy(F.desc("id")).limit(5_000).agg(F.min("id")).first()[0]

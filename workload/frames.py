@@ -73,6 +73,28 @@ def _(spark, folder):
     return coerced.withColumn("as_day", F.col("as_day").cast("date"))
 
 
+@query(
+    "coerce_types_fractions",
+    "SELECT o_orderkey, o_totalprice, CAST(o_custkey AS BIGINT) AS as_int FROM orders",
+)
+def _(spark, folder):
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice", F.col("o_custkey").cast("double").alias("as_int"))
+    return projection.coerce_types(orders, {"o_totalprice": "int", "as_int": "int"})
+
+
+@query(
+    "map_values_large_keys",
+    """SELECT o_orderkey, CASE o_orderkey + 3000000000 WHEN 3000000001 THEN 9 WHEN 3000000002 THEN 8 ELSE o_orderkey + 3000000000 END AS big,
+              CASE o_orderpriority WHEN '1' THEN 'one' WHEN '5-LOW' THEN 'low' ELSE o_orderpriority END AS o_orderpriority FROM orders""",
+)
+def _(spark, folder):
+    orders = table(spark, folder, "orders").select(
+        "o_orderkey", (F.col("o_orderkey") + F.lit(3_000_000_000)).cast("bigint").alias("big"), "o_orderpriority"
+    )
+    mapped = projection.map_values(orders, "big", {1: 7, 3_000_000_001: 9, 3_000_000_002: 8, "x": 1})
+    return projection.map_values(mapped, "o_orderpriority", {1: "one", "5-LOW": "low"})
+
+
 @query(
     "map_values",
     """SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' ELSE o_orderstatus END AS o_orderstatus

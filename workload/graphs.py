@@ -130,11 +130,32 @@ def _(spark, folder):
             sources AS (SELECT 'mart_' || c_custkey AS pipeline, c_custkey AS k, c_acctbal < 0 AS t FROM customer
                         UNION ALL SELECT 'audit_' || o_orderkey, o_custkey, FALSE FROM orders
                         UNION ALL SELECT 'zeta_' || c_custkey, c_custkey, TRUE FROM customer WHERE c_mktsegment = 'BUILDING'),
-            last AS (SELECT k, MAX(pipeline) AS pipeline, arg_max(t, pipeline) AS t FROM sources GROUP BY k)
-       SELECT s.pipeline AS source_pipeline, l.pipeline AS target_pipeline, s.path AS shared_path, NOT (s.t OR l.t) AS resolved
-       FROM sinks s JOIN last l ON s.k = l.k WHERE s.pipeline <> l.pipeline""",
+            named AS (SELECT 'mart_' || c_custkey AS pipeline FROM customer)
+       SELECT s.pipeline AS source_pipeline, r.pipeline AS target_pipeline, s.path AS shared_path, NOT (s.t OR r.t) AS resolved
+       FROM sinks s JOIN sources r ON s.k = r.k WHERE s.pipeline <> r.pipeline
+         AND (s.pipeline IN (SELECT pipeline FROM named) OR r.pipeline IN (SELECT pipeline FROM named))""",
 )
 def _(spark, folder):
+    sinks, sources = uses(spark, folder)
+    named = table(spark, folder, "customer").select(tagged("mart_", "c_custkey").alias("pipeline"))
+    return graph.sink_source_edges(sinks, sources, named)
+
+
+@query(
+    "shared_paths",
+    """WITH uses AS (SELECT o_custkey AS k, 'writer' AS role, 'load_' || o_orderkey AS pipeline, o_orderstatus = 'P' AS templated FROM orders
+                     UNION ALL SELECT c_custkey, 'writer', 'mart_' || c_custkey, FALSE FROM customer
+                     UNION ALL SELECT c_custkey, 'reader', 'mart_' || c_custkey, c_acctbal < 0 FROM customer
+                     UNION ALL SELECT o_custkey, 'reader', 'audit_' || o_orderkey, FALSE FROM orders
+                     UNION ALL SELECT c_custkey, 'reader', 'zeta_' || c_custkey, TRUE FROM customer WHERE c_mktsegment = 'BUILDING')
+       SELECT '/lake/customer/' || k || '.dta' AS shared_path, role, pipeline, templated FROM uses""",
+)
+def _(spark, folder):
+    return graph.shared_paths(*uses(spark, folder))
+
+
+def uses(spark, folder):
+    """Pipelines that write and read one file per customer."""
     orders, customers = table(spark, folder, "orders"), table(spark, folder, "customer")
 
     def rows(df, name, key, path, key2, flag):
@@ -150,4 +171,4 @@ def _(spark, folder):
         .unionByName(rows(orders, "audit_", "o_orderkey", "/lake/customer/", "o_custkey", no))
         .unionByName(rows(customers.filter("c_mktsegment = 'BUILDING'"), "zeta_", "c_custkey", "/LAKE/customer/", "c_custkey", F.lit(True)))
     )
-    return graph.sink_source_edges(sinks, sources)
+    return sinks, sources

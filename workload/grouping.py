@@ -325,7 +325,7 @@ def _register_ranks() -> None:
 _register_ranks()
 
 
-@query("probe_row_id", "SELECT *, ROW_NUMBER() OVER (ORDER BY event_id) - 1 AS _row_id FROM events ORDER BY event_id LIMIT 50")
+@query("probe_row_id", "SELECT *, ROW_NUMBER() OVER (ORDER BY event_id) - 1 AS _row_id FROM events")
 def _(spark, folder):
     return windows.probe_row_id(table(spark, folder, "events"), ["event_id"])
 
@@ -333,7 +333,7 @@ def _(spark, folder):
 @query("probe_row_id_all", "SELECT o_orderkey, o_orderdate, ROW_NUMBER() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS _row_id FROM orders")
 def _(spark, folder):
     orders = table(spark, folder, "orders").select("o_orderkey", "o_orderdate")
-    return windows.probe_row_id(orders, ["o_orderdate", "o_orderkey"], None)
+    return windows.probe_row_id(orders, ["o_orderdate", "o_orderkey"])
 
 
 @query(
@@ -400,7 +400,7 @@ def _(spark, folder):
     return plain(out)
 
 
-@query("level_members", "SELECT DISTINCT c_name AS member FROM customer ORDER BY 1 LIMIT 200")
+@query("level_members", "SELECT DISTINCT c_name AS member FROM customer")
 def _(spark, folder):
     return cube.level_members(table(spark, folder, "customer"), "c_name")
 
@@ -444,6 +444,15 @@ def _(spark, folder):
     return preview.chart_pivot(events, "day", ["value"], "event_type", ["click", "view"], ["ts", "event_id"])
 
 
+@query(
+    "chart_series",
+    """SELECT CAST(ts AS DATE) AS x, event_type AS series, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2""",
+)
+def _(spark, folder):
+    events = table(spark, folder, "events").withColumn("day", F.col("ts").cast("date"))
+    return preview.chart_series(events, "day", ["value"], "event_type", ["ts", "event_id"])
+
+
 @query(
     "infer_chart_columns",
     """SELECT 'event_id' AS "column", TRUE AS is_numeric, FALSE AS is_date UNION ALL SELECT 'event_type', COUNT(TRY_CAST(event_type AS DOUBLE)) > 0, FALSE FROM events

@@ -77,7 +77,7 @@ def _(spark, folder):
 @query(
     "list_runs",
     f"""WITH {SESSIONS} SELECT * FROM sessions WHERE contains(lower(pipeline_path), 'c1') AND status = 'running'
-        ORDER BY created_at DESC, session_id LIMIT 100""",
+        ORDER BY created_at DESC, session_id""",
 )
 def _(spark, folder):
     return runlog.list_runs(

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tablecraft.plans.runlog import file_manifest
+from tablecraft.plans.runlog import manifest, manifest_changes
 from tablecraft.session import new_path, settle
 from tablecraft.sources import files, records, tables, writers
 
@@ -93,9 +93,31 @@ def _(spark, folder):
     return found.select("event_id", F.variant_get("props", "$.k", "bigint").alias("k"))
 
 
-@query("file_manifest")
+MANIFEST = """SELECT concat(lang, '/', source, '/', doc_id) AS file, CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS sha256
+  FROM documents WHERE source NOT IN ('src3', 'src4')"""
+
+
+def document_files(spark, folder):
+    """Documents as files, in a folder per language and source."""
+    path = F.concat_ws("/", "lang", "source", F.col("doc_id").cast("string"))
+    return table(spark, folder, "documents").select(path.alias("path"), "text", "n_chars")
+
+
+@query("file_manifest", MANIFEST)
+def _(spark, folder):
+    return manifest(document_files(spark, folder), "path", "text", ["src3", "src4"])
+
+
+@query(
+    "manifest_changes",
+    """SELECT concat(lang, '/', source, '/', doc_id) AS file, CASE WHEN n_chars % 3 = 0 THEN 'removed' ELSE 'changed' END AS change
+       FROM documents WHERE n_chars % 3 < 2""",
+)
 def _(spark, folder):
-    return file_manifest(spark, folder, "*.parquet")
+    old = document_files(spark, folder)
+    text = F.when(F.col("n_chars") % 3 == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    new = old.filter("n_chars % 3 > 0").withColumn("text", text)
+    return manifest_changes(manifest(old, "path", "text", []), manifest(new, "path", "text", []))
 
 
 @query("read_table", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA'")

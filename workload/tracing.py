@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablecraft.plans import lineage, provenance
-from tablecraft.session import settle
 
 from .base import query, table
 from .graphs import tagged
@@ -24,11 +23,13 @@ ACCESSED = """accessed AS (
   FROM lineitem WHERE l_linestatus = 'O')"""
 
 
-def by_name(outputs: str, known: str, confidence: str) -> str:
+def by_name(outputs: str, known: str, confidence: str, expand: bool = False) -> str:
+    """SQL of lineage by name; without ``expand`` a new column has one line per input."""
+    column = 'k."column"' if expand else "'*'"
     return f"""SELECT o.node_id, o."column" AS output_column, f.source_node_id, o."column" AS source_column, '{confidence}' AS confidence
       FROM {outputs} o JOIN (SELECT node_id, "column", arg_min(source_node_id, input_no) AS source_node_id FROM {known} GROUP BY 1, 2) f
         ON o.node_id = f.node_id AND o."column" = f."column"
-      UNION ALL SELECT o.node_id, o."column", k.source_node_id, k."column", '{confidence}'
+      UNION ALL SELECT {'' if expand else 'DISTINCT '}o.node_id, o."column", k.source_node_id, {column}, '{confidence}'
       FROM {outputs} o JOIN {known} k ON o.node_id = k.node_id
       WHERE NOT EXISTS (SELECT 1 FROM {known} x WHERE x.node_id = o.node_id AND x."column" = o."column")"""
 
@@ -57,6 +58,11 @@ def schema_diff(spark, folder):
     return lineage.lineage_schema_diff(inputs(spark, folder), outputs(spark, folder))
 
 
+@query("lineage_schema_diff_expanded", f"WITH {INPUTS}, {OUTPUTS} {by_name('outputs', 'inputs', 'schema_diff', True)}")
+def _(spark, folder):
+    return lineage.lineage_schema_diff(inputs(spark, folder), outputs(spark, folder), expand=True)
+
+
 READ = """read AS (
   SELECT DISTINCT node_id, input_no, source_node_id, "column" FROM accessed WHERE "column" IS NOT NULL
   UNION SELECT i.node_id, i.input_no, i.source_node_id, i."column" FROM inputs i
@@ -133,13 +139,11 @@ def _(spark, folder):
 
 @query(
     "lineage_edges",
-    f"""WITH {LINEAGE} SELECT source_node_id, node_id, 0 AS part, COUNT(*) AS n_mappings,
-        string_agg(output_column || '<' || source_column || ':' || confidence, ';' ORDER BY confidence) AS mappings FROM lineage GROUP BY 1, 2""",
+    f"""WITH {LINEAGE} SELECT source_node_id, node_id, output_column, source_column, confidence,
+        COUNT(*) OVER (PARTITION BY source_node_id, node_id) AS n_mappings FROM lineage""",
 )
 def _(spark, folder):
-    out = lineage.lineage_edges(hops(spark, folder))
-    text = F.transform("mappings", lambda m: F.concat(m.output_column, F.lit("<"), m.source_column, F.lit(":"), m.confidence))
-    return out.withColumn("n_mappings", F.size("mappings").cast("bigint")).withColumn("mappings", F.array_join(text, ";"))
+    return lineage.lineage_edges(hops(spark, folder))
 
 
 @query(
@@ -162,14 +166,17 @@ NUMBERED = """orders_id AS (SELECT *, ROW_NUMBER() OVER (ORDER BY o_orderkey) -
 customer_id AS (SELECT *, ROW_NUMBER() OVER (ORDER BY c_custkey) - 1 AS id FROM customer)"""
 
 
-def numbered(spark, folder):
+def numbered_orders(spark, folder):
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return provenance.stamp_row_id(orders, ["o_orderkey"])
+
+
+def numbered(spark, folder):
     customers = table(spark, folder, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    stamped = (provenance.stamp_row_id(orders, ["o_orderkey"], None), provenance.stamp_row_id(customers, ["c_custkey"], None))
-    return tuple(settle(s, "stamped") for s in stamped)
+    return numbered_orders(spark, folder), provenance.stamp_row_id(customers, ["c_custkey"])
 
 
-@query("stamp_row_id", "SELECT *, ROW_NUMBER() OVER (ORDER BY p_partkey) - 1 AS _row_id FROM part ORDER BY p_partkey LIMIT 50")
+@query("stamp_row_id", "SELECT *, ROW_NUMBER() OVER (ORDER BY p_partkey) - 1 AS _row_id FROM part")
 def _(spark, folder):
     return provenance.stamp_row_id(table(spark, folder, "part"), ["p_partkey"])
 
@@ -179,7 +186,7 @@ def _(spark, folder):
     f"WITH {NUMBERED} SELECT 'open' AS node_id, id AS output_row_id, 'orders' AS source_node_id, id AS source_row_id FROM orders_id WHERE o_orderstatus = 'O'",
 )
 def _(spark, folder):
-    orders, _ = numbered(spark, folder)
+    orders = numbered_orders(spark, folder)
     return provenance.trace_rowwise(orders.filter("o_orderstatus = 'O'"), "open", "orders")
 
 
@@ -203,7 +210,7 @@ def _(spark, folder):
 
 def grouped(orders):
     counted = orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
-    return settle(provenance.stamp_row_id(counted, ["o_custkey"], None), "stamped")
+    return provenance.stamp_row_id(counted, ["o_custkey"])
 
 
 GROUPED = "grouped AS (SELECT o_custkey, COUNT(*) AS n, ROW_NUMBER() OVER (ORDER BY o_custkey) - 1 AS id FROM orders GROUP BY 1)"
@@ -215,7 +222,7 @@ GROUPED = "grouped AS (SELECT o_custkey, COUNT(*) AS n, ROW_NUMBER() OVER (ORDER
         FROM orders_id o JOIN grouped g ON o.o_custkey = g.o_custkey""",
 )
 def _(spark, folder):
-    orders, _ = numbered(spark, folder)
+    orders = numbered_orders(spark, folder)
     return provenance.trace_group(orders, grouped(orders), ["o_custkey"], "per_customer", "orders")
 
 
@@ -264,8 +271,10 @@ def _(spark, folder):
     return walked(spark, folder).select("start_row", "node_id", "row_id", "paths", value.alias("value"), "opaque")
 
 
-@query("trace_by_source", f"WITH {WALKED} SELECT node_id, COUNT(*) AS n_rows, SUM(row_id)::BIGINT AS row_ids FROM walked GROUP BY 1")
+@query(
+    "trace_by_source",
+    f"""WITH {WALKED}, rows AS (SELECT DISTINCT node_id, row_id, opaque FROM walked)
+        SELECT *, COUNT(*) OVER (PARTITION BY node_id) AS n_rows FROM rows""",
+)
 def _(spark, folder):
-    parts = provenance.trace_by_source(walked(spark, folder))
-    per_part = parts.select("node_id", F.size("rows").alias("n"), F.aggregate("rows", F.lit(0).cast("long"), lambda a, r: a + r.row_id).alias("s"))
-    return per_part.groupBy("node_id").agg(F.sum("n").alias("n_rows"), F.sum("s").alias("row_ids"))
+    return provenance.trace_by_source(walked(spark, folder)).select("node_id", "row_id", "opaque", "n_rows")
