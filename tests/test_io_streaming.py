@@ -53,7 +53,7 @@ def test_stata_round_trip(spark, tmp_path, rows):
 def test_read_table_rules(spark):
     spark.range(3).createOrReplaceTempView("three")
     assert tables.read_table(spark, "three").count() == 3
-    assert tables.read_table(spark, query="SELECT 1 AS id, 'hello' AS msg").columns == ["id", "msg"]
+    assert tables.read_table(spark, query="SELECT DATE '2024-02-29' AS leap, 366 AS days").columns == ["leap", "days"]
     assert tables.read_table(spark, "three", "x", override="SELECT 7 AS n").first().n == 7
     assert tables.read_table(spark, "three", "x", template="SELECT id FROM three WHERE id > :a", args={"a": 1}).count() == 1
     for bad in ({"table": "a", "query": "b"}, {}):

@@ -23,10 +23,9 @@ def frames(spark):
 @pytest.mark.parametrize(
     ("text", "expected"),
     [
-        ("SELECT price FROM raw", {"price": ["raw.price"]}),
-        ("SELECT price AS close FROM raw", {"close": ["raw.price"]}),
-        ("SELECT * FROM raw", {"price": ["raw.price"], "volume": ["raw.volume"], "k": ["raw.k"]}),
-        ("SELECT price * volume AS notional, 1 AS one FROM raw", {"notional": ["raw.price", "raw.volume"], "one": []}),
+        ("SELECT k, upper(name) FROM dim", {"k": ["dim.k"], "upper(name)": ["dim.name"]}),
+        ("SELECT d.* FROM raw r JOIN dim d USING (k)", {"k": ["dim.k"], "name": ["dim.name"]}),
+        ("SELECT CASE WHEN volume > 5 THEN price END AS dear, 'c' AS c FROM raw", {"dear": ["raw.price", "raw.volume"], "c": []}),
         (
             "WITH c AS (SELECT k, sum(price) p FROM raw GROUP BY k) SELECT a.p + b.p AS s, a.k FROM c a JOIN c b ON a.k = b.k",
             {"s": ["raw.price"], "k": ["raw.k"]},
@@ -140,13 +139,15 @@ def edge_table(spark, data):
 
 
 def test_trace_to_the_source(spark):
-    source = spark.createDataFrame([(0, 100.0), (1, 200.0), (2, 300.0)], "_row_id int, price double")
-    edges = edge_table(spark, [("transform", i, "load", i) for i in range(3)])
-    for row, price in ((0, 100.0), (2, 300.0)):
-        (r,) = provenance.trace_row(edges, "transform", row, {"load": source}).collect()
-        assert (r.node_id, r.row_id, r.opaque, r.row_values) == ("load", row, False, f'{{"price":{price}}}')
-    assert provenance.trace_row(edges, "unknown", 0, {"load": source}).count() == 0
-    assert provenance.trace_row(edges, "transform", 9, {"load": source}).count() == 0
+    source = spark.createDataFrame([(i, f"town{i}", i % 3 or None) for i in range(8)], "_row_id int, town string, zone int")
+    # Every second row went on, in reverse.
+    edges = edge_table(spark, [("north", i, "towns", 7 - 2 * i) for i in range(4)])
+    for row, source_row, zone in ((1, 5, 2), (2, 3, "null")):
+        (r,) = provenance.trace_row(edges, "north", row, {"towns": source}).collect()
+        assert (r.node_id, r.row_id, r.opaque) == ("towns", source_row, False)
+        assert r.row_values == f'{{"town":"town{source_row}","zone":{zone}}}'
+    assert provenance.trace_row(edges, "south", 0, {"towns": source}).count() == 0
+    assert provenance.trace_row(edges, "north", 4, {"towns": source}).count() == 0
 
 
 def test_trace_opaque_and_shared_paths(spark, rows):
