@@ -73,19 +73,12 @@ def cube_metadata(dimensions: Mapping[str, tuple[DataFrame, Sequence[str]]]) ->
     """Per dimension and level, from the top level down: how many members it has."""
     parts = []
     for name, (table, levels) in dimensions.items():
-        counted = table.agg(*[F.count_distinct(col(c)).alias(f"n{i}") for i, c in enumerate(levels)])
-        described = F.array(
-            *[
-                F.struct(
-                    F.lit(name).alias("dimension"),
-                    F.lit(c).alias("level"),
-                    F.lit(i).alias("level_number"),
-                    F.col(f"n{i}").alias("n_members"),
-                )
-                for i, c in enumerate(levels)
-            ]
-        )
-        parts.append(counted.select(F.inline(described)))
+        # An aggregate each: several distinct counts in one would multiply the rows.
+        for i, c in enumerate(levels):
+            counted = table.agg(F.count_distinct(col(c)).alias("n_members"))
+            parts.append(
+                counted.select(F.lit(name).alias("dimension"), F.lit(c).alias("level"), F.lit(i).alias("level_number"), "n_members")
+            )
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

@@ -19,12 +19,13 @@ def read_parquet(spark: SparkSession, path: str, **options: Any) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None, **options: Any) -> DataFrame:
-    """CSV with a header. Quoted cells may hold commas, quotes and line breaks.
+    """CSV with a header. Quoted cells may hold commas and quotes.
 
-    A schema spares the pass that infers one. Without it types are inferred and
+    Files are split among tasks. Where cells hold line breaks, pass
+    ``multiLine=True``: each file is then read by one task. A schema spares the pass that infers one. Without it types are inferred and
     dates stay text, as they are written.
     """
-    settings = {"header": True, "sep": ",", "quote": '"', "escape": '"', "multiLine": True} | options
+    settings = {"header": True, "sep": ",", "quote": '"', "escape": '"'} | options
     reader = spark.read.options(**settings)
     if schema is not None:
         return reader.schema(schema).csv(path)

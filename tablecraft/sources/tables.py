@@ -77,13 +77,14 @@ def jdbc_options(
     connection: Connection,
     query: str | None = None,
     table: str | None = None,
-    partition: tuple[str, Any, Any, int] | None = None,
+    *,
+    partition: tuple[str, Any, Any, int] | None,
     fetch_size: int = 10_000,
 ) -> dict[str, str]:
     """Reader options for a query or table.
 
     ``partition`` is ``(column, lower, upper, partitions)`` and reads ranges in
-    parallel; without it a single task reads all rows.
+    parallel. It must be given; ``None`` says that one task may read all rows.
     """
     if bool(query) == bool(table):
         raise ValueError("give either a query or a table")

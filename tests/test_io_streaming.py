@@ -16,7 +16,7 @@ def test_csv_round_trip_with_awkward_cells(spark, tmp_path, rows):
     df = spark.createDataFrame(data, "a int, b string")
     path = str(tmp_path / "csv")
     writers.write_csv(df, path)
-    assert rows(files.read_csv(spark, path, df.schema)) == data
+    assert rows(files.read_csv(spark, path, df.schema, multiLine=True)) == data
     text = "".join(p.read_bytes().decode() for p in (tmp_path / "csv").glob("part-*.csv"))
     assert '"say ""hi"", ok"' in text and "back\\slash" in text
 
@@ -75,11 +75,11 @@ def test_connections():
 
 def test_jdbc_options(spark):
     connection = Connection("jdbc:a", {"user": "u"})
-    assert tables.jdbc_options(connection, query="SELECT 1")["query"] == "SELECT 1"
+    assert tables.jdbc_options(connection, query="SELECT 1", partition=None)["query"] == "SELECT 1"
     ranged = tables.jdbc_options(connection, table="t", partition=("id", 0, 100, 4))
     assert (ranged["partitionColumn"], ranged["numPartitions"], ranged["dbtable"], ranged["user"]) == ("id", "4", "t", "u")
     with pytest.raises(ValueError):
-        tables.jdbc_options(connection)
+        tables.jdbc_options(connection, partition=None)
     df = spark.createDataFrame([(1, float("nan"), "a", [1])], "i int, f double, s string, l array<int>")
     ready = writers.for_jdbc(df)
     assert tuple(ready.first()) == (1, None, "a", "[1]")

@@ -51,7 +51,7 @@ def _(spark, folder):
     pages = table(spark, folder, "pages")
     path = new_path(spark, "csv")
     writers.write_csv(pages, path)
-    return files.read_csv(spark, path, pages.schema)
+    return files.read_csv(spark, path, pages.schema, multiLine=True)
 
 
 @query("read_stata", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
