@@ -24,8 +24,9 @@ from pyspark.sql import types as T
 from ..session import settle
 
 SEED = 20
-#: Nodes per bucket, about.
-BUCKET = 5_000
+#: Nodes per bucket at most. A round sends each vector to every bucket that needs it, so larger buckets mean
+#: fewer copies; a task holds at most this many lists and, in half precision, the vectors in them.
+BUCKET = 26_000
 LIST = "node long, x binary, ids array<long>, sims array<float>, fresh array<boolean>, bucket int"
 
 
@@ -68,10 +69,17 @@ def _x(matrix: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(half), [None, pa.py_buffer(half)]).cast(pa.binary())
 
 
-def _matrix(column) -> np.ndarray:
+def _halves(column) -> np.ndarray:
+    """A column ``x`` as a matrix of half precision, read in place."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), np.float16).reshape(len(rows), -1).astype(np.float32) if rows else np.zeros((0, 1), np.float32)
+    if not len(column):
+        return np.zeros((0, 1), np.float16)
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.float16)[ends[0] // 2 : ends[-1] // 2].reshape(len(column), -1)
+
+
+def _matrix(column) -> np.ndarray:
+    return _halves(column).astype(np.float32)
 
 
 def _flat(column) -> tuple[np.ndarray, np.ndarray]:
@@ -269,7 +277,7 @@ def _joined(gathered: DataFrame, lists: DataFrame, s: Settings, buckets: int) ->
 
     def join(centers: pa.Table, vectors: pa.Table) -> pa.Table:
         vectors = vectors.sort_by("member")
-        member, x, last = _array(vectors["member"]), _matrix(vectors["x"]), _array(vectors["last"])
+        member, x, last = _array(vectors["member"]), _halves(vectors["x"]), _array(vectors["last"])
         sides = []
         for name in ("fresh", "old"):
             row, ids = _flat(centers[name])
@@ -279,7 +287,8 @@ def _joined(gathered: DataFrame, lists: DataFrame, s: Settings, buckets: int) ->
         for i in range(len(centers)):
             new, old = (at[ends[i] : ends[i + 1]] for ends, at in sides)
             every = np.concatenate([new, old])
-            sims = x[new] @ x[every].T
+            around = x[every].astype(np.float32)
+            sims = around[: len(new)] @ around.T
             a, b = np.nonzero((sims > np.minimum(last[new][:, None], last[every][None])) & (new[:, None] != every[None]))
             value = sims[a, b]
             a, b = new[a], every[b]
