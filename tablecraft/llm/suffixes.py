@@ -59,15 +59,22 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Hashes:
-    """Hashes of any stretch of a buffer, in constant time each."""
+    """Hashes of any stretch of a buffer, in constant time each.
 
-    def __init__(self, buffer: np.ndarray) -> None:
+    ``places`` counts the bytes of each text in the buffer from 0, where it holds more than the tables
+    do; stretches then lie within a text.
+    """
+
+    def __init__(self, buffer: np.ndarray, places: np.ndarray | None = None) -> None:
         up, self.down, numbers = _tables()
-        sums = np.cumsum(numbers[buffer] * up[: len(buffer)], dtype=np.uint64)
+        self.places = places
+        weights = up[: len(buffer)] if places is None else up[places]
+        sums = np.cumsum(numbers[buffer] * weights, dtype=np.uint64)
         self.sums = np.concatenate([np.zeros(1, np.uint64), sums])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[end] - self.sums[start]) * self.down[start])
+        place = start if self.places is None else self.places[start]
+        return _mix((self.sums[end] - self.sums[start]) * self.down[place])
 
 
 def _starts(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +175,8 @@ def _strings(rows: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     begins = np.cumsum(lengths) - lengths
     at, first, last = _unpacked(rows.column("place").to_numpy(zero_copy_only=False))
     here, owner = _starts(begins, begins + last - first + 1)
-    hashes = Hashes(np.frombuffer(b"".join(parts), np.uint8)).of(here, here + LENGTH)
+    places = np.arange(lengths.sum()) - np.repeat(begins, lengths)
+    hashes = Hashes(np.frombuffer(b"".join(parts), np.uint8), places).of(here, here + LENGTH)
     start = here - begins[owner] + first[owner]
     core = rows.column("core").to_numpy(zero_copy_only=False).view(np.uint64)
     return owner, start, _mix(hashes + core[owner] * _ONE + (at[owner] - start).astype(np.uint64) * _TWO)

@@ -68,6 +68,22 @@ def test_against_all_strings(spark, monkeypatch, seed, together, part):
     assert sum(e[2] > 0 for e in expected) > 30
 
 
+def test_strings_of_many_suffixes():
+    """More bytes than a part holds: equal text at equal places has equal names, other text has not."""
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    parts = [rng.randbytes(300) for _ in range(4_000)]
+    place = (1000 << 16) | (100 << 8)
+    rows = pa.RecordBatch.from_arrays(
+        [pa.array([1] * 8_000), pa.array([1] * 8_000), pa.array(range(8_000)), pa.array([place] * 8_000), pa.array(parts * 2)],
+        ["core", "n", "key", "place", "part"],
+    )
+    row, start, names = suffixes._strings(rows)
+    assert len(names) == 8_000 * 101 and len(set(names.tolist())) == 4_000 * 101
+    assert (names[: 4_000 * 101] == names[4_000 * 101 :]).all() and start.min() == 900 and start.max() == 1000
+
+
 def test_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "SMALL", 1)
     data = texts(4)
