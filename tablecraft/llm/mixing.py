@@ -202,4 +202,4 @@ FROM shares
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     plan = mix_plan(table(spark, folder, "documents"))
     first = F.round(F.try_element_at("passes", F.lit(1))["position"], 6).alias("position")
-    return plan.select("doc_id", "size", "source_size", "target", "taken", first).orderBy("position")
+    return plan.select("doc_id", "size", "source_size", "target", "taken", first).orderBy("position", "doc_id")
