@@ -1,14 +1,16 @@
 """Approximate nearest neighbours: greedy search on a neighbour graph.
 
-The graph is built by NN-descent over all vectors, in a space where nearness follows the inner product.
-A query keeps a pool of the best nodes seen. Each round looks up the lists of its best nodes not yet
-expanded, has the nodes in them rated in their buckets, and takes the better ones into the pool; it ends
-when the best ``beam`` of every query's pool are expanded. Then recall is measured against brute force for
-a bounded sample of the queries, and the beam doubled while it is too low.
+The graph is built by NN-descent over all vectors, in a space where nearness follows the inner product
+among vectors of similar length. A query keeps a pool of the best nodes seen. Each round looks up the lists of
+its best nodes not yet expanded, has the nodes in them rated in their buckets, in double precision on the
+original vectors, and takes the better ones into the pool; it ends when the best ``beam`` of every query's pool
+are expanded. Then recall is measured against brute force for a bounded sample of the queries, and the beam
+doubled while it is too low; a warning says so if it still is when the beam spans all nodes.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,18 +26,19 @@ from .nndescent import (
     _array,
     _flat,
     _lists,
-    _matrix,
+    _packed,
     best,
     buckets_for,
     dot,
+    lifted_column,
     most_common_length,
     neighbour_graph,
-    unit_column,
+    packed_column,
     usable,
 )
 
 TOP = 20
-GRAPH = Settings(neighbours=40, sample=20)
+GRAPH = Settings(neighbours=40, sample=20, kind="f4")
 #: Best nodes of a query that must be expanded, nodes expanded per round, and pool entries kept.
 BEAM, STEP, POOL = 224, 96, 640
 #: Queries that recall is measured with at most, and what it must reach.
@@ -44,10 +47,14 @@ AUDITED, RECALL = 64, 0.93
 BACK = 10
 #: Queries handled together.
 GROUP = 256
-#: Nodes per query that are rated again in double precision.
-RATED = 48
+#: Vectors of one scale in the graph differ in length by less than this factor.
+CLASS = 4.0
+#: Longest nodes of each scale at which every query starts too.
+STARTS = 16
+#: What rounding can change in an inner product of vectors of length 1.
+ROUNDING = 1e-12
 
-STATE = "part int, q long, x binary, ids array<long>, sims array<float>, done array<boolean>"
+STATE = "part int, q long, x binary, ids array<long>, sims array<double>, done array<boolean>"
 
 
 def _frontier(sims: np.ndarray, row: np.ndarray, done: np.ndarray, beam: int) -> np.ndarray:
@@ -58,18 +65,22 @@ def _frontier(sims: np.ndarray, row: np.ndarray, done: np.ndarray, beam: int) ->
     return open_ & (before[:-1] - before[starts] < STEP)
 
 
-def search(lists: DataFrame, queries: DataFrame, buckets: int, parts: int, beam: int = BEAM, state: DataFrame | None = None) -> DataFrame:
-    """Pools ``(part, q, x, ids, sims, done)`` for ``queries (q, x, entry)``, nearest first.
+def search(
+    lists: DataFrame, rated: DataFrame, queries: DataFrame, buckets: int, parts: int, starts: list[int], beam: int = BEAM, state: DataFrame | None = None
+) -> DataFrame:
+    """Pools ``(part, q, x, ids, sims, done)`` for ``queries (q, x, entry, size)``, nearest first.
 
-    ``entry`` is the node at which a query starts. A ``state`` of an earlier search goes on from there.
+    ``rated (bucket, node, x)`` has what nodes are rated by. ``entry`` is the node at which a query starts, of similarity
+    ``size``, besides ``starts``. A ``state`` of an earlier search goes on from there.
     """
+    fresh = state is None
     if state is None:
         state = queries.select(
             (F.col("q") % parts).cast("int").alias("part"),
             "q",
             "x",
             F.array("entry").alias("ids"),
-            F.array(F.lit(-4.0).cast("float")).alias("sims"),
+            F.array("size").alias("sims"),
             F.array(F.lit(False)).alias("done"),
         )
     pool = max(POOL, 2 * beam)
@@ -99,7 +110,7 @@ def search(lists: DataFrame, queries: DataFrame, buckets: int, parts: int, beam:
                 continue
             known = own_ids[own_ends[i] : own_ends[i + 1]]
             new = np.setdiff1d(ids[lo:hi], known)
-            least = float(sims[own_ends[i + 1] - 1]) if len(known) >= pool else -4.0
+            least = float(sims[own_ends[i + 1] - 1]) if len(known) >= pool else -np.inf
             place = new % buckets
             order = np.argsort(place, kind="stable")
             new, place = new[order], place[order]
@@ -107,19 +118,19 @@ def search(lists: DataFrame, queries: DataFrame, buckets: int, parts: int, beam:
             for a, b in zip(ends[:-1], ends[1:]):
                 for k, v in zip(rows, (place[a], part[i], q[i], x[i], least, new[a:b])):
                     rows[k].append(v)
-        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.float32(), pa.list_(pa.int64()))
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.float64(), pa.list_(pa.int64()))
         return pa.table([pa.array(v, k) for v, k in zip(rows.values(), kinds)], names=list(rows))
 
     def rate(requests: pa.Table, nodes: pa.Table) -> pa.Table:
         nodes = nodes.sort_by("node")
-        known, x = _array(nodes["node"]), _matrix(nodes["x"])
+        known, x = _array(nodes["node"]), _packed(nodes["x"], "f8")
         row, ids = _flat(requests["ids"])
         ends = np.searchsorted(row, np.arange(len(requests) + 1))
-        at, looks = np.searchsorted(known, ids), _matrix(requests["x"])
+        at, looks = np.searchsorted(known, ids), _packed(requests["x"], "f8")
         least = _array(requests["least"])
-        sims = np.concatenate([x[at[ends[i] : ends[i + 1]]] @ looks[i] for i in range(len(looks))] or [np.empty(0, np.float32)])
+        sims = np.concatenate([x[at[ends[i] : ends[i + 1]]] @ looks[i] for i in range(len(looks))] or [np.empty(0)])
         kept = sims > least[row]
-        made = _lists(row[kept], np.arange(len(requests)), [ids[kept], sims[kept].astype(np.float32)])
+        made = _lists(row[kept], np.arange(len(requests)), [ids[kept], sims[kept]])
         return pa.table([requests["part"], requests["q"], *made], names=["part", "q", "ids", "sims"])
 
     def take(own: pa.Table, answers: pa.Table) -> pa.Table:
@@ -133,7 +144,7 @@ def search(lists: DataFrame, queries: DataFrame, buckets: int, parts: int, beam:
         columns = best(
             owners,
             np.concatenate([ids, new_ids]),
-            np.concatenate([sims, _flat(answers["sims"])[1]]).astype(np.float32),
+            np.concatenate([sims, _flat(answers["sims"])[1]]).astype(np.float64),
             pool,
             np.concatenate([done, np.zeros(len(new_ids), bool)]),
         )
@@ -144,17 +155,20 @@ def search(lists: DataFrame, queries: DataFrame, buckets: int, parts: int, beam:
     onward = lists.select("node", F.col("ids").alias("next")).union(
         lists.select(F.explode(F.slice("ids", 1, BACK)).alias("node"), F.array("node").alias("next"))
     )
-    rated = lists.select("bucket", "node", "x").groupBy("bucket")
+    rated = rated.groupBy("bucket")
     while True:
         state = settle(state, "search")
         wanted = state.select("part", "q", "ids", "sims", "done").mapInArrow(asked, "part int, q long, node long")
         if wanted.isEmpty():
             return state
         found = wanted.join(onward, "node").select(F.col("part").alias("at"), "q", "next")
+        if fresh and starts:
+            found = found.union(state.select("part", "q", F.lit(starts).cast("array<long>")))
+        fresh = False
         requests = state.groupBy("part").cogroup(found.groupBy("at")).applyInArrow(
-            request, "bucket int, part int, q long, x binary, least float, ids array<long>"
+            request, "bucket int, part int, q long, x binary, least double, ids array<long>"
         )
-        answers = requests.groupBy("bucket").cogroup(rated).applyInArrow(rate, "part int, q long, ids array<long>, sims array<float>")
+        answers = requests.groupBy("bucket").cogroup(rated).applyInArrow(rate, "part int, q long, ids array<long>, sims array<double>")
         state = state.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(take, STATE)
 
 
@@ -228,12 +242,21 @@ def nearest(
         rows.filter(F.pmod("id", F.lit(every)) == 0).join(nodes.select("vector", "node"), "vector").select(F.col("id").alias("query_id"), "node"),
         "asking",
     )
-    units = nodes.select("node", unit_column(longest or 1.0)("vector").alias("x"))
+    # Vectors of like length share a scale, so that a few long ones do not take all others to one point.
+    longest, tiny = longest or 1.0, F.lit(1e-300)
+    steps = F.floor(F.log(F.lit(longest) / F.greatest("length", tiny)) / float(np.log(CLASS)))
+    scaled = nodes.withColumn("scale", F.greatest(F.lit(longest) * F.pow(F.lit(1 / CLASS), steps), "length", tiny))
+    units = scaled.select("node", lifted_column(graph.kind)("vector", "scale").alias("x"))
+    place = F.row_number().over(Window.partitionBy("scale").orderBy(F.desc("length"), "node"))
+    # At most STARTS per scale, and no more scales than the exponents of a number have.
+    starts = [r.node for r in scaled.withColumn("place", place).filter(F.col("place") <= STARTS).select("node").collect()]
     lists = neighbour_graph(units, count, graph)
-    # The component that nodes have besides the vector's own is 0 in queries.
-    look = F.concat(F.expr("substring(x, 1, length(x) - 2)"), F.lit(bytes(2)))
-    queries = lists.join(asking.select("node").distinct(), "node").select(
-        F.col("node").alias("q"), look.alias("x"), F.col("node").alias("entry")
+    buckets = buckets_for(count, graph)
+    bucket = (F.col("node") % buckets).cast("int").alias("bucket")
+    rated = settle(nodes.select(bucket, "node", packed_column()("vector").alias("x")), "rated")
+    own = nodes.select("node", (F.col("length") * F.col("length")).alias("size"))
+    queries = rated.join(asking.select("node").distinct(), "node").join(own, "node").select(
+        F.col("node").alias("q"), "x", F.col("node").alias("entry"), "size"
     )
     parts = max(1, count // every // GROUP)
     sample = asking.select("node").distinct().orderBy(F.xxhash64("node"), "node").limit(AUDITED)
@@ -241,18 +264,23 @@ def nearest(
     truth = brute_force(nodes, wanted, top) if wanted else {}
     state = None
     while True:
-        state = search(lists, queries, buckets_for(count), parts, beam, state)
-        if recall(state, truth, top) >= RECALL or beam >= count:
+        state = search(lists, rated, queries, buckets, parts, starts, beam, state)
+        reached = recall(state, truth, top)
+        if reached >= RECALL or beam >= count:
             break
         beam *= 2
-    candidates = state.select("q", F.explode(F.slice("ids", 1, RATED)).alias("node"))
-    exact = (
-        candidates.join(nodes.select("node", "vector", "members"), "node")
-        .join(nodes.select(F.col("node").alias("q"), F.col("vector").alias("look")), "q")
-        .select("q", "members", dot(F.col("vector"), F.col("look")).alias("score"))
+    if truth and reached < RECALL:
+        warnings.warn(f"recall of {reached:.3f} among {len(truth)} audited queries, below {RECALL}", stacklevel=2)
+    # The top, and what could belong to it but for rounding; the query's own node is one of the top + 1.
+    pools = state.join(nodes.select(F.col("node").alias("q"), F.col("vector").alias("look"), F.col("length").alias("size")), "q")
+    least = F.element_at("sims", F.least(F.lit(top + 1), F.size("sims"))) - F.lit(ROUNDING * longest) * F.col("size")
+    entries = pools.withColumn("least", least).select("q", "look", "least", F.explode(F.arrays_zip("ids", "sims")).alias("e"))
+    candidates = entries.filter(F.col("e.sims") >= F.col("least")).select("q", "look", F.col("e.ids").alias("node"))
+    exact = candidates.join(nodes.select("node", "vector", "members"), "node").select(
+        "q", "members", dot(F.col("vector"), F.col("look")).alias("score")
     )
     pairs = asking.join(exact, asking.node == exact.q).select("query_id", "score", F.explode("members").alias("vec_id"))
-    # A query has at most RATED * (top + 1) rows.
+    # A query has at most top + 1 rows per node of its pool.
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = pairs.filter(F.col("vec_id") != F.col("query_id")).withColumn("rank", F.row_number().over(order))
     return ranked.filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

@@ -25,7 +25,8 @@ from ..session import settle
 
 SEED = 20
 #: Nodes per bucket at most. A round sends each vector to every bucket that needs it, so larger buckets mean
-#: fewer copies; a task holds at most this many lists and, in half precision, the vectors in them.
+#: fewer copies; a task holds at most this many lists and the vectors in them, if those are of half precision, and
+#: half as many in single precision.
 BUCKET = 26_000
 LIST = "node long, x binary, ids array<long>, sims array<float>, fresh array<boolean>, bucket int"
 
@@ -34,7 +35,7 @@ LIST = "node long, x binary, ids array<long>, sims array<float>, fresh array<boo
 class Settings:
     """``neighbours`` in a list, of which ``sample`` new and old ones each join per round; ``tables`` sorted
     orders cut in blocks of ``leaf`` start the lists; rounds end when fewer than ``still`` of all entries
-    change."""
+    change. ``kind`` is the numpy type of the vectors' components."""
 
     neighbours: int = 40
     sample: int = 20
@@ -42,6 +43,7 @@ class Settings:
     leaf: int = 256
     still: float = 0.01
     seed: int = SEED
+    kind: str = "f2"
 
 
 def usable(vector: Column, length: int) -> Column:
@@ -62,24 +64,24 @@ def most_common_length(vectors: DataFrame, column: str) -> int:
     return first.n if first else 0
 
 
-def _x(matrix: np.ndarray) -> pa.Array:
-    """Rows of a matrix as binary values of half precision."""
-    half = np.ascontiguousarray(matrix.astype(np.float16))
-    width = half.shape[1] * 2
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(half), [None, pa.py_buffer(half)]).cast(pa.binary())
+def _x(matrix: np.ndarray, kind: str = "f2") -> pa.Array:
+    """Rows of a matrix as binary values, half precision unless ``kind`` says otherwise."""
+    packed = np.ascontiguousarray(matrix.astype(kind))
+    width = packed.shape[1] * packed.itemsize
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(packed), [None, pa.py_buffer(packed)]).cast(pa.binary())
 
 
-def _halves(column) -> np.ndarray:
-    """A column ``x`` as a matrix of half precision, read in place."""
+def _packed(column, kind: str = "f2") -> np.ndarray:
+    """A column ``x`` as a matrix of its own precision, read in place."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if not len(column):
-        return np.zeros((0, 1), np.float16)
+        return np.zeros((0, 1), kind)
     ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2], np.float16)[ends[0] // 2 : ends[-1] // 2].reshape(len(column), -1)
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind).reshape(len(column), -1)
 
 
-def _matrix(column) -> np.ndarray:
-    return _halves(column).astype(np.float32)
+def _matrix(column, kind: str = "f2") -> np.ndarray:
+    return _packed(column, kind).astype(np.float32)
 
 
 def _flat(column) -> tuple[np.ndarray, np.ndarray]:
@@ -135,8 +137,9 @@ def _picked(owners: np.ndarray, ids: np.ndarray, fresh: np.ndarray, turn: int, s
     return chosen
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], size: int, leaf: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], s: Settings, buckets: int) -> Iterator[pa.RecordBatch]:
     """Each row's nearest among the ``leaf`` rows that it is sorted into."""
+    size, leaf = s.neighbours, s.leaf
     table, nodes, rows = None, np.empty(0, np.int64), None
 
     def near(nodes: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
@@ -150,7 +153,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int, leaf: int, buckets: in
         return pa.RecordBatch.from_arrays([pa.array(nodes), *columns, pa.array((nodes % buckets).astype(np.int32))], ["node", "ids", "sims", "bucket"])
 
     for batch in batches:
-        kinds, found, x = _array(batch.column("t")), _array(batch.column("node")), _matrix(batch.column("x"))
+        kinds, found, x = _array(batch.column("t")), _array(batch.column("node")), _matrix(batch.column("x"), s.kind)
         turns = np.flatnonzero(kinds[1:] != kinds[:-1]) + 1
         for lo, hi in zip([0, *turns.tolist()], [*turns.tolist(), len(kinds)]):
             if hi == lo:
@@ -173,7 +176,7 @@ def _start(nodes: DataFrame, count: int, s: Settings, buckets: int) -> DataFrame
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, node = _matrix(batch.column("x")), batch.column("node")
+            x, node = _matrix(batch.column("x"), s.kind), batch.column("node")
             for t in range(s.tables):
                 planes = np.random.default_rng([s.seed, t]).standard_normal((x.shape[1], bits + 1)).astype(np.float32)
                 sides = x @ planes
@@ -187,7 +190,7 @@ def _start(nodes: DataFrame, count: int, s: Settings, buckets: int) -> DataFrame
     order = ["t", "code", "side", "node"]
     blocks = places.repartitionByRange(*order).sortWithinPartitions(*order)
     proposals = blocks.select("t", "node", "x").mapInArrow(
-        lambda batches: _blocks(batches, s.neighbours, s.leaf, buckets), "node long, ids array<long>, sims array<float>, bucket int"
+        lambda batches: _blocks(batches, s, buckets), "node long, ids array<long>, sims array<float>, bucket int"
     )
     empty = nodes.select(
         "node", "x", *[F.array().cast(k).alias(c) for c, k in (("ids", "array<long>"), ("sims", "array<float>"), ("fresh", "array<boolean>"))],
@@ -277,7 +280,7 @@ def _joined(gathered: DataFrame, lists: DataFrame, s: Settings, buckets: int) ->
 
     def join(centers: pa.Table, vectors: pa.Table) -> pa.Table:
         vectors = vectors.sort_by("member")
-        member, x, last = _array(vectors["member"]), _halves(vectors["x"]), _array(vectors["last"])
+        member, x, last = _array(vectors["member"]), _packed(vectors["x"], s.kind), _array(vectors["last"])
         sides = []
         for name in ("fresh", "old"):
             row, ids = _flat(centers[name])
@@ -314,18 +317,18 @@ def _joined(gathered: DataFrame, lists: DataFrame, s: Settings, buckets: int) ->
     )
 
 
-def buckets_for(count: int) -> int:
-    return max(1, -(-count // BUCKET))
+def buckets_for(count: int, s: Settings) -> int:
+    return max(1, -(-count * np.dtype(s.kind).itemsize // (2 * BUCKET)))
 
 
 def neighbour_graph(nodes: DataFrame, count: int, s: Settings) -> DataFrame:
     """Lists ``(node, x, ids, sims, fresh, bucket)`` for ``nodes (node, x)``, nearest first.
 
-    ``x`` holds unit vectors in half precision (``unit_column``); similarities are their inner products.
+    ``x`` holds unit vectors of the settings' precision (``unit_column``, ``lifted_column``); similarities are their inner products.
     ``node`` must be unique and not negative. The number of rounds follows from the data, as each must
     change at least ``still`` of all entries for another one to follow.
     """
-    buckets = buckets_for(count)
+    buckets = buckets_for(count, s)
     lists = settle(_start(nodes, count, s, buckets), "lists")
     turn = 1
     while True:
@@ -339,21 +342,39 @@ def neighbour_graph(nodes: DataFrame, count: int, s: Settings) -> DataFrame:
             return lists
 
 
-def unit_column(scale: float | None = None):
-    """A function from a vector column to ``x``: vectors scaled to length 1.
+def _rows(vectors: pa.Array) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
 
-    With ``scale``, the largest length of all, vectors are divided by it instead and a component is added
-    that makes them length 1: nearness then follows the inner product with vectors that have 0 there.
-    """
+
+def unit_column():
+    """A function from a vector column to ``x``: vectors scaled to length 1, in half precision."""
 
     def run(vectors: pa.Array) -> pa.Array:
         if not len(vectors):
             return pa.array([], pa.binary())
-        matrix = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
-        length = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
-        if scale is None:
-            return _x(matrix / length)
-        rest = np.sqrt(np.maximum(0.0, 1.0 - (length / scale) ** 2))
-        return _x(np.concatenate([matrix / scale, rest], axis=1))
+        matrix = _rows(vectors)
+        return _x(matrix / np.sqrt((matrix * matrix).sum(axis=1, keepdims=True)))
 
     return F.arrow_udf(run, T.BinaryType())
+
+
+def lifted_column(kind: str):
+    """A function from a vector column and one of scales, no vector longer than its scale, to ``x``.
+
+    Vectors are divided by their scale and a component is added that makes them length 1: among vectors of
+    one scale, nearness then follows the inner product with vectors that have 0 there.
+    """
+
+    def run(vectors: pa.Array, scales: pa.Array) -> pa.Array:
+        if not len(vectors):
+            return pa.array([], pa.binary())
+        matrix = _rows(vectors) / _array(scales)[:, None]
+        rest = np.sqrt(np.maximum(0.0, 1.0 - (matrix * matrix).sum(axis=1, keepdims=True)))
+        return _x(np.concatenate([matrix, rest], axis=1), kind)
+
+    return F.arrow_udf(run, T.BinaryType())
+
+
+def packed_column():
+    """A function from a vector column to its components as they are, in double precision, as binary values."""
+    return F.arrow_udf(lambda vectors: _x(_rows(vectors), "f8") if len(vectors) else pa.array([], pa.binary()), T.BinaryType())

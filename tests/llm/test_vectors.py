@@ -103,3 +103,29 @@ def test_best_keeps_the_most_similar():
     sims = np.array([0.1, 0.5, 0.9, 0.5, 0.3, 0.7], np.float32)
     got = nndescent.best(owners, ids, sims, 2, np.arange(6))
     assert [g.tolist() for g in got[:2]] == [[1, 1, 2, 2], [6, 9, 8, 7]] and got[3].tolist() == [2, 5, 4, 0]
+
+
+def reached(spark, matrix):
+    """Share of the true 20 nearest, by score, that every 20th vector gets."""
+    x = matrix.astype(np.float32).astype(np.float64)
+    rows = [(i, [float(c) for c in v], 0, 0, 0.0) for i, v in enumerate(x)]
+    hits = 0
+    for r in ann.nearest(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect():
+        scores = x @ x[r.query_id]
+        scores[r.query_id] = -np.inf
+        hits += r.score >= np.sort(scores)[-20] - 1e-12 * np.linalg.norm(x[r.query_id]) * np.linalg.norm(x[r.vec_id])
+    return hits / (20 * len(x[::20]))
+
+
+def test_nearest_within_a_dense_group(spark):
+    """Near copies of unit length, alike in half precision and more than a pool holds."""
+    rng = np.random.default_rng(5)
+    center = rng.standard_normal(32)
+    x = center / np.linalg.norm(center) + 0.005 / 32**0.5 * rng.standard_normal((1_200, 32))
+    assert reached(spark, x / np.linalg.norm(x, axis=1)[:, None]) >= 0.93
+
+
+def test_nearest_beside_a_very_long_vector(spark):
+    x = np.random.default_rng(6).standard_normal((1_000, 16))
+    x[7] *= 1e7
+    assert reached(spark, x) >= 0.93
