@@ -4,12 +4,15 @@ NN-descent gives each vector its nearest others; pairs that may reach the thresh
 precision on the original vectors. A list all of whose entries are links is saturated: there may be more.
 Its list is then enlarged to its whole component, whose members are compared in tiles; only the numbers
 of links leave a tile, so a dense group of any size gives rows in proportion to its size and its tiles.
-Recall is measured against brute force for a bounded sample, and the graph built anew with longer lists
-while it is too low.
+Lists full of their own group hide links to another dense group, so blocks of different components are
+compared too, unless their centres are too far apart for their radii to allow a link. Recall is measured
+against brute force for a bounded sample, per link and per vector, and the graph built anew with longer lists
+while either is too low; a warning says so if one still is when lists hold all vectors.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import replace
 
@@ -29,8 +32,10 @@ GRAPH = Settings(neighbours=16, sample=8, tables=12, leaf=256)
 SLACK = 0.004
 #: Members of a dense component that are compared at once.
 TILE = 1_024
-#: Vectors that recall is measured with at most, what it must reach, and lists beyond which it is left.
-AUDITED, RECALL, LONGEST = 128, 0.97, 256
+#: Centres of blocks that are compared at once.
+CELL = 2_048
+#: Vectors that recall is measured with at most, and what it must reach.
+AUDITED, RECALL = 128, 0.97
 
 
 def _double(column) -> np.ndarray:
@@ -48,20 +53,16 @@ def _links(lists: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").filter(cosine >= threshold).select("a", "b")
 
 
-def _tiled(members: DataFrame, threshold: float) -> DataFrame:
-    """``(node, linked)`` for ``members (component, node, vector, length, copies)``: rows linked to each.
-
-    A component is dealt to blocks by hash, and every two blocks meet in a tile.
-    """
+def _blocks(members: DataFrame) -> DataFrame:
+    """``members`` with the ``block`` of their component that a hash deals them to, and how many ``blocks`` it has."""
     sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = (
-        members.join(sizes, "component")
-        .withColumn("block", block)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            "component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "vector", "length", "copies"
-        )
+    return members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+
+def _tiled(blocks: DataFrame, threshold: float) -> DataFrame:
+    """``(node, linked)``: rows linked to each member within its component, of which every two blocks meet."""
+    dealt = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "vector", "length", "copies"
     )
 
     def compare(rows: pa.Table) -> pa.Table:
@@ -77,8 +78,71 @@ def _tiled(members: DataFrame, threshold: float) -> DataFrame:
             counts = [(node[one], linked @ copies[two]), (node[two], copies[one] @ linked)]
         return pa.table({"node": np.concatenate([c[0] for c in counts]), "linked": np.concatenate([c[1] for c in counts]).astype(np.int64)})
 
-    tiles = dealt.groupBy("component", "low", "high").applyInArrow(compare, "node long, linked long")
-    return tiles.groupBy("node").agg(F.sum("linked").alias("linked"))
+    return dealt.groupBy("component", "low", "high").applyInArrow(compare, "node long, linked long")
+
+
+def _meetings(blocks: DataFrame, threshold: float) -> DataFrame:
+    """``(c, b, c2, b2)``: blocks of different components between which a link is possible."""
+
+    def bound(rows: pa.Table) -> pa.Table:
+        unit = _double(rows["vector"]) / _array(rows["length"])[:, None]
+        center = unit.sum(axis=0)
+        size = np.sqrt(center @ center)
+        center = center / size if size > 1e-9 else unit[0]
+        angle = float(np.arccos(np.clip(unit @ center, -1.0, 1.0)).max())
+        return pa.table([rows["component"][:1], rows["block"][:1], pa.array([center.tolist()]), pa.array([angle])], names=["c", "b", "center", "angle"])
+
+    bounds = settle(
+        blocks.select("component", "block", "vector", "length")
+        .groupBy("component", "block")
+        .applyInArrow(bound, "c long, b int, center array<double>, angle double"),
+        "bounds",
+    )
+    cells = max(1, -(-bounds.count() // CELL))
+    dealt = bounds.withColumn("cell", F.pmod(F.xxhash64("c", "b"), F.lit(cells)).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))
+    )
+    reach = float(np.arccos(np.clip(threshold, -1.0, 1.0))) + 1e-6
+
+    def near(rows: pa.Table) -> pa.Table:
+        cell, c, b, angle = (_array(rows[n]) for n in ("cell", "c", "b", "angle"))
+        center = _double(rows["center"])
+        one, two = np.flatnonzero(cell == rows["low"][0].as_py()), np.flatnonzero(cell == rows["high"][0].as_py())
+        apart = np.arccos(np.clip(center[one] @ center[two].T, -1.0, 1.0))
+        meets = apart <= angle[one][:, None] + angle[two][None] + reach
+        # Within a cell each pair comes in both orders.
+        meets &= (c[one][:, None] < c[two][None]) if rows["low"][0] == rows["high"][0] else (c[one][:, None] != c[two][None])
+        i, j = np.nonzero(meets)
+        return pa.table([pa.array(v) for v in (c[one[i]], b[one[i]], c[two[j]], b[two[j]])], names=["c", "b", "c2", "b2"])
+
+    keyed = dealt.select(F.least("cell", "other").alias("low"), F.greatest("cell", "other").alias("high"), "cell", "c", "b", "center", "angle")
+    return keyed.groupBy("low", "high").applyInArrow(near, "c long, b int, c2 long, b2 int")
+
+
+def _across(blocks: DataFrame, threshold: float) -> DataFrame:
+    """``(node, linked, partner)``: rows of other components linked to each member, and per two blocks with links
+    one link in a row with a partner."""
+    meetings = settle(_meetings(blocks, threshold), "meetings")
+    key = F.struct("c", "b", "c2", "b2").alias("pair")
+    sides = meetings.select(key, F.col("c").alias("component"), F.col("b").alias("block"), F.lit(False).alias("second")).union(
+        meetings.select(key, F.col("c2").alias("component"), F.col("b2").alias("block"), F.lit(True).alias("second"))
+    )
+    met = sides.join(blocks.select("component", "block", "node", "vector", "length", "copies"), ["component", "block"])
+
+    def compare(rows: pa.Table) -> pa.Table:
+        node, copies, second = _array(rows["node"]), _array(rows["copies"]), _array(rows["second"]).astype(bool)
+        unit = _double(rows["vector"]) / _array(rows["length"])[:, None]
+        one, two = np.flatnonzero(~second), np.flatnonzero(second)
+        linked = (unit[one] @ unit[two].T) >= threshold
+        i, j = np.nonzero(linked)
+        count = np.concatenate([linked @ copies[two], copies[one] @ linked, np.zeros(min(1, len(i)), np.int64)])
+        owner = np.concatenate([node[one], node[two], node[one[i[:1]]]])
+        partner = [None] * (len(one) + len(two)) + node[two[j[:1]]].tolist()
+        return pa.table([pa.array(owner), pa.array(count.astype(np.int64)), pa.array(partner, pa.int64())], names=["node", "linked", "partner"])
+
+    return met.select("pair.*", "second", "node", "vector", "length", "copies").groupBy("c", "b", "c2", "b2").applyInArrow(
+        compare, "node long, linked long, partner long"
+    )
 
 
 def _counted(lists: DataFrame, nodes: DataFrame, threshold: float, size: int) -> DataFrame:
@@ -90,6 +154,12 @@ def _counted(lists: DataFrame, nodes: DataFrame, threshold: float, size: int) ->
     members = settle(
         reached.join(dense, "component").join(nodes.select("node", "vector", "length", "copies"), "node"), "members"
     )
+    blocks = settle(_blocks(members), "blocks")
+    across = settle(_across(blocks, threshold), "across")
+    bridges = across.filter(F.col("partner").isNotNull()).select(F.col("node").alias("a"), F.col("partner").alias("b"))
+    if not bridges.isEmpty():
+        reached = settle(components(links.union(bridges)), "components")
+    tiled = _tiled(blocks, threshold).union(across.select("node", "linked")).groupBy("node").agg(F.sum("linked").alias("linked"))
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     listed = (
         both.join(nodes.select(F.col("node").alias("b"), "copies"), "b")
@@ -100,13 +170,14 @@ def _counted(lists: DataFrame, nodes: DataFrame, threshold: float, size: int) ->
         nodes.select("node")
         .join(reached, "node", "left")
         .join(listed, "node", "left")
-        .join(_tiled(members, threshold), "node", "left")
+        .join(tiled, "node", "left")
         .select("node", F.coalesce("linked", "listed", F.lit(0)).alias("linked"), F.coalesce("component", "node").alias("component"))
     )
 
 
 def _audit(counted: DataFrame, nodes: DataFrame, threshold: float) -> float:
-    """Share of the links of a sample of vectors that were counted. One pass over all vectors."""
+    """Share of the links of a sample of vectors that were counted, or the mean share per vector if that is
+    less. One pass over all vectors."""
     sample = nodes.orderBy(F.xxhash64("node"), "node").limit(AUDITED).select("node", "vector", "length").collect()
     if not sample:
         return 1.0
@@ -122,7 +193,10 @@ def _audit(counted: DataFrame, nodes: DataFrame, threshold: float) -> float:
     rated = nodes.select("node", "vector", "length", "copies").mapInArrow(rate, "node long, linked long")
     truth = {r.node: r.n for r in rated.groupBy("node").agg(F.sum("linked").alias("n")).collect()}
     found = {r.node: r.linked for r in counted.filter(F.col("node").isin(ids.tolist())).collect()}
-    return sum(min(n, found.get(i, 0)) for i, n in truth.items()) / max(1, sum(truth.values())) if sum(truth.values()) else 1.0
+    shares = [(min(n, found.get(i, 0)), n) for i, n in truth.items() if n]
+    if not shares:
+        return 1.0
+    return min(sum(f for f, _ in shares) / sum(n for _, n in shares), sum(f / n for f, n in shares) / len(shares))
 
 
 def vector_components(
@@ -148,9 +222,12 @@ def vector_components(
     while True:
         lists = neighbour_graph(units, count, graph)
         counted = settle(_counted(lists, nodes, threshold, graph.neighbours), "counted")
-        if _audit(counted, nodes, threshold) >= RECALL or graph.neighbours >= min(count, LONGEST):
+        reached = _audit(counted, nodes, threshold)
+        if reached >= RECALL or graph.neighbours >= count:
             break
         graph = replace(graph, neighbours=2 * graph.neighbours, sample=2 * graph.sample, tables=2 * graph.tables)
+    if reached < RECALL:
+        warnings.warn(f"recall of {reached:.3f} among the audited vectors, below {RECALL}", stacklevel=2)
     smallest = counted.join(nodes.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("component_id"))
     known = counted.join(smallest, "component").join(nodes.select("node", "vector", "copies"), "node")
     linked = rows.filter("usable").join(known.select("vector", "copies", "linked", "component_id"), "vector").select(

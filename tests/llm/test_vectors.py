@@ -105,6 +105,20 @@ def test_best_keeps_the_most_similar():
     assert [g.tolist() for g in got[:2]] == [[1, 1, 2, 2], [6, 9, 8, 7]] and got[3].tolist() == [2, 5, 4, 0]
 
 
+def test_links_between_dense_groups(spark):
+    """Two groups, nearer within than to each other, but linked; each longer than lists become."""
+    rng = np.random.default_rng(7)
+    one, two = np.eye(64)[:2]
+    centers = np.repeat([one, 0.9666 * one + (1 - 0.9666**2) ** 0.5 * two], 300, axis=0)
+    x = (centers + 0.1 / 8 * rng.standard_normal((600, 64))).astype(np.float32)
+    rows = [(i, [float(c) for c in v], 0, 0, 0.0) for i, v in enumerate(x)]
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    links = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    assert links.min() > 299
+    found = nearvectors.vector_components(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in found} == {i: (int(n), 0) for i, n in enumerate(links)}
+
+
 def reached(spark, matrix):
     """Share of the true 20 nearest, by score, that every 20th vector gets."""
     x = matrix.astype(np.float32).astype(np.float64)
