@@ -29,6 +29,8 @@ def test_filters_and_columns_reach_the_scan(spark):
     plan = plan_of(filters.filter_recent(orders, "o_orderdate", 30, datetime.date(1999, 1, 1)))
     assert "GreaterThanOrEqual(o_orderdate,1998-12-02" in plan
     plan = plan_of(runlog.list_runs(read(spark, "events"), status="error", status_col="event_type", created_at="ts"))
+    assert "EqualTo(event_type,error)" in plan
+    plan = plan_of(runlog.list_runs(read(spark, "events"), status="error", status_col="event_type", created_at="ts", limit=100))
     assert "EqualTo(event_type,error)" in plan and "TakeOrderedAndProject" in plan
 
 
