@@ -9,8 +9,9 @@ of nodes run as joins.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
@@ -80,6 +81,70 @@ def lineage_upsert(lineage: DataFrame, fresh: DataFrame) -> DataFrame:
     return kept.unionByName(fresh.select(*LINEAGE))
 
 
+@dataclass(frozen=True)
+class LineageTable:
+    """Lineage kept as Parquet files, in ``buckets`` partitions by a hash of the node.
+
+    All uses of a ``path`` must name the same ``buckets``. Rows of one node lie in one partition: replacing
+    them rewrites that partition and no other, and reading them leaves all others out. Rows without a node
+    belong to no one and are not kept.
+    """
+
+    path: str
+    buckets: int = 256
+
+    def _bucket(self, node: Column) -> Column:
+        return F.pmod(F.xxhash64(node), F.lit(self.buckets)).cast("int")
+
+    def _stored(self, spark: SparkSession) -> DataFrame:
+        schema = ", ".join(f"{c} string" for c in LINEAGE)
+        # A partition holds a row without a node, see replace().
+        return spark.read.schema(f"{schema}, bucket int").parquet(self.path).filter(F.col("node_id").isNotNull())
+
+    def _write(self, rows: DataFrame, mode: str) -> None:
+        writer = rows.repartition("bucket").write.partitionBy("bucket").mode(mode)
+        writer.option("partitionOverwriteMode", "dynamic").parquet(self.path)
+
+    def create(self, spark: SparkSession) -> LineageTable:
+        """The table without rows, where there is none yet."""
+        empty = spark.createDataFrame([], ", ".join(f"{c} string" for c in (*LINEAGE,)) + ", bucket int")
+        self._write(empty, "ignore")
+        return self
+
+    def replace(self, fresh: DataFrame, nodes: DataFrame | None = None) -> list[int]:
+        """Put the rows of ``fresh`` in the place of all rows of their nodes.
+
+        ``nodes`` (one column) names further nodes whose rows go, such as nodes that have no columns any
+        more. Returns the partitions that were rewritten. New contents are written down before the first
+        file is replaced, so a run that fails can be run again.
+        """
+        spark = fresh.sparkSession
+        rows = fresh.select(*LINEAGE).filter(F.col("node_id").isNotNull()).distinct()
+        fresh = settle(rows.withColumn("bucket", self._bucket(F.col("node_id"))), "fresh")
+        replaced = fresh.select("node_id", "bucket")
+        if nodes is not None:
+            named = nodes.select(col(nodes.columns[0]).cast("string").alias("node_id")).filter(F.col("node_id").isNotNull())
+            replaced = replaced.union(named.withColumn("bucket", self._bucket(F.col("node_id"))))
+        replaced = settle(replaced.distinct(), "replaced")
+        # At most as many numbers as there are partitions.
+        touched = sorted(r.bucket for r in replaced.select("bucket").distinct().collect())
+        if not touched:
+            return []
+        kept = self._stored(spark).filter(F.col("bucket").isin(touched))
+        kept = kept.join(replaced.select("node_id"), on="node_id", how="left_anti").select(*LINEAGE, "bucket")
+        # A partition left without rows would keep its old files; a row without a node takes their place.
+        marks = spark.createDataFrame([(b,) for b in touched], "bucket int").select(*[F.lit(None).cast("string").alias(c) for c in LINEAGE], "bucket")
+        self._write(settle(kept.unionByName(fresh).unionByName(marks), "lineage"), "overwrite")
+        return touched
+
+    def read(self, spark: SparkSession, node_id: str | None = None) -> DataFrame:
+        """All rows, or those of one node, for which one partition is read."""
+        rows = self._stored(spark)
+        if node_id is not None:
+            rows = rows.filter((F.col("bucket") == self._bucket(F.lit(node_id))) & (F.col("node_id") == node_id))
+        return rows.select(*LINEAGE)
+
+
 def lineage_query(lineage: DataFrame, node_id: str | None = None) -> DataFrame:
     """The rows of one node, or of all nodes, in order."""
     if node_id is not None:

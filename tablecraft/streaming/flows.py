@@ -28,21 +28,16 @@ def stream_row_transforms(stream: DataFrame, *steps: Callable[[DataFrame], DataF
 def stream_dq(
     stream: DataFrame, checks: Sequence[Check], time: str, window: str = "1 hour", late: str = "10 minutes"
 ) -> DataFrame:
-    """Rows, null rates and ranges per event-time window. Rows later than ``late`` are dropped.
+    """Rows, null rates, ranges and duplicates per event-time window.
 
-    Uniqueness is not known within a window and is refused.
+    A row is late, and dropped, when its window ended before the watermark, which lies ``late`` behind the
+    newest event seen. With a ``unique`` check, ``duplicates_<column>`` counts the rows of the window beyond
+    the first of each value, missing values being one value. It is known once the window is closed, so the
+    result is then for append mode, in which each window comes once; without ``unique`` any mode will do.
     """
-    parts = [F.count(F.lit(1)).alias("rows")]
-    for check in checks:
-        if check.type == "unique":
-            raise ValueError("stream_dq: 'unique' cannot be checked on a stream")
-        if check.type == "null_rate":
-            parts.append(F.avg(is_missing(stream, check.column).cast("int")).alias(f"null_rate_{check.column}"))
-        if check.type == "value_range":
-            value = present(stream, check.column)
-            parts += [F.min(value).alias(f"min_{check.column}"), F.max(value).alias(f"max_{check.column}")]
-    grouped = stream.withWatermark(time, late).groupBy(F.window(col(time), window)).agg(*parts)
-    flat = grouped.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *grouped.columns[1:])
+    measured = stream.withWatermark(time, late).withColumn("_window", F.window(col(time), window))
+    unique = [c for c in checks if c.type == "unique"]
+    flat = _per_value(measured, checks, unique) if unique else _per_window(measured, checks)
     passed = F.lit(True)
     for check in checks:
         if check.min_rows is not None:
@@ -50,14 +45,71 @@ def stream_dq(
         if check.max_rows is not None:
             passed = passed & (F.col("rows") <= check.max_rows)
         if check.max_null_rate is not None:
-            passed = passed & (F.col(f"null_rate_{check.column}") <= check.max_null_rate)
+            passed = passed & (col(f"null_rate_{check.column}") <= check.max_null_rate)
         if check.min_value is not None:
-            passed = passed & F.coalesce(F.col(f"min_{check.column}") >= check.min_value, F.lit(True))
+            passed = passed & F.coalesce(col(f"min_{check.column}") >= check.min_value, F.lit(True))
         if check.max_value is not None:
-            passed = passed & F.coalesce(F.col(f"max_{check.column}") <= check.max_value, F.lit(True))
+            passed = passed & F.coalesce(col(f"max_{check.column}") <= check.max_value, F.lit(True))
+    for check in unique:
+        passed = passed & (col(f"duplicates_{check.column}") == 0)
     return flat.withColumn("passed", passed)
 
 
+def _per_window(stream: DataFrame, checks: Sequence[Check]) -> DataFrame:
+    """One aggregate per window."""
+    parts = [F.count(F.lit(1)).alias("rows")]
+    for check in checks:
+        if check.type == "null_rate":
+            parts.append(F.avg(is_missing(stream, check.column).cast("int")).alias(f"null_rate_{check.column}"))
+        if check.type == "value_range":
+            value = present(stream, check.column)
+            parts += [F.min(value).alias(f"min_{check.column}"), F.max(value).alias(f"max_{check.column}")]
+    grouped = stream.groupBy("_window").agg(*parts)
+    return grouped.select(
+        F.col("_window.start").alias("window_start"), F.col("_window.end").alias("window_end"), *[col(c) for c in grouped.columns[1:]]
+    )
+
+
+def _per_value(stream: DataFrame, checks: Sequence[Check], unique: Sequence[Check]) -> DataFrame:
+    """Two aggregates in a row: per window and value, then per window.
+
+    Each row counts once for every ``unique`` column, under the column's number and its value; the other
+    measures ride on the first of them. So one state holds all columns, with an entry per different value of
+    an open window, and it is dropped when the watermark passes the window.
+    """
+    values = [present(stream, c.column) for c in unique]
+    types = [stream.schema[c.column].dataType for c in unique]
+    entries = [
+        F.struct(
+            F.lit(i).alias("no"),
+            *[(v if i == k else F.lit(None).cast(types[k])).alias(f"value{k}") for k, v in enumerate(values)],
+        )
+        for i in range(len(unique))
+    ]
+    first = F.col("_entry.no") == 0
+    inner, outer = [F.count(F.lit(1)).alias("_n")], [F.sum(F.when(F.col("_no") == 0, F.col("_n"))).alias("rows")]
+    for i, check in enumerate(checks):
+        if check.type == "null_rate":
+            inner.append(F.count_if(first & is_missing(stream, check.column)).alias(f"_null{i}"))
+            rate = F.sum(f"_null{i}") / F.sum(F.when(F.col("_no") == 0, F.col("_n")))
+            outer.append(rate.alias(f"null_rate_{check.column}"))
+        if check.type == "value_range":
+            value = present(stream, check.column)
+            inner += [F.min(value).alias(f"_min{i}"), F.max(value).alias(f"_max{i}")]
+            outer += [F.min(f"_min{i}").alias(f"min_{check.column}"), F.max(f"_max{i}").alias(f"max_{check.column}")]
+    for k, check in enumerate(unique):
+        copies = F.coalesce(F.sum(F.when(F.col("_no") == k, F.col("_n") - 1)), F.lit(0))
+        outer.append(copies.alias(f"duplicates_{check.column}"))
+    each = stream.withColumn("_entry", F.explode(F.array(*entries)))
+    keys = [F.col("_entry.no").alias("_no"), *[F.col(f"_entry.value{k}").alias(f"_value{k}") for k in range(len(unique))]]
+    counted = each.groupBy("_window", *keys).agg(*inner)
+    # The window of a window is itself; this form carries the event time on to the second aggregate.
+    grouped = counted.groupBy(F.col("_window")).agg(*outer)
+    return grouped.select(
+        F.col("_window.start").alias("window_start"), F.col("_window.end").alias("window_end"), *[col(c) for c in grouped.columns[1:]]
+    )
+
+
 def stream_latest_state(stream: DataFrame, key: str, order_by: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """The last value of each field per key that is not NULL. Write it in update mode."""
     when = F.struct(*[col(c) for c in order_by])

@@ -2,6 +2,7 @@
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablecraft.operators import cube, preview
 from tablecraft.operators.quality import Check
@@ -214,8 +215,43 @@ def test_stream_dq_emits_closed_windows(spark, arriving, rows):
     closed = batch.join(batch.agg(F.max("d").alias("last")), F.col("d") < F.col("last")).select("d", "n")
     assert rows(out.select("window_start", "rows")) == rows(closed)
     assert out.filter("NOT passed").isEmpty()
-    with pytest.raises(ValueError):
-        flows.stream_dq(stream, [Check("unique", "event_id")], "ts")
+
+
+def test_stream_dq_unique_over_batches(spark, arriving, rows):
+    """Several unique columns beside other checks; each closed window once, as batch SQL has it."""
+    events, stream = arriving
+    marked = stream.withColumn("kind", F.nullif("event_type", F.lit("error")))
+    checks = [Check("unique", "user_id"), Check("null_rate", "kind", max_null_rate=1), Check("unique", "kind"), Check("value_range", "value")]
+    out = flows.run_available(flows.stream_dq(marked, checks, "ts", "1 day", "0 seconds"))
+    events.withColumn("kind", F.nullif("event_type", F.lit("error"))).createOrReplaceTempView("arrived")
+    expected = spark.sql(
+        """SELECT date_trunc('day', ts) AS d, count(*), avg(int(kind IS NULL)), min(value), max(value), count(*) - count(DISTINCT user_id),
+                  count(*) - count(DISTINCT kind) - max(int(kind IS NULL)) FROM arrived GROUP BY 1
+           HAVING date_trunc('day', max(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) FROM arrived)"""
+    )
+    names = ["window_start", "rows", "null_rate_kind", "min_value", "max_value", "duplicates_user_id", "duplicates_kind"]
+    assert rows(out.select(*names)) == rows(expected)
+
+
+def test_stream_dq_unique_with_late_rows(spark, tmp_path, rows):
+    """A repeat that comes in a later batch counts; one whose window is closed is dropped with its window's other rows."""
+    path, schema = str(tmp_path / "late"), "at timestamp, x double, tag string"
+    arrivals = [
+        [("2024-01-01 00:05:00", 1.0, "a"), ("2024-01-01 00:10:00", None, "a"), ("2024-01-01 01:05:00", 5.0, None)],
+        [("2024-01-01 00:50:00", 1.0, "b"), ("2024-01-01 00:55:00", float("nan"), None), ("2024-01-01 01:40:00", 5.0, None)],
+        [("2024-01-01 01:45:00", -0.0, "c"), ("2024-01-01 01:46:00", 0.0, "d")],
+        [("2024-01-01 00:20:00", 1.0, "a"), ("2024-01-01 05:00:00", 9.0, "z")],
+        [("2024-01-01 05:00:00", 9.0, "z")],
+    ]
+    for i, batch in enumerate(arrivals):
+        part = spark.createDataFrame(batch, "at string, x double, tag string").withColumn("at", F.col("at").cast("timestamp"))
+        part.coalesce(1).write.mode("append").parquet(path)
+    stream = flows.read_stream(spark, path, T._parse_datatype_string(schema), maxFilesPerTrigger="1")
+    out = flows.run_available(flows.stream_dq(stream, [Check("unique", "x"), Check("unique", "tag")], "at", "1 hour", "30 minutes"))
+    got = rows(out.select(F.date_format("window_start", "HH"), "rows", "duplicates_x", "duplicates_tag", "passed"))
+    # 00: four rows in time, x 1, null, 1, NaN; tags a, a, b, null. 01: x 5, 5, -0, 0; tags null, null, c, d.
+    # The second batch moves the watermark to 01:10, the third closes the window: the row of 00:20 comes too late.
+    assert got == [("00", 4, 2, 1, False), ("01", 4, 2, 1, False)]
 
 
 def test_shared_folder_is_the_named_one(spark):

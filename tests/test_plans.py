@@ -118,6 +118,49 @@ def test_upsert_query_edges(spark, rows):
     assert edges == {("a", "b"): 1, ("a", "c"): 1, ("b", "c"): 1, ("c", "a"): 1}
 
 
+def files(path):
+    return {str(f.relative_to(path)): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+def test_stored_lineage_rewrites_only_touched_partitions(spark, rows, tmp_path):
+    columns = ", ".join(f"{c} string" for c in lineage.LINEAGE)
+    every = [(f"n{i}", f"c{j}", "src", f"s{j}", "tracked") for i in range(40) for j in range(3)]
+    table = lineage.LineageTable(str(tmp_path / "kept"), buckets=16).create(spark)
+    assert rows(table.read(spark)) == []
+    table.replace(spark.createDataFrame(every, columns))
+    assert rows(table.read(spark)) == sorted(every)
+    table.create(spark)  # leaves what is there
+    before = files(tmp_path / "kept")
+
+    touched = table.replace(spark.createDataFrame([("n7", "new", "src", "s0", "sql_exact"), ("n99", "c", "src", "s", "tracked")], columns))
+    expected = [r for r in every if r[0] != "n7"] + [("n7", "new", "src", "s0", "sql_exact"), ("n99", "c", "src", "s", "tracked")]
+    assert rows(table.read(spark)) == sorted(expected) and 1 <= len(touched) <= 2
+    after = files(tmp_path / "kept")
+    same = {f for f in before if after.get(f) == before[f]}
+    assert {f.split("/")[0] for f in before.keys() - same} == {f"bucket={b}" for b in touched} and same
+
+    # Nodes that have no columns any more, down to the last row of a partition.
+    table.replace(spark.createDataFrame([], columns), spark.createDataFrame([(f"n{i}",) for i in range(100)], "node string"))
+    assert rows(table.read(spark)) == []
+    assert table.replace(spark.createDataFrame([(None, "c", "s", "s", "tracked")], columns)) == []
+
+
+def test_stored_lineage_of_one_node_reads_one_partition(spark, rows, tmp_path):
+    columns = ", ".join(f"{c} string" for c in lineage.LINEAGE)
+    table = lineage.LineageTable(str(tmp_path / "kept"), buckets=16).create(spark)
+    table.replace(spark.createDataFrame([(f"n{i}", "c", "src", "s", "tracked") for i in range(40)], columns))
+    one = table.read(spark, "n7")
+    assert rows(one) == [("n7", "c", "src", "s", "tracked")]
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(node_id,n7)" in plan
+    assert len(one.inputFiles()) > 1  # all files are listed, and one partition is left to read
+    scanned = one._jdf.queryExecution().executedPlan().collectLeaves().head()
+    scanned.execute()
+    number = plan[plan.index("PartitionFilters") : plan.index("PushedFilters")]
+    assert "bucket" in number and "= " in number
+    assert table.read(spark, "nowhere").isEmpty()
+
+
 def test_equal_items_give_one_row(spark):
     traced = spark.range(5000).select(F.lit("src").alias("node_id"), F.lit(1).alias("row_id"), F.lit("{}").alias("row_values"), F.lit(False).alias("opaque"))
     (only,) = provenance.trace_by_source(traced).collect()

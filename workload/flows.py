@@ -45,6 +45,24 @@ def _(spark, folder):
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "rows", "null_rate_kind", "min_value", "max_value", "passed")
 
 
+@query(
+    "stream_dq_unique",
+    """SELECT date_trunc('day', ts) AS window_start, COUNT(*) AS rows, MAX(value) AS max_value,
+              COUNT(*) - COUNT(DISTINCT user_id) AS duplicates_user_id,
+              COUNT(*) - COUNT(DISTINCT NULLIF(event_type, 'error')) - MAX(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS duplicates_kind,
+              COUNT(*) - COUNT(DISTINCT event_id) AS duplicates_event_id, COUNT(*) = COUNT(DISTINCT user_id) AND COUNT(*) <= 3 AS passed
+       FROM events GROUP BY 1 HAVING date_trunc('day', MAX(ts)) + INTERVAL 1 DAY <= (SELECT MAX(ts) FROM events) - INTERVAL 1 HOUR""",
+)
+def _(spark, folder):
+    """Of each window that the watermark has closed."""
+    events = stream(spark, folder).select("ts", "event_id", "user_id", "value", F.nullif("event_type", F.lit("error")).alias("kind"))
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    checks = [Check("unique", "user_id"), Check("unique", "kind"), Check("unique", "event_id"), Check("value_range", "value"), Check("row_count", max_rows=3)]
+    out = flows.run_available(flows.stream_dq(timed, checks, "ts", "1 day", "1 hour"))
+    kept = ["rows", "max_value", "duplicates_user_id", "duplicates_kind", "duplicates_event_id", "passed"]
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), *kept)
+
+
 @query(
     "stream_latest_state",
     """SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) FILTER (WHERE value > 100) AS high FROM events GROUP BY 1""",

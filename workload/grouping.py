@@ -400,6 +400,61 @@ def _(spark, folder):
     return plain(out)
 
 
+# One member of each level is missing, so that a total and a missing member meet.
+HOLED = f"(SELECT *, NULLIF(r_name, 'ASIA') AS area, NULLIF(n_name, 'FRANCE') AS land, NULLIF(o_orderstatus, 'P') AS status FROM {STAR})"
+
+
+def holed(spark, folder):
+    found = facts(spark, folder)
+    for level, source, member in (("area", "r_name", "ASIA"), ("land", "n_name", "FRANCE"), ("status", "o_orderstatus", "P")):
+        found = found.withColumn(level, F.nullif(source, F.lit(member)))
+    return found
+
+
+TOTAL = "CAST(SUM(CAST(o_totalprice AS DECIMAL(12,2))) AS DOUBLE)"
+
+
+@query(
+    "cube_rollup",
+    f"""SELECT area, land, GROUPING(area, land) AS grouping_id, {TOTAL} AS total, COUNT(DISTINCT o_custkey) AS customers, COUNT(*) AS n
+        FROM {HOLED} GROUP BY ROLLUP (area, land)""",
+)
+def _(spark, folder):
+    measures = {"total": F.sum("price"), "customers": F.count_distinct("o_custkey"), "n": F.count(F.lit(1))}
+    return plain(cube.cube_query(holed(spark, folder), measures, ["area", "land"], totals="rollup"))
+
+
+@query(
+    "cube_totals",
+    f"""SELECT area, c_mktsegment, GROUPING(area, c_mktsegment) AS grouping_id,
+          CAST(SUM(CAST(o_totalprice AS DECIMAL(12,2))) FILTER (WHERE status = 'F') AS DOUBLE) AS "F · total",
+          CAST(SUM(CAST(o_totalprice AS DECIMAL(12,2))) FILTER (WHERE status = 'O') AS DOUBLE) AS "O · total",
+          {TOTAL} AS "All · total", COUNT(*) FILTER (WHERE status = 'F') AS "F · n", COUNT(*) FILTER (WHERE status = 'O') AS "O · n", COUNT(*) AS "All · n"
+        FROM {HOLED} GROUP BY CUBE (area, c_mktsegment)""",
+)
+def _(spark, folder):
+    out = cube.cube_query(
+        holed(spark, folder),
+        {"total": F.sum("price"), "n": F.count(F.lit(1))},
+        ["area", "c_mktsegment"],
+        {"status": ["F", "O"]},
+        totals="cube",
+        column_total="All",
+    )
+    return plain(out.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit(0)) for c in ("F · n", "O · n")}))
+
+
+@query(
+    "cube_grouping_sets",
+    f"""SELECT area, land, c_mktsegment, GROUPING(area, land, c_mktsegment) AS grouping_id, MAX(o_totalprice) AS largest
+        FROM {HOLED} WHERE status = 'F' GROUP BY GROUPING SETS ((area, land, c_mktsegment), (c_mktsegment), (area, c_mktsegment))""",
+)
+def _(spark, folder):
+    levels = ["area", "land", "c_mktsegment"]
+    sets = [["c_mktsegment"], ["c_mktsegment", "area"]]
+    return cube.cube_query(holed(spark, folder), {"largest": F.max("o_totalprice")}, levels, slicers={"status": "F"}, totals=sets)
+
+
 @query("level_members", "SELECT DISTINCT c_name AS member FROM customer")
 def _(spark, folder):
     return cube.level_members(table(spark, folder, "customer"), "c_name")

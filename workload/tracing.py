@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablecraft.plans import lineage, provenance
+from tablecraft.session import new_path
 
 from .base import query, table
 from .graphs import tagged
@@ -132,6 +133,24 @@ def _(spark, folder):
     return lineage.lineage_upsert(hops(spark, folder), fresh)
 
 
+@query(
+    "lineage_stored",
+    f"""WITH {LINEAGE} SELECT * FROM lineage WHERE node_id NOT IN (SELECT 'p' || p_partkey FROM part WHERE p_size > 25 OR p_brand = 'Brand#11')
+        UNION ALL SELECT 'p' || p_partkey, 'cost', 'catalogue', 'retail', 'sql_exact' FROM part WHERE p_size > 25""",
+)
+def _(spark, folder):
+    """Kept as a table: filled, then replaced node by node; parts of one brand lose their rows."""
+    stored = lineage.LineageTable(new_path(spark, "lineage-table"), buckets=64).create(spark)
+    stored.replace(hops(spark, folder))
+    parts = table(spark, folder, "part")
+    fresh = parts.filter("p_size > 25").select(
+        tagged("p", "p_partkey").alias("node_id"), F.lit("cost").alias("output_column"), F.lit("catalogue").alias("source_node_id"),
+        F.lit("retail").alias("source_column"), F.lit("sql_exact").alias("confidence"),
+    )
+    stored.replace(fresh, parts.filter("p_brand = 'Brand#11'").select(tagged("p", "p_partkey")))
+    return stored.read(spark)
+
+
 @query("lineage_query", f"WITH {LINEAGE} SELECT * FROM lineage ORDER BY node_id, output_column, source_node_id")
 def _(spark, folder):
     return lineage.lineage_query(hops(spark, folder))
