@@ -3,6 +3,8 @@
 Loops here run over the depth of the graph, never over its nodes: every round
 is a Spark job over a whole level, and its result is written to the shared
 folder, so plans stay short and a lost executor does not replay earlier rounds.
+Where a graph is deeper than a few edges, shortcuts over more and more of them
+make the rounds few, see :mod:`.doubling`.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col
 from ..session import settle
+from . import doubling
 
 
 def node_edges(nodes: DataFrame, inputs: DataFrame) -> DataFrame:
@@ -53,6 +56,18 @@ def reachable(
             break
         found.append(frontier.withColumn("depth", F.lit(depth)))
         seen = seen.unionByName(frontier)
+        if depth % doubling.ROUNDS == 0:
+            seen = settle(seen, "seen")
+        if depth == doubling.ROUNDS:
+            # Nodes that are known have their least depth: only edges to others lead on.
+            open_links = links.join(seen.select(F.col("node").alias("dst")), on="dst", how="left_anti")
+            further = doubling.far(
+                frontier.withColumn("value", F.lit(0)), open_links.select("src", "dst").distinct().withColumn("value", F.lit(1)), doubling.SHORTEST
+            )
+            if further is not None:
+                rest = further.filter("value > 0").select("node", (F.col("value") + depth).cast("int").alias("depth"))
+                found.append(rest if max_depth is None else rest.filter(F.col("depth") <= max_depth))
+                break
     if not found:
         return frontier.withColumn("depth", F.lit(0)).limit(0)
     result = found[0]
@@ -100,6 +115,10 @@ def _peel(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         )
         waits = (F.col("waits") - F.coalesce("_freed", F.lit(0))).alias("waits")
         state = settle(rest.join(freed, on="node", how="left").select("node", waits), "degrees")
+        if len(taken) == doubling.ROUNDS and (far := _peel_far(links, taken, state)):
+            taken.append(far[0])
+            state = far[1]
+            break
     if not taken:
         return state.limit(0).select("node", F.lit(0).alias("level")), state.select("node")
     levels = taken[0]
@@ -108,6 +127,34 @@ def _peel(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return levels, state.select("node")
 
 
+def _peel_far(links: DataFrame, taken: list[DataFrame], state: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Levels of the nodes in ``state``, and those of them on a cycle or behind one, by path doubling.
+
+    A walk of as many edges as there are nodes left goes round, so what it leads to has no level. For the
+    others the level is the longest walk from a node that follows one taken before.
+    """
+    left = settle(state.select("node"), "left")
+    inner = links.join(left.select(F.col("node").alias("src")), on="src").join(left.select(F.col("node").alias("dst")), on="dst")
+    inner = settle(inner.select("src", "dst"), "edges")
+    looped = doubling.on_long_walks(inner, left.count())
+    if looped is None:
+        return None
+    placed = taken[0]
+    for part in taken[1:]:
+        placed = placed.unionByName(part)
+    looped = settle(looped, "looped")
+    free = inner.join(looped.select(F.col("node").alias("dst")), on="dst", how="left_anti")
+    level = F.max(F.col("level") + 1).cast("long").alias("value")
+    into = placed.select(F.col("node").alias("src"), "level").join(links, on="src").groupBy(F.col("dst").alias("node")).agg(level)
+    starts = into.join(left, on="node").join(looped, on="node", how="left_anti").unionByName(
+        # A root that is still there is freed by the last round.
+        state.filter("waits = 0").select("node", F.lit(len(taken)).cast("long").alias("value"))
+    )
+    starts = starts.groupBy("node").agg(F.max("value").alias("value"))
+    levels = doubling.far(starts, free.select("src", "dst", F.lit(1).cast("long").alias("value")), doubling.LONGEST)
+    return None if levels is None else (levels.select("node", F.col("value").cast("int").alias("level")), looped)
+
+
 def all_nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
 

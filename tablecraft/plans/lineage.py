@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col
 from ..session import settle
+from . import doubling
 
 LINEAGE = ("node_id", "output_column", "source_node_id", "source_column", "confidence")
 
@@ -174,6 +175,15 @@ def _rank(confidence: Column) -> Column:
     return F.array_position(F.array(*[F.lit(c) for c in CONFIDENCE]), confidence)
 
 
+def _far(steps: DataFrame, frontier: DataFrame) -> DataFrame | None:
+    """What lies behind the columns of the frontier, however far, by path doubling."""
+    here, there = F.struct("node_id", "column"), F.struct(F.col("_node").alias("node_id"), F.col("_column").alias("column"))
+    links = steps.groupBy(here.alias("src"), there.alias("dst")).agg(F.min("_step").cast("long").alias("value"))
+    starts = frontier.select(here.alias("node"), F.col("_sure").cast("long").alias("value"))
+    further = doubling.far(starts, links, doubling.SUREST)
+    return None if further is None else further.select("node.node_id", "node.column", F.col("value").alias("_sure"))
+
+
 def lineage_closure(
     lineage: DataFrame, starts: DataFrame, direction: str = "upstream"
 ) -> DataFrame:
@@ -203,7 +213,9 @@ def lineage_closure(
         starts.select("node_id", "column").distinct().withColumn("_sure", F.lit(1).cast("long")), "closure"
     )
     best = frontier
+    rounds = 0
     while True:
+        rounds += 1
         reached = (
             steps.join(frontier, on=["node_id", "column"])
             .groupBy(F.col("_node").alias("node_id"), F.col("_column").alias("column"))
@@ -219,6 +231,11 @@ def lineage_closure(
         if frontier.isEmpty():
             break
         best = best.unionByName(frontier)
+        if rounds % doubling.ROUNDS == 0:
+            best = settle(best.groupBy("node_id", "column").agg(F.min("_sure").alias("_sure")), "closure")
+        if rounds == doubling.ROUNDS and (further := _far(steps, frontier)) is not None:
+            best = best.unionByName(further)
+            break
     surest = best.groupBy("node_id", "column").agg(F.min("_sure").alias("_sure"))
     names = F.array(*[F.lit(c) for c in CONFIDENCE])
     return surest.join(starts.select("node_id", "column"), on=["node_id", "column"], how="left_anti").select(

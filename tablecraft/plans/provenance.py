@@ -16,9 +16,12 @@ from ..functions.columns import all_of, col
 from ..operators.filters import union_all
 from ..operators.windows import ROW_ID, probe_row_id
 from ..session import settle
+from . import doubling
 from .lineage import counted
 
 OPAQUE = "__opaque__"
+#: Names of nodes that a filter lists at most.
+FEW = 100
 
 
 def stamp_row_id(df: DataFrame, order_by: Sequence[str], sample: int | None = None) -> DataFrame:
@@ -107,6 +110,27 @@ def probe_status(
     return counted
 
 
+def _edges_of(steps: DataFrame, walk: DataFrame) -> DataFrame:
+    """The edges of the nodes that walks have reached, where these are few: others are not read."""
+    names = [r.node_id for r in walk.select("node_id").distinct().limit(FEW + 1).collect()]
+    return steps.filter(F.col("node_id").isin(names)) if len(names) <= FEW else steps
+
+
+def _far(steps: DataFrame, walk: DataFrame, nodes: int) -> DataFrame | None:
+    """Where walks end, however far off, by path doubling; each walk counts."""
+    here = F.struct("node_id", F.col("row_id").cast("bigint").alias("row_id"), F.lit("on").alias("kind"))
+    there = F.struct(F.col("_node").alias("node_id"), F.col("_row").alias("row_id"), "kind")
+    links = steps.groupBy(here.alias("src"), there.alias("dst")).agg(F.count(F.lit(1)).alias("value"))
+    begun = walk.select("start_node", "start_row", here.alias("node"), F.col("paths").alias("value"))
+    try:
+        further = doubling.far(begun, links, doubling.COUNTED, ["start_node", "start_row"], longest=nodes)
+    except ValueError as error:
+        raise ValueError("trace_rows: the nodes form a cycle") from error
+    if further is None:
+        return None
+    return further.select("start_node", "start_row", "node.node_id", "node.row_id", F.col("value").alias("paths"), "node.kind").filter("kind != 'on'")
+
+
 def trace_rows(
     edges: DataFrame, starts: DataFrame, sources: Mapping[str, DataFrame]
 ) -> DataFrame:
@@ -119,43 +143,44 @@ def trace_rows(
     A walk that takes more steps than there are nodes goes round in a circle,
     which is an error.
     """
-    keyed = settle(
-        edges.select("node_id", F.col("output_row_id").alias("row_id"), "source_node_id", "source_row_id"), "edges"
-    )
-    traced = settle(keyed.select("node_id").distinct(), "traced")
-    walk = settle(
-        starts.select(
-            F.col("node_id").alias("start_node"),
-            F.col("row_id").cast("bigint").alias("start_row"),
-            "node_id",
-            F.col("row_id").cast("bigint").alias("row_id"),
-        )
-        .distinct()
-        .withColumn("paths", F.lit(1).cast("bigint")),
-        "walk",
-    )
-    ends, lost = [], []
     gone = F.col("source_node_id") == OPAQUE
-    nodes = traced.count()
+    traced = edges.select("node_id").distinct()
+    # Where the way back is lost, the walk ends at the row it has reached; else where nothing leads on.
+    onward = traced.select(F.col("node_id").alias("source_node_id"), F.lit("on").alias("_on"))
+    kind = F.when(gone, "lost").otherwise(F.coalesce("_on", F.lit("end")))
+    steps = edges.join(onward, on="source_node_id", how="left").select(
+        "node_id",
+        F.col("output_row_id").alias("row_id"),
+        F.when(gone, F.col("node_id")).otherwise(F.col("source_node_id")).alias("_node"),
+        F.when(gone, F.col("output_row_id")).otherwise(F.col("source_row_id")).cast("bigint").alias("_row"),
+        kind.alias("kind"),
+    )
+    steps = settle(steps, "edges")
+    columns = ["start_node", "start_row", "node_id", "row_id"]
+    first = starts.select(
+        F.col("node_id").alias("start_node"), F.col("row_id").cast("bigint").alias("start_row"), "node_id", F.col("row_id").cast("bigint").alias("row_id")
+    ).distinct()
+    known = first.join(traced.withColumn("_on", F.lit("on")), on="node_id", how="left")
+    walk = settle(known.select(*columns, F.lit(1).cast("bigint").alias("paths"), F.coalesce("_on", F.lit("end")).alias("kind")), "walk")
+    ended = [walk.filter("kind != 'on'")]
+    walk = walk.filter("kind = 'on'")
+    nodes, rounds = traced.count(), 0
     while not walk.isEmpty():
-        if len(ends) > nodes:
+        if rounds > nodes:
             raise ValueError("trace_rows: the nodes form a cycle")
-        ends.append(walk.join(traced, on="node_id", how="left_anti").select(*walk.columns))
-        # Where the way back is lost, the walk ends at the row it has reached.
+        rounds += 1
         stepped = settle(
-            keyed.join(walk, on=["node_id", "row_id"])
-            .groupBy(
-                "start_node",
-                "start_row",
-                F.when(gone, F.col("node_id")).otherwise(F.col("source_node_id")).alias("node_id"),
-                F.when(gone, F.col("row_id")).otherwise(F.col("source_row_id")).alias("row_id"),
-                gone.alias("_gone"),
-            )
+            _edges_of(steps, walk)
+            .join(walk.drop("kind"), on=["node_id", "row_id"])
+            .groupBy("start_node", "start_row", F.col("_node").alias("node_id"), F.col("_row").alias("row_id"), "kind")
             .agg(F.sum("paths").alias("paths")),
             "walk",
         )
-        lost.append(stepped.filter("_gone").select(*walk.columns))
-        walk = stepped.filter("NOT _gone").select(*walk.columns)
+        ended.append(stepped.filter("kind != 'on'").select(*walk.columns))
+        walk = stepped.filter("kind = 'on'").select(*walk.columns)
+        if rounds == doubling.ROUNDS and (further := _far(steps, walk, nodes)) is not None:
+            ended.append(further.select(*walk.columns))
+            break
 
     def valued_by(reached: DataFrame, name: str, df: DataFrame) -> DataFrame:
         """Rows of one source with their values; only rows that were reached become JSON."""
@@ -165,25 +190,11 @@ def trace_rows(
         as_json = F.to_json("_values", {"ignoreNullFields": "false"}).alias("row_values")
         return ids.join(rows, on="row_id").select(*reached.columns, as_json)
 
-    columns = ["start_node", "start_row", "node_id", "row_id"]
-    if not ends:
-        empty = walk.withColumn("row_values", F.lit(None).cast("string")).withColumn("opaque", F.lit(False))
-        return empty.select(*columns, "paths", "row_values", "opaque")
-    reached = union_all(*ends).groupBy(*columns).agg(F.sum("paths").alias("paths"))
-    valued = (
-        union_all(*[valued_by(reached, name, df) for name, df in sources.items()]).withColumn("opaque", F.lit(False))
-        if sources
-        else reached.limit(0).withColumn("row_values", F.lit(None).cast("string")).withColumn("opaque", F.lit(False))
-    )
-    ended = (
-        union_all(*lost)
-        .groupBy(*columns)
-        .agg(F.sum("paths").alias("paths"))
-        .withColumn("row_values", F.lit("{}"))
-        .withColumn("opaque", F.lit(True))
-    )
-    order = [*columns, "paths", "row_values", "opaque"]
-    return valued.select(*order).unionByName(ended.select(*order))
+    done = settle(union_all(*ended).groupBy(*columns, "kind").agg(F.sum("paths").alias("paths")), "ended")
+    reached = done.filter("kind = 'end'").drop("kind")
+    lost = done.filter("kind = 'lost'").drop("kind").withColumn("row_values", F.lit("{}"))
+    valued = [valued_by(reached, name, df).withColumn("opaque", F.lit(False)) for name, df in sources.items()]
+    return union_all(*valued, lost.withColumn("opaque", F.lit(True))).select(*columns, "paths", "row_values", "opaque")
 
 
 def trace_row(
