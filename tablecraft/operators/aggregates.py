@@ -7,9 +7,10 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.columns import all_of, col, is_missing, present, require
+from ..functions.columns import FRACTIONAL, all_of, col, dtype_of, is_missing, present, require
 from ..functions.ordering import RUN, ordered_runs
 from .filters import as_date, union_all
 
@@ -34,15 +35,49 @@ def _aggregate(df: DataFrame, source: str, name: str) -> Column:
     return F.count_distinct(value)
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], column: str, out: str) -> DataFrame:
-    """The median per key, exact, without holding a group's values in one task.
+def _stacks(df: DataFrame, columns: Sequence[str]) -> list[tuple[T.DataType, list[str]]]:
+    """Columns whose values fit one type without loss, with that type: whole numbers, fractions, decimals."""
+    stacks: dict[str, tuple[T.DataType, list[str]]] = {}
+    for column in dict.fromkeys(columns):
+        dtype = dtype_of(df, column)
+        if isinstance(dtype, FRACTIONAL):
+            common = T.DoubleType()
+        elif isinstance(dtype, T.IntegralType):
+            common = T.LongType()
+        else:  # decimals only with decimals of the same shape
+            common = dtype
+        stacks.setdefault(common.simpleString(), (common, []))[1].append(column)
+    return list(stacks.values())
+
+
+def exact_medians(df: DataFrame, keys: Sequence[str], medians: Mapping[str, str]) -> DataFrame:
+    """The median of several columns per key, exact, without holding a group's values in one task.
 
-    Values are counted per key and put into ordered runs. How many values each
+    ``medians`` maps an output to its column. Columns of one kind (whole numbers, fractions) are stacked by number and
+    take one pass together. Values are counted per key and put into ordered runs. How many values each
     run holds tells which one or two runs the middle lies in, so only those are
-    looked at closely. Keys must not be NULL.
+    looked at closely. Keys must not be NULL; a key without any value has no row.
     """
-    by = [col(k) for k in keys]
-    cells = df.filter(~is_missing(df, column)).groupBy(*by, col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    result = None
+    for common, columns in _stacks(df, list(medians.values())):
+        entries = [F.struct(F.lit(i).alias("no"), present(df, c).cast(common).alias("v")) for i, c in enumerate(columns)]
+        # Keys get names of their own: a column may be called as a helper is.
+        renamed = [F.col(k) for k in (f"_k{i}" for i in range(len(keys)))]
+        each = df.select(*[col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.explode(F.array(*entries)).alias("_e"))
+        flat = each.select(*renamed, F.col("_e.no").alias("_no"), F.col("_e.v").alias("_v")).filter(F.col("_v").isNotNull())
+        found = _middles(flat, [f"_k{i}" for i in range(len(keys))])
+        outs = [F.max(F.when(F.col("_no") == columns.index(c), F.col("_m"))).alias(out) for out, c in medians.items() if c in columns]
+        part = found.groupBy(*renamed).agg(*outs)
+        part = part.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], *[col(out) for out, c in medians.items() if c in columns])
+        result = part if result is None else result.join(part, on=list(keys), how="full_outer")
+    return result
+
+
+def _middles(flat: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(*keys, _no, _m)``: the middle of ``flat (*keys, _no, _v)`` per key and number of column."""
+    keys = [*keys, "_no"]
+    by = [F.col(k) for k in keys]
+    cells = flat.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
     runs = ordered_runs(cells, keys, [F.col("_v").asc()])
 
     whole = Window.partitionBy(*by)
@@ -65,7 +100,12 @@ def exact_median(df: DataFrame, keys: Sequence[str], column: str, out: str) -> D
 
     # Halved as doubles: the sum of two large longs would not fit a long.
     middle = [F.max(F.when(holds(place), F.col("_v"))).cast("double") / 2 for place in (low, high)]
-    return near.groupBy(*by).agg((middle[0] + middle[1]).alias(out))
+    return near.groupBy(*by).agg((middle[0] + middle[1]).alias("_m"))
+
+
+def exact_median(df: DataFrame, keys: Sequence[str], column: str, out: str) -> DataFrame:
+    """The median of one column per key, see :func:`exact_medians`."""
+    return exact_medians(df, keys, {out: column})
 
 
 def group_summary(df: DataFrame, group_by: Sequence[str], aggs: Mapping[str, Any]) -> DataFrame:
@@ -100,8 +140,8 @@ def group_summary(df: DataFrame, group_by: Sequence[str], aggs: Mapping[str, Any
         result = groups.agg(*[_aggregate(df, source, name).alias(out) for out, (source, name) in plain.items()])
     else:
         result = keyed.select(*[col(k) for k in keys]).distinct()
-    for out, source in medians.items():
-        result = result.join(exact_median(keyed, keys, source, out), on=keys, how="left")
+    if medians:
+        result = result.join(exact_medians(keyed, keys, medians), on=keys, how="left")
     return result.select(*[col(c) for c in [*keys, *wanted]])
 
 

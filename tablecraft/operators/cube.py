@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import any_of, col, require
+from .filters import union_all
 
 
 GROUPING = "grouping_id"
@@ -136,16 +137,20 @@ def level_members(dimension: DataFrame, level: str, max_members: int | None = No
 
 
 def cube_metadata(dimensions: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:
-    """Per dimension and level, from the top level down: how many members it has."""
+    """Per dimension and level, from the top level down: how many members it has.
+
+    All levels of a dimension are counted in one pass over its table.
+    """
     parts = []
     for name, (table, levels) in dimensions.items():
-        # An aggregate each: several distinct counts in one would multiply the rows.
-        for i, c in enumerate(levels):
-            counted = table.agg(F.count_distinct(col(c)).alias("n_members"))
-            parts.append(
-                counted.select(F.lit(name).alias("dimension"), F.lit(c).alias("level"), F.lit(i).alias("level_number"), "n_members")
+        require(table, levels, "cube_metadata")
+        counted = table.agg(*[F.count_distinct(col(c)).alias(f"n{i}") for i, c in enumerate(levels)])
+        lines = [
+            F.struct(
+                F.lit(name).alias("dimension"), F.lit(c).alias("level"), F.lit(i).alias("level_number"), F.col(f"n{i}").alias("n_members")
             )
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+            for i, c in enumerate(levels)
+        ]
+        if lines:
+            parts.append(counted.select(F.inline(F.array(*lines))))
+    return union_all(*parts)

@@ -6,8 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import all_of, col, require, to_number
+from ..functions.ordering import row_numbers
+from ..session import settle
 
 
 def compute_pnl(
@@ -62,36 +65,98 @@ def customer_sales(
     return kept.join(known, on=[on], how="left")
 
 
-def full_outer_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+#: Rows of one key on one side from which the key is spread over several tasks.
+HEAVY = 1_000_000
+#: Keys of that kind are broadcast up to this number.
+LISTED = 100_000
+
+
+def full_outer_null_safe(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], heavy: int = HEAVY, one_to_one: bool = False
+) -> DataFrame:
     """Full outer join in which a missing key matches a missing key.
 
     Other columns are named ``l_…`` and ``r_…``; ``_in_left`` and ``_in_right``
-    tell which sides a row came from. The matches and the two rests are joined
-    apart: Spark can split a hot key in an inner or anti join, on either side,
-    but not in a full outer join.
+    tell which sides a row came from. A repeated key gives every pair of its rows; with ``one_to_one`` its
+    copies are matched one by one, in the order of their values, and the surplus is one-sided.
+
+    Spark cannot split a hot key in a full outer join. So keys are counted first, in one aggregate that
+    combines before the shuffle. A key with ``heavy`` rows or more on a side is cut into salts of about so
+    many: its longer side is spread over them, and its shorter side goes to each. Copies matched one by one
+    differ in their number and need no salts. Beyond the count each side is read once.
     """
     require(left, keys, "full_outer_null_safe")
     require(right, keys, "full_outer_null_safe")
+    match = list(keys)
+    if one_to_one:
+        left, right = (_numbered(df, keys) for df in (left, right))
+        match.append(_COPY)
     # Names of their own on each side, as both may come from the same table.
-    a = left.select(
-        *[col(k).alias(f"_lk{i}") for i, k in enumerate(keys)],
-        *[col(c).alias(f"l_{c}") for c in left.columns if c not in keys],
+    a, b = _side(left, match, "l"), _side(right, match, "r")
+    counts = None if one_to_one else _heavy_keys(a, b, len(keys), heavy)
+    on = all_of(F.col(f"_lk{i}").eqNullSafe(F.col(f"_rk{i}")) for i in range(len(match)))
+    if counts is not None:
+        a, b = _salted(a, counts, "l", heavy), _salted(b, counts, "r", heavy)
+        on = on & (F.col("_lsalt") == F.col("_rsalt"))
+    joined = a.join(b, on, "full_outer")
+    if counts is not None:
+        # A copy sent to all salts meets no row in some of them; it is one-sided only where its key is.
+        joined = joined.filter(~(F.col("_in_l").isNull() & F.coalesce("_rcopied", F.lit(False))))
+        joined = joined.filter(~(F.col("_in_r").isNull() & F.coalesce("_lcopied", F.lit(False))))
+    return joined.select(
+        *[F.when(F.col("_in_l"), F.col(f"_lk{i}")).otherwise(F.col(f"_rk{i}")).alias(k) for i, k in enumerate(keys)],
+        *[col(f"l_{c}") for c in left.columns if c not in match],
+        *[col(f"r_{c}") for c in right.columns if c not in match],
+        F.coalesce("_in_l", F.lit(False)).alias("_in_left"),
+        F.coalesce("_in_r", F.lit(False)).alias("_in_right"),
     )
-    b = right.select(
-        *[col(k).alias(f"_rk{i}") for i, k in enumerate(keys)],
-        *[col(c).alias(f"r_{c}") for c in right.columns if c not in keys],
+
+
+_COPY = "_copy"
+
+
+def _numbered(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of one key numbered by their values; equal rows are told apart once and for all."""
+    named = settle(df.withColumn("_tie", F.monotonically_increasing_id()), "copies")
+    values = [col(f.name) for f in df.schema.fields if f.name not in keys and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    order = [v.asc_nulls_last() for v in values] + [F.col("_tie").asc()]
+    return row_numbers(named, list(keys), order, _COPY).drop("_tie")
+
+
+def _side(df: DataFrame, match: Sequence[str], side: str) -> DataFrame:
+    return df.select(
+        *[col(k).alias(f"_{side}k{i}") for i, k in enumerate(match)],
+        *[col(c).alias(f"{side}_{c}") for c in df.columns if c not in match],
+        F.lit(True).alias(f"_in_{side}"),
     )
-    on = all_of(F.col(f"_lk{i}").eqNullSafe(F.col(f"_rk{i}")) for i in range(len(keys)))
-
-    def rows(df: DataFrame, side: str, in_left: bool, in_right: bool) -> DataFrame:
-        return df.select(
-            *[F.col(f"_{side}k{i}").alias(k) for i, k in enumerate(keys)],
-            *[col(c) for c in df.columns if c.startswith(("l_", "r_"))],
-            F.lit(in_left).alias("_in_left"),
-            F.lit(in_right).alias("_in_right"),
-        )
-
-    matched = rows(a.join(b, on, "inner"), "l", True, True)
-    left_only = rows(a.join(b, on, "left_anti"), "l", True, False)
-    right_only = rows(b.join(a, on, "left_anti"), "r", False, True)
-    return matched.unionByName(left_only, True).unionByName(right_only, True).select(*matched.columns)
+
+
+def _heavy_keys(a: DataFrame, b: DataFrame, keys: int, heavy: int) -> DataFrame | None:
+    """``(_k0, …, _l, _r)``: keys with many rows on a side and how many on each; None if there are none."""
+
+    def ones(df: DataFrame, side: str) -> DataFrame:
+        names = [F.col(f"_{side}k{i}").alias(f"_k{i}") for i in range(keys)]
+        return df.select(*names, F.lit(int(side == "l")).alias("_l"), F.lit(int(side == "r")).alias("_r"))
+
+    counted = ones(a, "l").unionByName(ones(b, "r")).groupBy(*[f"_k{i}" for i in range(keys)]).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+    found = settle(counted.filter(F.greatest("_l", "_r") >= heavy), "heavy")
+    number = found.count()
+    if not number:
+        return None
+    return F.broadcast(found) if number <= LISTED else found
+
+
+def _salted(df: DataFrame, counts: DataFrame, side: str, heavy: int) -> DataFrame:
+    """``df`` with a salt per row, 0 for keys that are not heavy. Salts are written down, so they stay."""
+    known = counts.select(*[F.col(c).alias(f"_c{c}") for c in counts.columns])
+    keys = [c for c in counts.columns if c.startswith("_k")]
+    on = all_of(F.col(f"_{side}{k[1:]}").eqNullSafe(F.col(f"_c{k}")) for k in keys)
+    mine, other = (F.col("_c_l"), F.col("_c_r")) if side == "l" else (F.col("_c_r"), F.col("_c_l"))
+    salts = F.ceil(F.greatest("_c_l", "_c_r") / heavy).cast("int")
+    # The left side is the longer one if both are equally long.
+    shorter = mine < other if side == "l" else mine <= other
+    copied = F.coalesce(shorter & (mine > 0) & (other > 0), F.lit(False))
+    own = F.coalesce(F.pmod(F.monotonically_increasing_id(), salts).cast("int"), F.lit(0))
+    marked = df.join(known, on, "left").select(*df.columns, copied.alias(f"_{side}copied"), own.alias("_own"), salts.alias("_salts"))
+    places = F.when(F.col(f"_{side}copied"), F.sequence(F.lit(0), F.col("_salts") - 1)).otherwise(F.array("_own"))
+    return settle(marked, "salts").withColumn(f"_{side}salt", F.explode(places)).drop("_own", "_salts")

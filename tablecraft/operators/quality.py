@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import NUMBER_TEXT, WHOLE_TEXT, col, dtype_of, is_missing, present, to_number
-from .filters import union_all
 
 REPORT = "`table` string, check_no int, type string, label string, `column` string, observed double, bound double, passed boolean, message string"
 
@@ -70,7 +69,7 @@ def dq_unique(df: DataFrame, column: str) -> DataFrame:
 
 
 def _measures(df: DataFrame, checks: Sequence[Check]) -> list[Column]:
-    """Everything but uniqueness, as columns of one aggregate."""
+    """Everything the checks need, as columns of one aggregate."""
     parts = [F.count(F.lit(1)).alias("_rows")]
     for i, check in enumerate(checks):
         if check.type == "null_rate" and check.column in df.columns:
@@ -79,6 +78,8 @@ def _measures(df: DataFrame, checks: Sequence[Check]) -> list[Column]:
             value = _comparable(df, check.column)
             odd = value.isNull() & ~is_missing(df, check.column)
             parts += [F.min(value).alias(f"_min{i}"), F.max(value).alias(f"_max{i}"), F.count_if(odd).alias(f"_odd{i}")]
+        if check.type == "unique" and check.column in df.columns:
+            parts.append(_duplicates(df, check.column).alias(f"_duplicates{i}"))
     return parts
 
 
@@ -162,44 +163,31 @@ def _lines(df: DataFrame, no: int, check: Check, table: str) -> list[Column]:
             lines.append(_entry(no, check, actual, bound, passed, text, table))
         return lines or [_entry(no, check, nothing, None, F.lit(True), F.lit(""), table)]
 
-    duplicates = F.col("_duplicates")
+    duplicates = F.col(f"_duplicates{no}")
     text = F.concat(F.lit(f"[{where}] "), _number(duplicates), F.lit(" duplicate value(s) found"))
     return [_entry(no, check, duplicates, 0, duplicates == 0, text, table)]
 
 
-def _duplicates(df: DataFrame, column: str) -> DataFrame:
+def _duplicates(df: DataFrame, column: str) -> Column:
     """Rows beyond the first of each value, missing values being one value.
 
-    The only distinct aggregate in its query: two of them would multiply rows.
+    Several of these in one aggregate take one pass: Spark gives each row to every column's distinct values
+    once, drops repeats before and after the shuffle, and counts what is left.
     """
-    value = present(df, column)
     missing = F.coalesce(F.max(is_missing(df, column).cast("int")), F.lit(0))
-    return df.agg((F.count(F.lit(1)) - F.count_distinct(value) - missing).alias("_duplicates"))
+    return F.count(F.lit(1)) - F.count_distinct(present(df, column)) - missing
 
 
 def dq_report(df: DataFrame, checks: Sequence[Check], table: str = "table") -> DataFrame:
     """One line per check and bound: what was observed, the bound, and the failure text.
 
-    All counts, rates and ranges come from one pass over the columns they need;
-    each ``unique`` check reads its own column once more.
+    All of it comes from one pass over the columns that the checks need.
     """
     checks = list(checks)
-    simple = [
-        line
-        for i, c in enumerate(checks)
-        if c.type != "unique" or c.column not in df.columns
-        for line in _lines(df, i, c, table)
-    ]
-    parts = []
-    if simple:
-        parts.append(df.agg(*_measures(df, checks)).select(F.inline(F.array(*simple))))
-    for i, check in enumerate(checks):
-        if check.type == "unique" and check.column in df.columns:
-            measured = _duplicates(df, check.column)
-            parts.append(measured.select(F.inline(F.array(*_lines(df, i, check, table)))))
-    if not parts:
+    lines = [line for i, c in enumerate(checks) for line in _lines(df, i, c, table)]
+    if not lines:
         return df.sparkSession.createDataFrame([], REPORT)
-    return union_all(*parts)
+    return df.agg(*_measures(df, checks)).select(F.inline(F.array(*lines)))
 
 
 def failures(report: DataFrame) -> list[str]:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import col, is_missing, require
+from ..functions.columns import all_of, col, is_missing, require
 from ..functions.ordering import previous_values, row_numbers, running_totals
 
 # How tied values are ranked.
@@ -146,9 +146,14 @@ def add_rank(
     if method == "first":
         if not tie_breakers:
             raise ValueError("add_rank: method 'first' needs tie_breakers, as rows have no order of their own")
-        ranked = row_numbers(df.filter(valued), keys, [direction, *_ties(tie_breakers)], rank_column)
-        unranked = df.filter(~valued).withColumn(rank_column, F.lit(None).cast("bigint"))
-        return ranked.unionByName(unranked)
+        # Only what gives the order is put in order and written down; the numbers join back to the rows.
+        named = list(dict.fromkeys([*keys, column, *tie_breakers]))
+        narrow = df.filter(valued).select(*[col(c) for c in named])
+        numbered = row_numbers(narrow, keys, [direction, *_ties(tie_breakers)], "_number")
+        # Rows that the tie breakers do not tell apart share the first of their numbers.
+        numbers = numbered.groupBy(*[col(c).alias(f"_o{i}") for i, c in enumerate(named)]).agg(F.min("_number").alias(rank_column))
+        on = all_of([valued, *[col(c).eqNullSafe(F.col(f"_o{i}")) for i, c in enumerate(named)]])
+        return df.drop(rank_column).join(numbers, on, "left").drop(*[f"_o{i}" for i in range(len(named))])
 
     cells = df.filter(valued).groupBy(*[col(k) for k in keys], col(column)).agg(F.count(F.lit(1)).alias("_n"))
     placed = running_totals(cells, keys, [direction], {"_upto": F.col("_n"), "_distinct": F.lit(1).cast("long")})
@@ -185,10 +190,18 @@ def probe_row_id(df: DataFrame, order_by: Sequence[str], sample: int | None = No
 def last_state(df: DataFrame, key: str, order_by: Sequence[str], state: Sequence[str]) -> DataFrame:
     """Rows whose state differs from the previous row of their key, and first rows.
 
-    ``order_by`` must tell the rows of a key apart.
+    ``order_by`` must tell the rows of a key apart. Only key, order and state are put in order and written
+    down; the other columns are met again by key and order, for the rows that changed.
     """
     require(df, [key, *order_by, *state], "last_state")
-    marked = df.withColumn("_state", F.struct(*[col(c) for c in state])).withColumn("_any", F.lit(True))
+    identity = list(dict.fromkeys([key, *order_by]))
+    narrow = df.select(*[col(c) for c in dict.fromkeys([*identity, *state])])
+    packed = F.struct(*[col(c) for c in state])
+    marked = narrow.select(*[col(c) for c in identity], packed.alias("_state"), F.lit(True).alias("_any"))
     compared = previous_values(marked, [key], _ties(order_by), {"_before": "_state", "_had": "_any"})
-    changed = F.col("_had").isNull() | ~F.col("_before").eqNullSafe(F.col("_state"))
-    return compared.filter(changed).select(*[col(c) for c in df.columns])
+    changed = compared.filter(F.col("_had").isNull() | ~F.col("_before").eqNullSafe(F.col("_state")))
+    if set(df.columns) <= set(narrow.columns):
+        fields = {c: F.col("_state").getField(c) for c in state}
+        return changed.select(*[(fields[c].alias(c) if c in fields else col(c)) for c in df.columns])
+    places = changed.select(*[col(c).alias(f"_o{i}") for i, c in enumerate(identity)])
+    return df.join(places, all_of(col(c).eqNullSafe(F.col(f"_o{i}")) for i, c in enumerate(identity)), "left_semi")

@@ -5,7 +5,7 @@ import contextlib
 import pytest
 from pyspark.sql import functions as F
 
-from tablecraft.operators import filters, joins, quality, windows
+from tablecraft.operators import cube, filters, joins, quality, windows
 from tablecraft.operators.quality import Check
 from tablecraft.plans import provenance, runlog
 
@@ -108,8 +108,9 @@ def test_hot_keys_are_split_in_joins(spark, hot):
 
         small = spark.range(1001).select(F.col("id").alias("k"), (F.col("id") + 1).alias("w"))
         for left, right in ((hot, small), (small, hot)):
-            plan, n = joined_rows(joins.full_outer_null_safe(left, right, ["k"]))
-            assert "skew=true" in plan and n == 60001
+            out = joins.full_outer_null_safe(left, right, ["k"], heavy=1000)
+            plan = plan_of(out)
+            assert plan.count("FullOuter") == 1 and plan.count("FileScan parquet") == 2 and out.count() == 60001
 
         plan, n = joined_rows(windows.add_rank(hot, "k", method="min"))
         assert "skew=true" in plan and n == 60000
@@ -130,3 +131,56 @@ def test_sorting_by_a_hot_value_spreads_rows(spark, hot):
         assert "rangepartitioning" in plan_of(spread)
         sizes = [r["count"] for r in spread.collect()]
     assert len(sizes) == 4 and max(sizes) < 60000 / 4 * 1.5
+
+
+def test_all_checks_of_a_table_take_one_scan(spark):
+    checks = [Check("unique", c) for c in ("o_orderkey", "o_custkey", "o_totalprice")]
+    checks += [Check("null_rate", "o_orderstatus", max_null_rate=0.1), Check("row_count", min_rows=1)]
+    plan = plan_of(quality.dq_report(read(spark, "orders"), checks))
+    assert plan.count("FileScan parquet") == 1 and "o_orderdate" not in plan and "Join" not in plan
+
+
+def test_distinct_values_over_odd_columns(spark):
+    data = [(1.0, "a", 1), (float("nan"), "a", 1), (None, None, 1), (1.0, "b", 1), (-0.0, None, 1), (0.0, "c", 1)]
+    df = spark.createDataFrame(data, "x double, t string, one int")
+    report = quality.dq_report(df, [Check("unique", "x"), Check("unique", "t"), Check("unique", "one"), Check("unique", "gone")])
+    assert [(r.observed, r.passed) for r in report.orderBy("check_no").collect()] == [(3.0, False), (2.0, False), (5.0, False), (None, False)]
+    empty = quality.dq_report(df.limit(0), [Check("unique", "x"), Check("unique", "t")])
+    assert [(r.observed, r.passed) for r in empty.collect()] == [(0.0, True), (0.0, True)]
+
+
+def test_levels_of_a_dimension_take_one_scan(spark):
+    out = cube.cube_metadata({"orders": (read(spark, "orders"), ["o_orderpriority", "o_custkey", "o_orderkey"])})
+    assert plan_of(out).count("FileScan parquet") == 1
+    assert [(r.level, r.level_number) for r in out.collect()] == [("o_orderpriority", 0), ("o_custkey", 1), ("o_orderkey", 2)]
+
+
+def test_hot_keys_of_a_full_outer_join_are_salted(spark):
+    """A third of the rows under one key on both sides, among them missing keys; every pair and every rest once."""
+    a = spark.range(600).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id")).alias("k"), (F.col("id") % 2).alias("v"))
+    b = spark.range(90).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id") + 500).alias("k"), F.lit("x").alias("w"))
+    lone = spark.range(300).select(F.lit(-1).cast("long").alias("k"), F.lit("y").alias("w"))
+    for left, right in ((a, b.unionByName(lone)), (b.unionByName(lone).withColumnRenamed("w", "v"), a.withColumnRenamed("v", "w"))):
+        plain = joins.full_outer_null_safe(left, right, ["k"])
+        salted = joins.full_outer_null_safe(left, right, ["k"], heavy=25)
+        assert plain.count() == salted.count() and plain.exceptAll(salted).isEmpty() and salted.exceptAll(plain).isEmpty()
+    spread = {"spark__sql__adaptive__coalescePartitions__enabled": "false", "spark__sql__shuffle__partitions": "40"}
+    with settings(spark, **spread):
+        salted = joins.full_outer_null_safe(a, b, ["k"], heavy=25)
+        sizes = [r["count"] for r in salted.groupBy(F.spark_partition_id()).count().collect()]
+    total = 201 * 30 + 200 * 30 + 199 + 30  # pairs of 7, pairs of missing keys, and keys on one side
+    assert sum(sizes) == total and max(sizes) < 0.2 * sum(sizes)
+
+
+def test_copies_are_matched_one_to_one_in_a_full_outer_join(spark):
+    left = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (None, "c"), (2, "d")], "k int, v string")
+    right = spark.createDataFrame([(1, "b"), (1, "a"), (None, "c"), (None, "d"), (3, "e")], "k int, v string")
+    out = joins.full_outer_null_safe(left, right, ["k"], one_to_one=True)
+    got = sorted(((r.k, r.l_v, r.r_v, r._in_left, r._in_right) for r in out.collect()), key=repr)
+    assert got == sorted(
+        [(1, "a", "a", True, True), (1, "b", "b", True, True), (1, "b", None, True, False), (None, "c", "c", True, True), (None, None, "d", False, True), (2, "d", None, True, False), (3, None, "e", False, True)],
+        key=repr,
+    )
+    hot = spark.range(5000).select(F.lit(1).alias("k"), F.lit("same").alias("v"))
+    matched = joins.full_outer_null_safe(hot, hot.limit(4000), ["k"], one_to_one=True)
+    assert (matched.count(), matched.filter("_in_left AND _in_right").count()) == (5000, 4000)

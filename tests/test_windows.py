@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tablecraft.functions import ordering
 from tablecraft.functions.ordering import previous_values, row_numbers, running_totals
 from tablecraft.operators import windows
 
@@ -112,3 +113,39 @@ def test_many_rows_of_a_hot_group(spark):
     best = windows.top_n(hot, 5_000, "id", partition_by="g")
     assert {r.g: r["count"] for r in best.groupBy("g").count().collect()} == {"hot": 5_000, "cold": 1_200}
     assert best.filter("g = 'hot'").agg(F.min("id")).first()[0] == hot.filter("g = 'hot'").orderBy(F.desc("id")).limit(5_000).agg(F.min("id")).first()[0]
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """The columns of each table that ordering writes down."""
+    seen, write = [], ordering.settle
+
+    def settle(df, label="step"):
+        seen.append(df.columns)
+        return write(df, label)
+
+    monkeypatch.setattr(ordering, "settle", settle)
+    return seen
+
+
+def test_last_state_writes_only_what_gives_the_order(spark, written):
+    wide = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 7).alias("k"), "id", (F.col("id") % 50 < 25).alias("on"),
+        F.repeat(F.lit("x"), 50).alias("pad"), (F.col("id") * 2).alias("other"),
+    )
+    out = windows.last_state(wide, "k", ["id"], ["on"])
+    assert all({"pad", "other"}.isdisjoint(columns) for columns in written) and len(written) == 1
+    before = F.lag("on").over(Window.partitionBy("k").orderBy("id"))
+    expected = wide.withColumn("b", before).filter(F.col("b").isNull() | (F.col("b") != F.col("on"))).drop("b")
+    assert out.columns == wide.columns and out.exceptAll(expected).isEmpty() and expected.exceptAll(out).isEmpty()
+
+
+@pytest.mark.parametrize("group", [None, "g"])
+def test_first_ranks_write_only_what_gives_the_order(spark, written, group):
+    wide = spark.createDataFrame([(*r, "pad", i) for i, r in enumerate(DATA)], "id int, g string, v double, pad string, more int")
+    out = windows.add_rank(wide, "v", "r", method="first", group_by=group, tie_breakers=["id"])
+    assert all({"pad", "more"}.isdisjoint(columns) for columns in written) and len(written) == 1
+    assert out.count() == 60 and out.columns == [*wide.columns, "r"]
+    # Tie breakers that leave rows equal give them one number, and no row twice.
+    tied = windows.add_rank(wide, "v", "r", method="first", group_by=group, tie_breakers=["pad"])
+    assert tied.count() == 60 and tied.filter("r IS NOT NULL").select("v", "g", "r").distinct().count() <= 15
