@@ -118,6 +118,38 @@ def stream_latest_state(stream: DataFrame, key: str, order_by: Sequence[str], fi
     )
 
 
+def stream_closed_states(
+    stream: DataFrame, key: str, order_by: Sequence[str], fields: Sequence[str], time: str, idle: str, late: str = "10 minutes"
+) -> DataFrame:
+    """As :func:`stream_latest_state`, with state that ends: each key's state once, when the key has fallen silent.
+
+    A key is silent when the watermark, which lies ``late`` behind the newest event, has passed its last
+    event by ``idle``. Then its state is written out, with the ``first`` and the ``last`` event's time, and dropped.
+    What is kept is bounded by the keys of the last ``idle``, not by all keys ever seen. A key that speaks again
+    starts anew, and gives another row later on: :func:`latest_states` folds the rows of a key. Events
+    of a state that has ended are dropped. Append mode writes each row once.
+    """
+    when = F.struct(*[col(c) for c in order_by])
+    grouped = stream.withWatermark(time, late).groupBy(F.session_window(col(time), idle).alias("_session"), col(key))
+    return grouped.agg(
+        F.min(col(time)).alias("first"),
+        F.max(col(time)).alias("last"),
+        F.max(when).alias("_at"),
+        *[F.max_by(col(f), F.when(col(f).isNotNull(), when)).alias(f) for f in fields],
+    ).drop("_session")
+
+
+def latest_states(closed: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """One row per key of a table of closed states: the last value of each field that is not NULL.
+
+    A key may have any number of states; they are folded before the shuffle.
+    """
+    at = F.col("_at")
+    return closed.groupBy(col(key)).agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), *[F.max_by(col(f), F.when(col(f).isNotNull(), at)).alias(f) for f in fields]
+    )
+
+
 def run_available(result: DataFrame, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """Process what has arrived, write it to the shared folder and return that table.
 

@@ -254,6 +254,35 @@ def test_stream_dq_unique_with_late_rows(spark, tmp_path, rows):
     assert got == [("00", 4, 2, 1, False), ("01", 4, 2, 1, False)]
 
 
+def test_states_of_silent_keys_end(spark, tmp_path, rows):
+    """Ten batches of new keys, one of which comes back: state rows stop growing, and the table holds every key."""
+    path, schema = str(tmp_path / "keys"), "k string, at timestamp, n int, note string"
+    data = []
+    for hour in range(10):
+        batch = [(f"k{hour}-{i}", f"2024-01-01 {hour:02}:{minute:02}:00", minute, "x" if minute == 10 else None) for i in range(20) for minute in (10, 20)]
+        data.append(batch + ([("back", f"2024-01-01 {hour:02}:30:00", hour, "seen" if hour == 0 else None)] if hour in (0, 1, 6) else []))
+    data.append([("end", "2024-01-03 00:00:00", 0, None)])
+    for batch in data:
+        part = spark.createDataFrame(batch, "k string, at string, n int, note string").withColumn("at", F.col("at").cast("timestamp"))
+        part.coalesce(1).write.mode("append").parquet(path)
+    stream = flows.read_stream(spark, path, T._parse_datatype_string(schema), maxFilesPerTrigger="1")
+    closed = flows.stream_closed_states(stream, "k", ["at"], ["n", "note"], "at", "90 minutes", "0 seconds")
+    target = str(tmp_path / "closed")
+    run = closed.writeStream.option("checkpointLocation", str(tmp_path / "progress")).format("parquet").option("path", target)
+    query = run.trigger(availableNow=True).start()
+    query.awaitTermination()
+    sizes = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    assert len(sizes) >= 10 and max(sizes) <= 3 * 21 and sizes[9] <= max(sizes[:5])
+
+    states = spark.read.parquet(target)
+    assert states.count() == 202 and states.filter("k = 'back'").count() == 2
+    events = [row for batch in data for row in batch if row[0] != "end"]
+    expected = {}
+    for k, at, n, note in sorted(events, key=lambda e: e[1]):
+        expected[k] = (k, n, note or expected.get(k, (None, None, None))[2])
+    assert rows(flows.latest_states(states, "k", ["n", "note"]).select("k", "n", "note")) == sorted(expected.values(), key=repr)
+
+
 def test_shared_folder_is_the_named_one(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
 

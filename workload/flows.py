@@ -71,3 +71,35 @@ def _(spark, folder):
     events = stream(spark, folder).withColumn("high", F.when(F.col("value") > 100, F.col("value")))
     changes = flows.run_available(flows.stream_latest_state(events, "user_id", ["ts", "event_id"], ["event_type", "high"]), "update")
     return flows.latest_rows(changes, "user_id").drop("_at")
+
+
+SESSIONS = """marked AS (SELECT *, CASE WHEN ts - LAG(ts) OVER w < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS anew FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+sessions AS (SELECT *, SUM(anew) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM marked),
+closed AS (
+  SELECT user_id, MIN(ts) AS first, MAX(ts) AS last, arg_max(event_type, (ts, event_id)) AS event_type,
+         arg_max(value, (ts, event_id)) FILTER (WHERE value > 100) AS high, MAX(struct_pack(ts := ts, event_id := event_id)) AS placed
+  FROM sessions GROUP BY user_id, session HAVING MAX(ts) + INTERVAL 12 HOUR <= (SELECT MAX(ts) - INTERVAL 1 HOUR FROM events))"""
+
+
+def closed_states(spark, folder):
+    """Users fall silent after half a day."""
+    events = stream(spark, folder).withColumn("high", F.when(F.col("value") > 100, F.col("value"))).withColumn("ts", F.col("ts").cast("timestamp"))
+    return flows.run_available(flows.stream_closed_states(events, "user_id", ["ts", "event_id"], ["event_type", "high"], "ts", "12 hours", "1 hour"))
+
+
+def without_zone(df):
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first", "last")})
+
+
+@query("stream_closed_states", f"WITH {SESSIONS} SELECT user_id, first, last, event_type, high FROM closed")
+def _(spark, folder):
+    return without_zone(closed_states(spark, folder).drop("_at"))
+
+
+@query(
+    "stream_latest_of_closed",
+    f"""WITH {SESSIONS} SELECT user_id, MIN(first) AS first, MAX(last) AS last, arg_max(event_type, placed) AS event_type,
+        arg_max(high, placed) FILTER (WHERE high IS NOT NULL) AS high FROM closed GROUP BY 1""",
+)
+def _(spark, folder):
+    return without_zone(flows.latest_states(closed_states(spark, folder), "user_id", ["event_type", "high"]))
