@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import all_of, any_of, col, dtype_of, require
+from ..functions.columns import all_of, any_of, col, dtype_of, present, require
 from ..functions.ordering import row_numbers
 from ..session import settle
 from .filters import union_all
@@ -181,6 +181,79 @@ def diff_tables(primary: DataFrame, shadow: DataFrame, spec: DiffSpec) -> DataFr
     )
 
 
+#: Buckets of keys whose digests are compared first; those that differ are cut into as many again.
+BUCKETS = 1024
+_HASH, _BUCKET = "_key_hash", "_bucket"
+
+
+@dataclass(frozen=True)
+class ChangedDiff:
+    """The diff of the buckets of keys that differ, and what is known of the others.
+
+    ``equal_rows`` rows on each side lie in buckets that are alike; ``filled`` names the numeric columns that have a
+    value in one of them.
+    """
+
+    diff: DataFrame
+    equal_rows: int
+    filled: tuple[str, ...]
+
+
+def _digests(df: DataFrame, keys: Sequence[str], values: Sequence[str], numbers: Sequence[str], buckets: int, side: str) -> DataFrame:
+    """Per bucket the number of rows, and sums of hashes of them; folded before the shuffle."""
+    first = F.xxhash64(*[col(c) for c in [*keys, *values]])
+    second = F.xxhash64(F.lit(1), *[col(c) for c in [*values, *keys]])
+    small = F.lit(2**31).cast("long")
+    return df.groupBy(F.pmod(_HASH, F.lit(buckets).cast("long")).alias(_BUCKET)).agg(
+        F.count(F.lit(1)).alias(f"_{side}rows"),
+        # Equal rows cancel out in the exclusive or, but not in the sums; these cannot overflow.
+        F.bit_xor(first).alias(f"_{side}xor"),
+        F.sum(F.pmod(first, small)).alias(f"_{side}one"),
+        F.sum(F.pmod(second, small)).alias(f"_{side}two"),
+        *[F.count(present(df, c)).alias(f"_{side}n{i}") for i, c in enumerate(numbers)],
+    )
+
+
+def _compared(p: DataFrame, s: DataFrame, keys: Sequence[str], values: Sequence[str], numbers: Sequence[str], buckets: int) -> DataFrame:
+    """``(_bucket, _same, rows, n0, …)`` for the buckets of both tables."""
+    a, b = _digests(p, keys, values, numbers, buckets, "p"), _digests(s, keys, values, numbers, buckets, "s")
+    same = all_of(F.col(f"_p{c}") == F.col(f"_s{c}") for c in ("rows", "xor", "one", "two"))
+    counts = [F.col("_prows").alias("rows"), *[F.col(f"_pn{i}").alias(f"n{i}") for i in range(len(numbers))]]
+    return settle(a.join(b, on=_BUCKET, how="full_outer").select(_BUCKET, F.coalesce(same, F.lit(False)).alias("_same"), *counts), "digests")
+
+
+def diff_changed(primary: DataFrame, shadow: DataFrame, spec: DiffSpec, buckets: int = BUCKETS) -> ChangedDiff:
+    """:func:`diff_tables` for tables that are nearly alike: only buckets of keys that differ are joined.
+
+    Keys are dealt to buckets by hash. Both sides are read once to compare the buckets' digests, which takes a
+    row per bucket and task in the shuffle. Buckets that differ are cut finer and compared again; what is left goes to
+    the join. Rows that differ in the type of a column count as different, and so do 0.0 and -0.0: the join
+    then compares them. :func:`diff_summary` takes the result as it is and gives what it gives for a whole diff.
+    """
+    keys = list(spec.key_columns)
+    require(primary, keys, "diff_changed")
+    require(shadow, keys, "diff_changed")
+    values, numbers = compared_columns(primary, shadow, spec), numeric_columns(primary, shadow, spec)
+    hashed = F.xxhash64(*[col(k) for k in keys])
+    p, s = (df.select(*[col(c) for c in [*keys, *values]]) for df in (primary, shadow))
+    if any(isinstance(dtype_of(df, c), (T.MapType, T.VariantType)) for df in (p, s) for c in [*keys, *values]):
+        return ChangedDiff(diff_tables(p, s, spec), 0, ())  # such values have no hash
+    p, s = p.withColumn(_HASH, hashed), s.withColumn(_HASH, hashed)
+    equal, filled = 0, set()
+    for count in (buckets, buckets * buckets):
+        compared = _compared(p, s, keys, values, numbers, count)
+        alike = compared.filter("_same").agg(F.sum("rows"), *[F.sum(f"n{i}") for i in range(len(numbers))]).first()
+        equal += alike[0] or 0
+        filled |= {c for c, n in zip(numbers, alike[1:]) if n}
+        differing = compared.filter("NOT _same").select(_BUCKET)
+        # At most a number per bucket; Spark broadcasts them where their size allows.
+        p, s = (
+            df.withColumn(_BUCKET, F.pmod(_HASH, F.lit(count).cast("long"))).join(differing, on=_BUCKET, how="left_semi").drop(_BUCKET)
+            for df in (p, s)
+        )
+    return ChangedDiff(diff_tables(p.drop(_HASH), s.drop(_HASH), spec), equal, tuple(c for c in numbers if c in filled))
+
+
 def _common_numbers(table: DataFrame, column: str) -> tuple[Column, Column]:
     """Both values in one numeric type, NaN as missing: decimals and whole
     numbers keep their digits, and anything next to a fraction becomes a double."""
@@ -214,25 +287,31 @@ def _diffed_numbers(diff: DataFrame) -> list[str]:
     return [c[2:] for c in diff.columns if c.startswith("p_") and {f"_abs_{c[2:]}", f"s_{c[2:]}"} <= names]
 
 
-def diff_summary(diff: DataFrame, spec: DiffSpec, node_id: str = "node") -> DataFrame:
+def diff_summary(diff: DataFrame | ChangedDiff, spec: DiffSpec, node_id: str = "node") -> DataFrame:
     """One row of counts, largest differences and a status, from one aggregate.
 
+    Takes the result of :func:`diff_tables`, or that of :func:`diff_changed`.
+
     ``pass``: no difference. ``warn``: differences, all within tolerance.
     ``breach``: one-sided rows, a breached column or a breached row count.
     """
+    equal, filled = F.lit(0).cast("long"), ()
+    if isinstance(diff, ChangedDiff):
+        equal, filled, diff = F.lit(diff.equal_rows).cast("long"), diff.filled, diff.diff
     numbers = _diffed_numbers(diff)
     status, matched = F.col("_diff_status"), F.col("_match_key") == 1
     parts = [
-        F.count_if(status != "shadow_only").alias("total_primary"),
-        F.count_if(status != "primary_only").alias("total_shadow"),
-        F.count_if(matched).alias("matched"),
+        (F.count_if(status != "shadow_only") + equal).alias("total_primary"),
+        (F.count_if(status != "primary_only") + equal).alias("total_shadow"),
+        (F.count_if(matched) + equal).alias("matched"),
         F.count_if(status == "primary_only").alias("primary_only"),
         F.count_if(status == "shadow_only").alias("shadow_only"),
         F.count_if(status == "breach").alias("breach_count"),
-        F.count_if(status == "within_tolerance").alias("within_tolerance_count"),
+        (F.count_if(status == "within_tolerance") + equal).alias("within_tolerance_count"),
     ]
     for i, c in enumerate(numbers):
-        parts.append(F.max(F.when(matched, col(f"_abs_{c}"))).cast("double").alias(f"max_diff_{c}"))
+        largest = F.max(F.when(matched, col(f"_abs_{c}"))).cast("double")
+        parts.append((F.coalesce(largest, F.lit(0.0)) if c in filled else largest).alias(f"max_diff_{c}"))
         parts.append(F.count_if(matched & _over(c, spec.tolerance(c))).alias(f"_over{i}"))
     text = _text_difference(diff, numbers) if spec.compare_text else F.lit(False)
     parts.append(F.count_if(matched & text).alias("_text"))

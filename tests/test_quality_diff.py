@@ -250,3 +250,43 @@ def test_sample(spark):
     p, s = tables(spark, [(i, 0.0) for i in range(20)], [(i, float(i)) for i in range(20)])
     out = diff.diff_tables(p, s, DiffSpec(["k"], default_tolerance=Tolerance(absolute=10)))
     assert [r.k for r in diff.diff_sample(out, ["k"], 3).collect()] == [11, 12, 13]
+
+
+# --- diffs of tables that are nearly alike ------------------------------------------------
+
+
+def alike(spark, n=60_000):
+    df = spark.range(n).select(F.when(F.col("id") != 5, F.col("id")).alias("k"), (F.col("id") % 97 * 1.0).alias("v"), F.lit(None).cast("int").alias("none"), F.col("id").cast("string").alias("t"))
+    changed = df.withColumn("v", F.when(F.col("k") == 41_000, F.col("v") + 3).otherwise(F.col("v")))
+    return df, changed
+
+
+def test_one_changed_key_leaves_all_other_buckets_out(spark):
+    """Of 60,000 rows only those of one fine bucket meet in the join, and the summary is that of the whole."""
+    spec = DiffSpec(["k"], default_tolerance=Tolerance(absolute=1.0))
+    df, changed = alike(spark)
+    part = diff.diff_changed(df, changed, spec)
+    assert part.diff.count() <= 3 and part.equal_rows >= 59_997 and part.filled == ("v",)
+    assert [(r.k, r._abs_v, r._diff_status) for r in part.diff.filter("_abs_v > 0").collect()] == [(41_000, 3.0, "breach")]
+    assert diff.diff_summary(part, spec).collect() == diff.diff_summary(diff.diff_tables(df, changed, spec), spec).collect()
+
+
+@pytest.mark.parametrize("kind", ["same", "missing key", "extra", "within", "copies", "swapped copies", "all", "empty"])
+def test_summary_of_a_changed_diff_is_that_of_the_whole(spark, kind):
+    spec = DiffSpec(["k"], default_tolerance=Tolerance(absolute=1.0), compare_text=True)
+    left, _ = alike(spark, 400)
+    right = {
+        "same": lambda: left,
+        "missing key": lambda: left.withColumn("v", F.when(F.col("k").isNull(), 1e6).otherwise(F.col("v"))),
+        "extra": lambda: left.filter("k > 20").unionByName(left.filter("k = 30").withColumn("k", F.lit(9_999).cast("long"))),
+        "within": lambda: left.withColumn("v", F.when(F.col("k") == 77, F.col("v") + 0.5).otherwise(F.col("v"))),
+        "copies": lambda: left.unionByName(left.filter("k < 9")),
+        "swapped copies": lambda: left.unionByName(left.filter("k = 3")).unionByName(left.filter("k = 3")),
+        "all": lambda: left.withColumn("v", F.col("v") + 2),
+        "empty": lambda: left.limit(0),
+    }[kind]()
+    if kind == "swapped copies":  # twice one row against twice another: equal in number, and in exclusive ors
+        left = left.unionByName(left.filter("k = 3").withColumn("v", F.lit(-50.0))).unionByName(left.filter("k = 3").withColumn("v", F.lit(-50.0)))
+    part = diff.diff_changed(left, right, spec, buckets=16)
+    assert diff.diff_summary(part, spec).collect() == diff.diff_summary(diff.diff_tables(left, right, spec), spec).collect()
+    assert part.equal_rows == 400 if kind == "same" else part.equal_rows < 400

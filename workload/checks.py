@@ -230,7 +230,11 @@ def _(spark, folder):
     return shown(diffed(spark, folder))
 
 
-SUMMARY = """SELECT 'orders' AS node_id, 'breach' AS status, COUNT(*) FILTER (WHERE in_p) AS total_primary, COUNT(*) FILTER (WHERE in_s) AS total_shadow,
+STATUS = """CASE WHEN COUNT(*) FILTER (WHERE status <> 'within_tolerance') > 0
+    OR ABS(COUNT(*) FILTER (WHERE in_p) - COUNT(*) FILTER (WHERE in_s)) > 0.05 * COUNT(*) FILTER (WHERE in_p) THEN 'breach'
+  WHEN MAX(GREATEST(abs_custkey, abs_price)) FILTER (WHERE in_p AND in_s) > 0 THEN 'warn' ELSE 'pass' END"""
+
+SUMMARY = f"""SELECT 'orders' AS node_id, {STATUS} AS status, COUNT(*) FILTER (WHERE in_p) AS total_primary, COUNT(*) FILTER (WHERE in_s) AS total_shadow,
   COUNT(*) FILTER (WHERE in_p AND in_s) AS matched, COUNT(*) FILTER (WHERE status = 'primary_only') AS primary_only,
   COUNT(*) FILTER (WHERE status = 'shadow_only') AS shadow_only, COUNT(*) FILTER (WHERE status = 'breach') AS breach_count,
   COUNT(*) FILTER (WHERE status = 'within_tolerance') AS within_tolerance_count,
@@ -243,9 +247,25 @@ def _(spark, folder):
     return diff.diff_summary(diffed(spark, folder), SPEC, "orders")
 
 
+@query(
+    "diff_changed",
+    f"""WITH {DIFF} SELECT {DIFF_COLUMNS} FROM diff WHERE NOT COALESCE(in_p AND in_s AND abs_price = 0 AND abs_custkey = 0, FALSE)""",
+)
+def _(spark, folder):
+    """The rows that differ at all, found through digests of buckets."""
+    changed = diff.diff_changed(primary(spark, folder), shadow(spark, folder), SPEC).diff
+    return shown(changed.filter("NOT coalesce(_match_key = 1 AND _abs_price = 0 AND _abs_o_custkey = 0, false)"))
+
+
+@query("diff_changed_summary", f"WITH {DIFF} {SUMMARY} FROM diff")
+def _(spark, folder):
+    return diff.diff_summary(diff.diff_changed(primary(spark, folder), shadow(spark, folder), SPEC), SPEC, "orders")
+
+
 @query(
     "diff_pct_rows_allowed",
-    """SELECT 'warn' AS status, COUNT(*) FILTER (WHERE event_id % 20 = 0) AS breach_count, COUNT(*) AS matched FROM events""",
+    """SELECT CASE WHEN COUNT(*) FILTER (WHERE event_id % 20 = 0) > 0.06 * COUNT(*) THEN 'breach' WHEN COUNT(*) FILTER (WHERE event_id % 20 = 0) > 0 THEN 'warn' ELSE 'pass' END AS status,
+              COUNT(*) FILTER (WHERE event_id % 20 = 0) AS breach_count, COUNT(*) AS matched FROM events""",
 )
 def _(spark, folder):
     events = table(spark, folder, "events").select("event_id", F.col("value").cast("decimal(12,2)").alias("value"))

@@ -330,10 +330,11 @@ def _(spark, folder):
     return filters.union_all(customers, suppliers)
 
 
-@query("set_difference", "SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("set_difference", "SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
 def _(spark, folder):
     customers = table(spark, folder, "customer").select(F.col("c_custkey").alias("id"))
-    return filters.set_difference(customers, table(spark, folder, "orders").select(F.col("o_custkey").alias("id")))
+    pending = table(spark, folder, "orders").filter("o_orderstatus = 'P'")
+    return filters.set_difference(customers, pending.select(F.col("o_custkey").alias("id")))
 
 
 @query(
