@@ -16,13 +16,13 @@ broadcast, the others meet their documents in a join.
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,7 +38,9 @@ CHUNK = 4 << 20
 #: Exact counts broadcast at most, of tokens of at most ``HEAD_BYTES`` bytes.
 HEAD, HEAD_BYTES = 1 << 17, 64
 #: N-grams counted before they are passed on, and bytes of text handled at once.
-BUFFER, BLOCK = 1 << 22, 1 << 20
+BUFFER, BLOCK = 1 << 21, 1 << 19
+#: Rows of an Arrow batch.
+ROWS = 500
 #: Segments read one after the other before rows are written down.
 CHAIN = 4
 LEVELS = 96
@@ -180,6 +182,12 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, pa.LargeBinaryArr
         at = to
 
 
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each value among the different ones, the different ones), by hash."""
+    found = pa.array(values).dictionary_encode()
+    return found.indices.to_numpy(), found.dictionary.to_numpy()
+
+
 def _before(values: np.ndarray, sizes: np.ndarray, start) -> np.ndarray:
     """The value of the token before each token of its text; ``start`` for the first."""
     moved = np.concatenate([values[:1], values[:-1]])
@@ -229,7 +237,7 @@ def _built(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
     now, hashes, counts = None, [], []
 
     def chunk() -> pa.RecordBatch:
-        place, every = pd.factorize(np.concatenate(hashes))
+        place, every = _numbered(np.concatenate(hashes))
         total = np.bincount(place, weights=np.concatenate(counts)).astype(np.int64)
         kept = total >= model.rarest
         every, level = every[kept], model.level(total[kept])
@@ -286,6 +294,13 @@ class _Segment:
             self.bits = np.frombuffer(bits.buffers()[2], np.uint8)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.uint64)
 
+    def __getstate__(self) -> dict:
+        return vars(self) | {"bits": self.bits.tobytes()}
+
+    def __setstate__(self, state: dict) -> None:
+        """Bytes are read into their place; an array would be held twice for a while."""
+        vars(self).update(state | {"bits": np.frombuffer(state["bits"], np.uint8)})
+
     def levels(self, hashes: np.ndarray, model: Model) -> np.ndarray:
         """Levels of the n-grams that belong to this segment; 0 for others."""
         chunk = (hashes % np.uint64(self.chunks)).astype(np.int64)
@@ -328,7 +343,7 @@ class _Known:
         """Per token its place among the frequent ones, and whether it is there."""
         if not len(self.one):
             return np.zeros(len(words.one), np.int64), np.zeros(len(words.one), bool)
-        number, every = pd.factorize(words.one)
+        number, every = _numbered(words.one)
         place = np.minimum(np.searchsorted(self.one, every), len(self.one) - 1)[number]
         return place, (self.one[place] == words.one) & (self.two[place] == words.two)
 
@@ -364,12 +379,12 @@ def _pass(
             at, head = known.find(words)
             for n, gram in enumerate(_ngrams(words, model.order)):
                 if n:
-                    place, every = pd.factorize(gram)
+                    place, every = _numbered(gram)
                     levels.append(segment.levels(every, model)[place])
                 else:
                     levels.append(np.zeros(len(gram), np.uint8))
                     levels[0][head] = frequent[at[head]]
-                    place, every = pd.factorize(gram[~head])
+                    place, every = _numbered(gram[~head])
                     levels[0][~head] = segment.levels(every, model)[place]
             row = [batch.column(c).slice(lo, hi - lo) for c in ("uid", "doc_id")]
             before = batch.column("levels").slice(lo, hi - lo)
@@ -460,6 +475,18 @@ def _head(counts: DataFrame, size: int) -> tuple[Column, tuple[np.ndarray, np.nd
     return is_head, (words.one[at][order], words.two[at][order], frequent.column("n").to_numpy()[order])
 
 
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Fewer rows in an Arrow batch while the operator's own jobs run: texts may be long, and memory is bounded by a batch."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, ROWS if int(before) <= 0 else min(int(before), ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def lm_scores(
     docs: DataFrame,
     is_training: Column | None = None,
@@ -482,8 +509,9 @@ def lm_scores(
     teaches = F.lit(True) if is_training is None else is_training
     rows = picked(docs, doc_id=id_column, text=text_column)
     training = rows.filter(teaches).select("text")
-    bits, chunks = build_filter(training, model, chunk)
-    counts = settle(token_counts(training), "tokens")
+    with _small_batches(spark):
+        bits, chunks = build_filter(training, model, chunk)
+        counts = settle(token_counts(training), "tokens")
     texts = F.sum(F.when(F.octet_length("token") == 0, F.col("n")))  # each text has one end
     totals = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), texts.alias("texts")).first()
     is_head, frequent = _head(counts, head)
@@ -501,20 +529,21 @@ def lm_scores(
     shared = spark.sparkContext.broadcast(known)
     given = [shared]
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    for number in range(segments):
-        if number % CHAIN == 0:  # row ids must not change any more, and few Python workers run at once
-            read = settle(read, "levels") if number else read
-        mine = bits.filter(F.col("chunk") % segments == number).select("chunk", "bits").toArrow()
-        part = spark.sparkContext.broadcast(_Segment(mine, number, segments, chunks))
-        given.append(part)
-        last = number == segments - 1
-        columns = (
-            "n_tokens long, n_known long, base_score double, score double, tail array<binary>" if last else "text string, levels binary"
-        )
-        read = read.mapInArrow(
-            lambda b, part=part, last=last: _pass(b, lambda: part.value, lambda: shared.value, model, last), f"uid long, doc_id {id_type}, {columns}"
-        )
-    scored = settle(read, "scores")
+    with _small_batches(spark):
+        for number in range(segments):
+            if number % CHAIN == 0:  # row ids must not change any more, and few Python workers run at once
+                read = settle(read, "levels") if number else read
+            mine = bits.filter(F.col("chunk") % segments == number).select("chunk", "bits").toArrow()
+            part = spark.sparkContext.broadcast(_Segment(mine, number, segments, chunks))
+            given.append(part)
+            last = number == segments - 1
+            columns = (
+                "n_tokens long, n_known long, base_score double, score double, tail array<binary>" if last else "text string, levels binary"
+            )
+            read = read.mapInArrow(
+                lambda b, part=part, last=last: _pass(b, lambda: part.value, lambda: shared.value, model, last), f"uid long, doc_id {id_type}, {columns}"
+            )
+        scored = settle(read, "scores")
     for broadcast in given:
         broadcast.destroy()
 
