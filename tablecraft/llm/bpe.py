@@ -42,6 +42,26 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class _Written(dict):
+    """Per word: how many ids it has, these as text, and the bytes they decode to. Worked out once per word."""
+
+    def __init__(self, codec: Codec) -> None:
+        super().__init__()
+        self.codec = codec
+
+    def of(self, ids: tuple[int, ...]) -> tuple[int, str, bytes]:
+        codec = self.codec
+        return len(ids), ",".join(map(codec.numbers.__getitem__, ids)), b"".join(map(codec.strings.__getitem__, ids))
+
+    def __missing__(self, word: str) -> tuple[int, str, bytes]:
+        found = self.of(self.codec.merge(word.encode()))
+        if len(word) <= 64:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = found
+        return found
+
+
 class Codec:
     """Encoder and decoder of one vocabulary."""
 
@@ -74,6 +94,7 @@ class Codec:
         self.cut_added = regex.compile("|".join(map(regex.escape, longest_first))) if added else None
         self.cut = regex.compile(PIECES)
         self.known: dict[str, tuple[int, ...]] = {}
+        self.written = _Written(self)
 
     def merge(self, word: bytes) -> tuple[int, ...]:
         """Ids of one word. Symbols are a doubly linked list; the queue gives the lowest rank, then the
@@ -127,6 +148,16 @@ class Codec:
         ids.extend(itertools.chain.from_iterable(self._words(text[at:] if at else text)))
         return ids
 
+    def round_trip(self, text: str) -> tuple[int, str, bytes]:
+        """Number of ids of a whole text, the ids as text joined by commas, and the bytes they decode to."""
+        words, at = [], 0
+        for found in self.cut_added.finditer(text) if self.cut_added else ():
+            words += map(self.written.__getitem__, self.cut.findall(text[at : found.start()]))
+            words.append(self.written.of(self.added[found.group()]))
+            at = found.end()
+        words += map(self.written.__getitem__, self.cut.findall(text[at:] if at else text))
+        return sum([w[0] for w in words]), ",".join([w[1] for w in words]), b"".join([w[2] for w in words])
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
 
@@ -155,9 +186,9 @@ DIGEST = T.StructType(
 def _digest(texts: pa.Array, file) -> pa.Array:
     codec, rows = _codec(file), []
     for text in texts_of(texts):
-        ids = codec.encode(text)
-        written = ",".join(map(codec.numbers.__getitem__, ids))
-        rows.append((len(ids), hashlib.sha256(written.encode()).hexdigest(), hashlib.sha256(codec.decode(ids).encode()).hexdigest()))
+        count, written, decoded = codec.round_trip(text)
+        decoded = decoded.decode("utf-8", "replace").encode()
+        rows.append((count, hashlib.sha256(written.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
     columns = list(zip(*rows)) or [(), (), ()]
     kinds = (pa.int64(), pa.string(), pa.string())
     return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], DIGEST.fieldNames())
