@@ -165,9 +165,13 @@ def test_hot_keys_of_a_full_outer_join_are_salted(spark):
         salted = joins.full_outer_null_safe(left, right, ["k"], heavy=25)
         assert plain.count() == salted.count() and plain.exceptAll(salted).isEmpty() and salted.exceptAll(plain).isEmpty()
     spread = {"spark__sql__adaptive__coalescePartitions__enabled": "false", "spark__sql__shuffle__partitions": "40"}
-    with settings(spark, **spread):
-        salted = joins.full_outer_null_safe(a, b, ["k"], heavy=25)
-        sizes = [r["count"] for r in salted.groupBy(F.spark_partition_id()).count().collect()]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        with settings(spark, **spread):
+            salted = joins.full_outer_null_safe(a, b, ["k"], heavy=25)
+            sizes = [r["count"] for r in salted.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     total = 201 * 30 + 200 * 30 + 199 + 30  # pairs of 7, pairs of missing keys, and keys on one side
     assert sum(sizes) == total and max(sizes) < 0.2 * sum(sizes)
 
