@@ -224,8 +224,8 @@ def sector_summary(
     direction: str = "direction",
     unit: float = 1e9,
 ) -> DataFrame:
-    """Per sector and tier: assets, mean change, cap, volume, and how many rose or fell."""
-    return df.groupBy(col(sector), col(tier)).agg(
+    """Per sector and tier: assets, mean change, cap, volume, and how many rose or fell; the largest cap first."""
+    sums = df.groupBy(col(sector), col(tier)).agg(
         F.count(F.lit(1)).alias("asset_count"),
         F.round(F.avg(col(change)), 2).alias("avg_change_24h_pct"),
         F.round(F.sum(col(cap)) / unit, 1).alias("total_market_cap_bn"),
@@ -233,6 +233,7 @@ def sector_summary(
         F.count_if(col(direction) == "gain").alias("gainers"),
         F.count_if(col(direction) == "loss").alias("losers"),
     )
+    return sums.orderBy(F.col("total_market_cap_bn").desc_nulls_last(), col(sector), col(tier))
 
 
 def dq_sector_summary(

@@ -20,11 +20,14 @@ def compute_pnl(
     price_col: str = "price_usd",
     quantity_col: str = "quantity",
     cost_basis_col: str = "cost_basis_usd",
+    match_missing: bool = True,
 ) -> DataFrame:
     """Positions with the price columns of their symbol, and value, cost, profit.
 
     Symbols match without regard to case, and a missing symbol matches a
-    missing one. A column of both sides gets the suffix ``_x`` or ``_y``.
+    missing one, each with each; with ``match_missing=False`` it matches
+    nothing, and positions without a symbol stay one row each. A column of
+    both sides gets the suffix ``_x`` or ``_y``.
     """
     require(positions, [symbol_col], "compute_pnl")
     require(prices, [symbol_col], "compute_pnl")
@@ -35,7 +38,8 @@ def compute_pnl(
         .withColumn("_right", F.upper(col(symbol_col)))
         .drop(symbol_col)
     )
-    merged = left.join(right, F.col("_left").eqNullSafe(F.col("_right")), "left").drop("_left", "_right")
+    same = F.col("_left").eqNullSafe(F.col("_right")) if match_missing else F.col("_left") == F.col("_right")
+    merged = left.join(right, same, "left").drop("_left", "_right")
     quantity = to_number(merged, quantity_col)
     return merged.withColumns(
         {

@@ -22,6 +22,9 @@ BOOLEAN_NAMES = ("bool", "boolean")
 SECRET_WORDS = ("password", "passwd", "pwd", "secret", "token", "key", "dsn", "credential", "api_key")
 MASK = "***"
 
+#: Entries of a lookup dict that become a literal map in the plan; a longer dict is joined as a frame.
+LITERALS = 1_000
+
 
 def rename_and_select(
     df: DataFrame, select: Sequence[str] = (), rename: Mapping[str, str] | None = None
@@ -108,9 +111,8 @@ def map_values(df: DataFrame, column: str, mapping: Mapping[Any, Any] | DataFram
     """Replace values by lookup; a value without an entry stays.
 
     Keys are read as the column's type; one that does not fit it matches nothing.
-    ``mapping`` is a dict, which becomes a literal map in the plan, or for
-    large lookups a frame whose first two columns are key and value; its keys
-    must be unique.
+    ``mapping`` is a dict, or for large lookups a frame whose first two columns
+    are key and value. Dicts and repeated keys are read as in ``map_multi_key``.
     """
     require(df, [column], "map_values")
     if isinstance(mapping, DataFrame):
@@ -122,11 +124,18 @@ def map_values(df: DataFrame, column: str, mapping: Mapping[Any, Any] | DataFram
     keyed.pop(None, None)
     if not keyed:
         return df
+    if len(keyed) > LITERALS:
+        found = map_multi_key(df, [column], {(key,): value for key, value in keyed.items()}, "_found")
+        return _replaced(found, column, F.col("_found"), mapping).drop("_found")
     entries = F.create_map(*[x for key, value in keyed.items() for x in (F.lit(key).cast(dtype), F.lit(value))])
-    looked_up = F.try_element_at(entries, col(column))
-    values_fit = all(isinstance(v, str) for v in mapping.values()) == isinstance(dtype, T.StringType)
-    kept = col(column) if values_fit else col(column).cast("string")
-    return df.withColumn(column, F.coalesce(looked_up if values_fit else looked_up.cast("string"), kept))
+    return _replaced(df, column, F.try_element_at(entries, col(column)), mapping)
+
+
+def _replaced(df: DataFrame, column: str, found: Column, mapping: Mapping[Any, Any]) -> DataFrame:
+    """``column`` as ``found``, or as it was; as text if the values are no values of its type."""
+    fits = all(isinstance(v, str) for v in mapping.values()) == isinstance(dtype_of(df, column), T.StringType)
+    kept = col(column) if fits else col(column).cast("string")
+    return df.withColumn(column, F.coalesce(found if fits else found.cast("string"), kept))
 
 
 def _as_key(key: Any, dtype: T.DataType) -> Any:
@@ -160,14 +169,21 @@ def map_multi_key(
 ) -> DataFrame:
     """Look up ``output`` by several key columns.
 
-    ``lookup`` is a dict from key tuples to values, which becomes a literal map
-    in the plan, or for large lookups a frame with the key columns in the order
-    of ``keys`` and then the value; its keys must be unique. A row without an
-    entry gets ``default``, or keeps its old ``output`` when there is one and no
-    default is given. The planner broadcasts a frame when its size allows.
+    ``lookup`` is a dict from key tuples to values, or for large lookups a frame
+    with the key columns in the order of ``keys`` and then the value. A dict of
+    up to ``LITERALS`` entries becomes a literal map in the plan, a longer one a
+    frame. Of a frame's repeated keys the largest value counts, so that no row
+    of ``df`` is multiplied. A row without an entry gets ``default``, or keeps
+    its old ``output`` when there is one and no default is given. The planner
+    broadcasts a frame when its size allows.
     """
     require(df, keys, "map_multi_key")
     fallback = col(output) if default is None and output in df.columns else F.lit(default)
+    if not isinstance(lookup, DataFrame) and len(lookup) > LITERALS:
+        names = [f"_k{i}" for i in range(len(keys))]
+        known = [(*key, value) for key, value in lookup.items() if None not in key]
+        given = df.sparkSession.createDataFrame(known, [*names, "_value"])
+        lookup = given.select(*[F.col(n).cast(dtype_of(df, k)).alias(n) for n, k in zip(names, keys)], "_value")
     if not isinstance(lookup, DataFrame):
         names = [f"k{i}" for i in range(len(keys))]
 
@@ -179,7 +195,9 @@ def map_multi_key(
         known = all_of(col(k).isNotNull() for k in keys)
         found = F.when(known, F.try_element_at(F.create_map(*pairs), entry([col(k) for k in keys])))
         return df.withColumn(output, F.coalesce(found, fallback) if pairs else fallback)
-    named = lookup.toDF(*[f"_k{i}" for i in range(len(keys))], "_mapped")
+    parts = [f"_k{i}" for i in range(len(keys))]
+    # The join takes over the partitioning of this aggregate where it is not a broadcast.
+    named = lookup.toDF(*parts, "_mapped").groupBy(*parts).agg(F.max("_mapped").alias("_mapped"))
     joined = df.join(
         named.withColumn("_hit", F.lit(True)), [col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)], "left"
     )

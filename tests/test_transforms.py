@@ -221,3 +221,35 @@ def test_map_multi_key(spark, rows):
         assert rows(kept) == sorted([("a", 1, "hit"), ("a", 2, "old"), (None, 1, "old")], key=repr)
         given = projection.map_multi_key(df, ["k", "n"], found, "new", "none")
         assert rows(given.select("n", "new")) == [(1, "hit"), (1, "none"), (2, "none")]
+
+
+def test_repeated_lookup_keys_multiply_no_row(spark, rows):
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "k string, n long")
+    table = spark.createDataFrame([("a", 1, "x"), ("a", 1, "y"), ("a", 1, None), ("b", 2, None)], "k string, n long, v string")
+    assert rows(projection.map_multi_key(df, ["k", "n"], table, "out")) == [("a", 1, "y")] * 2 + [("b", 2, None)]
+
+
+def test_long_lookup_dicts_are_joined(spark, rows):
+    df = spark.range(-1, 3_000, 500).withColumn("s", F.when(F.col("id") > 0, F.col("id").cast("string"))).withColumn("id", F.col("id").cast("int"))
+    many = {i: f"v{i}" for i in range(2_000)}
+    few = {i: many[i] for i in (499, 999, 1499, 1999)}
+    texts, few_texts = {str(k): v for k, v in many.items()}, {str(k): v for k, v in few.items()}
+    assert "Join" in plan_text(projection.map_values(df, "s", texts)) and "Join" not in plan_text(projection.map_values(df, "s", few_texts))
+    assert rows(projection.map_values(df, "s", texts)) == rows(projection.map_values(df, "s", few_texts))
+    assert rows(projection.map_values(df, "id", many)) == rows(projection.map_values(df, "id", few))
+    assert projection.map_values(df, "id", many).columns == ["id", "s"]
+    long, short = ({(k, str(k)): v for k, v in d.items()} for d in (many, few))
+    assert rows(projection.map_multi_key(df, ["id", "s"], long, "out", "none")) == rows(projection.map_multi_key(df, ["id", "s"], short, "out", "none"))
+
+
+def plan_text(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_missing_symbols_may_match_nothing(spark):
+    held = spark.createDataFrame([(None, 1.0, 2.0)] * 30 + [("x", 2.0, 1.0)], "symbol string, quantity double, cost_basis_usd double")
+    prices = spark.createDataFrame([(None, 3.0)] * 40 + [("X", 5.0)], "symbol string, price_usd double")
+    assert joins.compute_pnl(held, prices).count() == 1_201
+    once = joins.compute_pnl(held, prices, match_missing=False)
+    assert once.count() == 31 and once.filter("symbol = 'x'").first().pnl_usd == 8.0
+    assert once.filter("symbol IS NULL AND current_value_usd IS NULL").count() == 30
