@@ -30,8 +30,8 @@ from .nndescent import (
     best,
     buckets_for,
     dot,
+    lengths,
     lifted_column,
-    most_common_length,
     neighbour_graph,
     packed_column,
     usable,
@@ -221,15 +221,23 @@ def nearest(
     """``(query_id, rank, vec_id, score)``: for each id divisible by ``every`` its ``top`` nearest rows.
 
     Nearness is the inner product, in double precision on the original vectors; ties go to the smaller id.
-    Null ids, vectors that are null, zero, of another length than most, or hold null or non-finite
-    components take no part. Rows that agree in id and vector count once. Equal vectors are one node of
-    the graph; of each the ``top + 1`` smallest ids are kept, as more cannot be among a query's nearest. A
-    query with fewer candidates gets all of them; an empty table gives an empty result; other columns
-    are ignored.
+    Null ids and vectors that are null, zero, or hold null or non-finite components take no part. Vectors
+    of different lengths have no inner product: those of each length are searched among themselves, length by
+    length. Every row is a candidate, repeated ones as often as they occur, also those that share
+    the query's id or its vector; only one row is the query's own. Rows that agree in id and vector ask once.
+    Equal vectors are one node of the graph; of each the ``top + 1`` smallest ids are kept, as more
+    cannot be among a query's nearest. A query with fewer candidates gets all of them; an empty table gives
+    an empty result; other columns are ignored.
     """
-    rows = picked(vectors, id=id_column, vector=vector_column).filter(F.col("id").isNotNull())
-    length = most_common_length(rows, "vector")
-    rows = rows.filter(usable(F.col("vector"), length)).dropDuplicates(["id", "vector"])
+    rows = picked(vectors, id=id_column, vector=vector_column).filter(F.col("id").isNotNull() & usable(F.col("vector")))
+    out = rows.filter(F.lit(False)).select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
+    for length in lengths(rows, "vector"):
+        out = out.union(_nearest(rows.filter(F.size("vector") == length), every, top, graph, beam))
+    return out
+
+
+def _nearest(rows: DataFrame, every: int, top: int, graph: Settings, beam: int) -> DataFrame:
+    """``nearest`` among usable ``rows (id, vector)`` of one length."""
     place = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
     few = rows.withColumn("_place", place).filter(F.col("_place") <= top + 1)
     distinct = few.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("members"))
@@ -239,7 +247,7 @@ def nearest(
     )
     count, longest = nodes.agg(F.count(F.lit(1)), F.max("length")).first()
     asking = settle(
-        rows.filter(F.pmod("id", F.lit(every)) == 0).join(nodes.select("vector", "node"), "vector").select(F.col("id").alias("query_id"), "node"),
+        rows.filter(F.pmod("id", F.lit(every)) == 0).distinct().join(nodes.select("vector", "node"), "vector").select(F.col("id").alias("query_id"), "node"),
         "asking",
     )
     # Vectors of like length share a scale, so that a few long ones do not take all others to one point.
@@ -277,12 +285,16 @@ def nearest(
     entries = pools.withColumn("least", least).select("q", "look", "least", F.explode(F.arrays_zip("ids", "sims")).alias("e"))
     candidates = entries.filter(F.col("e.sims") >= F.col("least")).select("q", "look", F.col("e.ids").alias("node"))
     exact = candidates.join(nodes.select("node", "vector", "members"), "node").select(
-        "q", "members", dot(F.col("vector"), F.col("look")).alias("score")
+        "q", F.col("node").alias("near"), "members", dot(F.col("vector"), F.col("look")).alias("score")
     )
-    pairs = asking.join(exact, asking.node == exact.q).select("query_id", "score", F.explode("members").alias("vec_id"))
+    # Of the query's own node its own row is left out, once. Without its id there, more rows come before it than are asked for.
+    at = F.array_position("members", F.col("query_id")).cast("int")
+    others = F.concat(F.slice("members", F.lit(1), F.greatest(at - 1, F.lit(0))), F.slice("members", at + 1, F.size("members")))
+    candidate = F.when((F.col("near") == F.col("node")) & (at > 0), others).otherwise(F.col("members"))
+    pairs = asking.join(exact, asking.node == exact.q).select("query_id", "node", "score", F.explode(candidate).alias("vec_id"))
     # A query has at most top + 1 rows per node of its pool.
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = pairs.filter(F.col("vec_id") != F.col("query_id")).withColumn("rank", F.row_number().over(order))
+    order = Window.partitionBy("query_id", "node").orderBy(F.desc("score"), "vec_id")
+    ranked = pairs.withColumn("rank", F.row_number().over(order))
     return ranked.filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 

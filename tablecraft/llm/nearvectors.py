@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..session import settle
 from .common import picked, query, table
 from .components import components
-from .nndescent import Settings, _array, _flat, dot, most_common_length, neighbour_graph, unit_column, usable
+from .nndescent import Settings, _array, _flat, dot, lengths, neighbour_graph, unit_column, usable
 
 THRESHOLD = 0.95
 GRAPH = Settings(neighbours=16, sample=8, tables=12, leaf=256)
@@ -36,6 +36,8 @@ TILE = 1_024
 CELL = 2_048
 #: Vectors that recall is measured with at most, and what it must reach.
 AUDITED, RECALL = 128, 0.97
+#: Half of the audited vectors have a neighbour whose similarity is at most so much below the threshold.
+NEAR = 0.05
 
 
 def _double(column) -> np.ndarray:
@@ -175,12 +177,16 @@ def _counted(lists: DataFrame, nodes: DataFrame, threshold: float, size: int) ->
     )
 
 
-def _audit(counted: DataFrame, nodes: DataFrame, threshold: float) -> float:
+def _audit(counted: DataFrame, lists: DataFrame, nodes: DataFrame, threshold: float) -> float | None:
     """Share of the links of a sample of vectors that were counted, or the mean share per vector if that is
-    less. One pass over all vectors."""
-    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(AUDITED).select("node", "vector", "length").collect()
+    less; None if no vector of the sample has a link. Half of the sample are vectors whose nearest neighbour
+    on the graph is about as near as the threshold or nearer, the other half any. One pass over all vectors."""
+    near = lists.filter(F.try_element_at("sims", F.lit(1)) >= threshold - NEAR).select("node")
+    looked = nodes.select("node", "vector", "length")
+    halves = [d.orderBy(F.xxhash64("node"), "node").limit(AUDITED // 2) for d in (looked.join(near, "node", "left_semi"), looked)]
+    sample = list({r.node: r for half in halves for r in half.collect()}.values())
     if not sample:
-        return 1.0
+        return None
     ids = np.array([r.node for r in sample])
     looks = np.array([r.vector for r in sample], np.float64) / np.array([[r.length] for r in sample])
 
@@ -195,26 +201,13 @@ def _audit(counted: DataFrame, nodes: DataFrame, threshold: float) -> float:
     found = {r.node: r.linked for r in counted.filter(F.col("node").isin(ids.tolist())).collect()}
     shares = [(min(n, found.get(i, 0)), n) for i, n in truth.items() if n]
     if not shares:
-        return 1.0
+        return None
     return min(sum(f for f, _ in shares) / sum(n for _, n in shares), sum(f / n for f, n in shares) / len(shares))
 
 
-def vector_components(
-    vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", threshold: float = THRESHOLD, graph: Settings = GRAPH
-) -> DataFrame:
-    """``(vec_id, n_links, component_id, kept)``: one row per vector.
-
-    Vectors link if their cosine is ``threshold`` or more, in double precision. ``n_links`` counts the other
-    vectors linked directly, ``component_id`` is the smallest id reachable, and ``kept`` says whether that is
-    the vector's own. Vectors that are null, zero, of another length than most, or hold null or
-    non-finite components link with nothing and keep themselves. Rows that agree in id and vector are
-    one vector. A vector with a null id counts as a link of others; its own ``kept`` is false unless it has no
-    component, whose id is then null too. An empty table gives an empty result; other columns are ignored.
-    """
-    rows = picked(vectors, vec_id=id_column, vector=vector_column).dropDuplicates(["vec_id", "vector"])
-    length = most_common_length(rows, "vector")
-    rows = settle(rows.withColumn("usable", usable(F.col("vector"), length)), "rows")
-    distinct = rows.filter("usable").groupBy("vector").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+def _linked(rows: DataFrame, threshold: float, graph: Settings) -> DataFrame:
+    """``(vec_id, n_links, component_id)`` of usable ``rows (vec_id, vector)`` of one length."""
+    distinct = rows.groupBy("vector").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     size = F.sqrt(dot(F.col("vector"), F.col("vector")))
     nodes = settle(distinct.withColumn("node", F.monotonically_increasing_id()).withColumn("length", size), "vectors")
     count = nodes.count()
@@ -222,19 +215,41 @@ def vector_components(
     while True:
         lists = neighbour_graph(units, count, graph)
         counted = settle(_counted(lists, nodes, threshold, graph.neighbours), "counted")
-        reached = _audit(counted, nodes, threshold)
-        if reached >= RECALL or graph.neighbours >= count:
+        reached = _audit(counted, lists, nodes, threshold)
+        if reached is None or reached >= RECALL or graph.neighbours >= count:
             break
         graph = replace(graph, neighbours=2 * graph.neighbours, sample=2 * graph.sample, tables=2 * graph.tables)
-    if reached < RECALL:
-        warnings.warn(f"recall of {reached:.3f} among the audited vectors, below {RECALL}", stacklevel=2)
+    if reached is None and count > AUDITED:
+        warnings.warn(f"recall is not measured: none of the audited among {count} vectors has a link", stacklevel=3)
+    if reached is not None and reached < RECALL:
+        warnings.warn(f"recall of {reached:.3f} among the audited vectors, below {RECALL}", stacklevel=3)
     smallest = counted.join(nodes.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("component_id"))
     known = counted.join(smallest, "component").join(nodes.select("node", "vector", "copies"), "node")
-    linked = rows.filter("usable").join(known.select("vector", "copies", "linked", "component_id"), "vector").select(
+    return rows.join(known.select("vector", "copies", "linked", "component_id"), "vector").select(
         "vec_id", (F.col("linked") + F.col("copies") - 1).alias("n_links"), "component_id"
     )
-    alone = rows.filter(~F.col("usable")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+def vector_components(
+    vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", threshold: float = THRESHOLD, graph: Settings = GRAPH
+) -> DataFrame:
+    """``(vec_id, n_links, component_id, kept)``: one row per row of ``vectors``.
+
+    Vectors link if their cosine is ``threshold`` or more, in double precision. ``n_links`` counts the other
+    rows linked directly, ``component_id`` is the smallest id reachable, and ``kept`` says whether that is
+    the vector's own. Vectors that are null, zero, or hold null or non-finite components link with nothing
+    and keep themselves. Vectors of different lengths have no cosine: those of each length are compared among
+    themselves, length by length. Repeated rows are rows of their own: they link with each other, and each is
+    kept if one is. A vector with a null id counts as a link of others; its own ``kept`` is false unless it has
+    no component, whose id is then null too. An empty table gives an empty result; other columns are ignored.
+    """
+    rows = picked(vectors, vec_id=id_column, vector=vector_column)
+    rows = settle(rows.withColumn("usable", usable(F.col("vector"))), "rows")
+    out = rows.filter(~F.col("usable")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    sound = rows.filter("usable").drop("usable")
+    for length in lengths(sound, "vector"):
+        out = out.union(_linked(sound.filter(F.size("vector") == length), threshold, graph))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 @query("op2_nearvectors")

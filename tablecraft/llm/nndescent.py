@@ -46,10 +46,10 @@ class Settings:
     kind: str = "f2"
 
 
-def usable(vector: Column, length: int) -> Column:
-    """Whether a vector takes part: of the given length, all components finite, not all zero."""
+def usable(vector: Column) -> Column:
+    """Whether a vector takes part: all components finite, not all zero."""
     finite = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    return F.coalesce((F.size(vector) == length) & finite & F.exists(vector, lambda v: v != 0), F.lit(False))
+    return F.coalesce(finite & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
 def dot(one: Column, two: Column) -> Column:
@@ -57,11 +57,10 @@ def dot(one: Column, two: Column) -> Column:
     return F.aggregate(F.zip_with(one, two, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def most_common_length(vectors: DataFrame, column: str) -> int:
-    """The length that most vectors have (of equally many the larger): others take no part."""
-    sizes = vectors.filter(F.size(column) > 0).groupBy(F.size(column).alias("n")).count()
-    first = sizes.orderBy(F.desc("count"), F.desc("n")).first()
-    return first.n if first else 0
+def lengths(vectors: DataFrame, column: str) -> list[int]:
+    """The lengths that vectors have, the most common first. Vectors are compared with those of their own length."""
+    sizes = vectors.groupBy(F.size(column).alias("n")).count()
+    return [r.n for r in sizes.orderBy(F.desc("count"), F.desc("n")).collect()]  # as many as there are lengths
 
 
 def _x(matrix: np.ndarray, kind: str = "f2") -> pa.Array:

@@ -1,3 +1,5 @@
+import warnings
+
 import numpy as np
 import pytest
 
@@ -24,13 +26,10 @@ def rows_of(seed=1, n=700, dim=12, spread=False):
     return rows + [rows[3], rows[3]]
 
 
-def usable(rows):
-    dim = len(rows[0][1])
-    good = {
-        (i, tuple(v))
-        for i, v, *_ in rows
-        if v is not None and len(v) == dim and all(x is not None and np.isfinite(x) for x in v) and any(v)
-    }
+def usable(rows, dim=None):
+    """Rows that take part, of one length: their ids and vectors, repeated ones as often as they occur."""
+    dim = len(rows[0][1]) if dim is None else dim
+    good = [(i, v) for i, v, *_ in rows if v is not None and len(v) == dim and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     good = sorted(good, key=repr)
     return [g[0] for g in good], np.array([g[1] for g in good])
 
@@ -47,7 +46,7 @@ def test_links_and_components(spark):
     expected |= {r[0]: (0, r[0]) for r in rows if r[0] not in expected}
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
     found = nearvectors.vector_components(docs).collect()
-    assert len(found) == len({r[0] for r in rows})
+    assert len(found) == len(rows)
     got = {r.vec_id: (r.n_links, r.component_id) for r in found}
     exact = sum(got[i] == e for i, e in expected.items())
     assert exact >= 0.99 * len(expected)
@@ -77,6 +76,75 @@ def test_nearest_by_inner_product(spark):
     assert hits / (20 * len(found)) >= 0.95
 
 
+def linked(rows):
+    """Id, links and component of each row, by comparing all rows of a length."""
+    out = []
+    for dim in {len(r[1] or []) for r in rows}:
+        ids, x = usable(rows, dim)
+        if ids:
+            x = x / np.linalg.norm(x, axis=1)[:, None]
+            near = x @ x.T >= 0.95
+            label = np.array(ids)
+            while (lower := np.where(near, label[None], 1 << 60).min(axis=1)).tolist() != label.tolist():
+                label = lower
+            out += [(i, int(n) - 1, int(c), i == c) for i, n, c in zip(ids, near.sum(axis=1), label)]
+    taking_part = {(i, tuple(v)) for d in {len(r[1] or []) for r in rows} for i, v in zip(*usable(rows, d))}
+    return sorted(out + [(r[0], 0, r[0], True) for r in rows if (r[0], tuple(r[1] or [])) not in taking_part])
+
+
+def searched(rows):
+    """Queries, ranks, ids and scores, by comparing all rows of a length."""
+    out = set()
+    for dim in {len(r[1] or []) for r in rows}:
+        ids, x = usable(rows, dim)
+        for at, q in enumerate(ids):
+            if q % 20 == 0:
+                scores = x @ x[at]
+                order = sorted((j for j in range(len(ids)) if j != at), key=lambda j: (-round(scores[j], 9), ids[j]))[:20]
+                out |= {(q, tuple(x[at]), k, ids[j], round(float(scores[j]), 9)) for k, j in enumerate(order, 1)}
+    return sorted((q, k, v, s) for q, _, k, v, s in out)
+
+
+def test_vectors_of_all_lengths_and_repeated_rows(spark):
+    rng = np.random.default_rng(11)
+    vectors = [rng.integers(-8, 9, d).astype(float).tolist() for d in [4] * 30 + [6] * 12 + [3] * 2 + [5]]
+    rows = [(i, v, 0, 0, 0.0) for i, v in enumerate(vectors)]
+    rows += [rows[20]] * 2 + [rows[0], rows[31], rows[40], (200, vectors[40], 0, 0, 0.0), (60, vectors[35], 0, 0, 0.0)]
+    # One id with two vectors, more equal rows than a query lists, and vectors of no length.
+    rows += [(20, vectors[5], 0, 0, 0.0), (20, vectors[36], 0, 0, 0.0), (7, [], 0, 0, 0.0), (8, None, 0, 0, 0.0), (9, [0.0] * 9, 0, 0, 0.0)]
+    rows += [(340, vectors[8], 0, 0, 0.0)] * 25 + [(360 + i, vectors[8], 0, 0, 0.0) for i in range(25)]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert sorted(tuple(r) for r in nearvectors.vector_components(frame).collect()) == linked(rows)
+    got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in ann.nearest(frame).collect())
+    assert got == searched(rows)
+
+
+def test_empty_table(spark):
+    frame = spark.createDataFrame([], SCHEMA)
+    assert nearvectors.vector_components(frame).collect() == [] and ann.nearest(frame).collect() == []
+
+
+def test_recall_without_links_is_not_taken_for_measured(spark):
+    x = np.eye(200)
+    rows = [(i, v.tolist(), 0, 0, 0.0) for i, v in enumerate(x)]
+    with pytest.warns(UserWarning, match="not measured"):
+        found = nearvectors.vector_components(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert all(r.n_links == 0 and r.kept for r in found) and len(found) == 200
+
+
+def test_few_links_among_many_vectors_are_audited(spark):
+    """Planted copies, one vector in a hundred: the audit meets them, and all are linked."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((10_000, 24))
+    x[:100] = x[100:200] + 0.02 * rng.standard_normal((100, 24))
+    rows = [(i, v.tolist(), 0, 0, 0.0) for i, v in enumerate(x.astype(np.float32))]
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        found = nearvectors.vector_components(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
+    hits = sum(r.component_id == r.vec_id - 100 for r in found if 100 <= r.vec_id < 200)
+    assert hits >= 97 and len(found) == 10_000
+
+
 @pytest.mark.parametrize("n", [1, 5])
 def test_few_rows(spark, n):
     rows = [(i * 20, [1.0, float(i)], 0, 0, 0.0) for i in range(n)]
