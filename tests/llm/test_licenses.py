@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -35,6 +36,71 @@ def test_other_texts_have_none(text):
     assert licenses.notices(text) == []
 
 
+@pytest.mark.parametrize(
+    "text, name",
+    [
+        ("Licensed under the GNU Affero General Public License, version 3.", "agpl-3.0"),
+        ("// SPDX-License-Identifier: MIT", "mit"),
+        ("# SPDX-License-Identifier: GPL-2.0-or-later", "gpl-2.0"),
+        ("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, "
+         "provided that the above copyright notice and this permission notice appear in all copies.", "isc"),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", "lgpl-3.0"),
+    ],
+)
+def test_licenses_that_look_alike(text, name):
+    assert [n[2] for n in licenses.notices(text)] == [name]
+
+
+def test_words_that_must_be_absent():
+    assert licenses.notices("This work is licensed under the GNU Library General Public License, version 2.") == []
+
+
+def brute_notices(text):
+    """All templates, compressed and aligned at every sign."""
+    import zstandard as z
+
+    out = []
+    for sign in re.finditer(licenses.SIGNS, text):
+        done = out[-1][1] if out else 0
+        if sign.start() < done:
+            continue
+        fitting = []
+        for k, (name, template, telling) in enumerate(licenses.TEMPLATES):
+            low, high = max(done, sign.start() - len(template)), min(len(text), sign.end() + len(template))
+            data = text[low:high].lower().encode()
+            given = z.ZstdCompressionDict(template.lower().encode(), dict_type=z.DICT_TYPE_RAWCONTENT)
+            pressed = z.ZstdCompressor(level=19, dict_data=given, write_content_size=False, write_dict_id=False).compress(data)
+            saved = len(z.ZstdCompressor(level=19, write_content_size=False).compress(data)) - len(pressed)
+            places = list(re.finditer(r"\w+(?:[.-]\w+)*", text[:high][low:]))
+            wanted = re.findall(r"\w+(?:[.-]\w+)*", template.lower())
+            near = licenses.align(wanted, [p.group().lower() for p in places])
+            wrong = set(telling.split()) & set(near.missing) or set(licenses.ABSENT.get(name, "").split()) & set(near.extra)
+            if saved > 0 and near.differences <= 0.25 * len(wanted) and not wrong:
+                span = low + places[near.first].start(), low + places[near.last - 1].end()
+                fitting.append((near.differences / len(wanted), -len(wanted), k, (*span, name, saved, list(near.missing), list(near.extra))))
+        if fitting:
+            out.append(min(fitting)[3])
+    return out
+
+
+def test_notices_equal_all_templates_at_all_signs():
+    """Templates with words changed, left out and put in, one after the other."""
+    rng = random.Random(8)
+    found = set()
+    for turn in range(60):
+        parts = []
+        for _, template, _ in rng.sample(licenses.TEMPLATES, 3):
+            words = template.split()
+            for _ in range(rng.randrange(4)):
+                words[rng.randrange(len(words))] = rng.choice(["GNU", "", "Lesser", "Affero 2.0", "license", "of the"])
+            parts += [prose(rng, rng.choice([0, 1, 5, 60])), " ".join(words)]
+        text = " ".join(parts)
+        got = licenses.notices(text)
+        assert got == brute_notices(text)
+        found |= {n[2] for n in got}
+    assert len(found) > 12
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
