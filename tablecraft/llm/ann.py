@@ -38,7 +38,7 @@ from .nndescent import (
 )
 
 TOP = 20
-GRAPH = Settings(neighbours=40, sample=20, kind="f4")
+GRAPH = Settings(neighbours=40, sample=20, even=True, kind="f4")
 #: Best nodes of a query that must be expanded, nodes expanded per round, and pool entries kept.
 BEAM, STEP, POOL = 224, 96, 640
 #: Queries that recall is measured with at most, and what it must reach.

@@ -5,6 +5,10 @@ from blocks of vectors that random hyperplanes sort next to each other. Then, ro
 neighbours of a node (and those it is a neighbour of) are joined with each other: whatever comes nearer
 than the last of a list takes its place, until few lists change.
 
+In a round every bucket with a center that a node is near to may improve the node's list, so proposals grow with
+the buckets, up to the lists' lengths, for as long as lists change. ``even`` blocks, large ones with all pairs
+compared, find most entries before the first round; what lists have already is never proposed.
+
 Nodes are dealt to buckets of bounded size. A round shuffles links, and each vector once to each bucket
 that needs it; similarities are computed per bucket, and only improvements leave it. Every round is written
 to the shared folder. What one task holds is bounded by the bucket and the lists' lengths.
@@ -25,7 +29,7 @@ from ..session import settle
 
 SEED = 20
 #: Nodes per bucket at most. A round sends each vector to every bucket that needs it, so larger buckets mean
-#: fewer copies; a task holds at most this many lists and the vectors in them, if those are of half precision, and
+#: fewer copies; a task holds at most this many lists and the vectors in them, with their own lists, if those are of half precision, and
 #: half as many in single precision.
 BUCKET = 26_000
 LIST = "node long, x binary, ids array<long>, sims array<float>, fresh array<boolean>, bucket int"
@@ -35,12 +39,14 @@ LIST = "node long, x binary, ids array<long>, sims array<float>, fresh array<boo
 class Settings:
     """``neighbours`` in a list, of which ``sample`` new and old ones each join per round; ``tables`` sorted
     orders cut in blocks of ``leaf`` start the lists; rounds end when fewer than ``still`` of all entries
-    change. ``kind`` is the numpy type of the vectors' components."""
+    change. ``even`` blocks hold as many nodes as a bucket, however the rows are partitioned, instead of ``leaf``.
+    ``kind`` is the numpy type of the vectors' components."""
 
     neighbours: int = 40
     sample: int = 20
     tables: int = 8
     leaf: int = 256
+    even: bool = False
     still: float = 0.01
     seed: int = SEED
     kind: str = "f2"
@@ -169,14 +175,66 @@ def _blocks(batches: Iterator[pa.RecordBatch], s: Settings, buckets: int) -> Ite
         yield near(nodes, rows)
 
 
+def _closest(x: np.ndarray, size: int, rows: int = 512) -> list[np.ndarray]:
+    """The ``size`` nearest other rows of each row of ``x``: rows, neighbours and similarities. ``rows`` are compared at a time."""
+    found, size, groups = [], min(size, len(x) - 1), 4 * size
+    for lo in range(0, len(x), rows):
+        sims = x[lo : lo + rows] @ x.T
+        own = np.arange(len(sims))
+        sims[own, lo + own] = -np.inf
+        least, wide = np.full(len(sims), -4.0, np.float32), len(x) // groups
+        if wide > 1:  # as many groups of rows as asked for hold something as near as this
+            tops = sims[:, : wide * groups].reshape(len(sims), wide, groups).max(axis=1)
+            least = np.partition(tops, groups - size, axis=1)[:, groups - size]
+        a, b = np.nonzero(sims >= least[:, None])
+        if wide > 1 and len(a) > 4 * groups * len(sims):  # copies, all equally near
+            b = np.argpartition(-sims, size - 1, axis=1)[:, :size].ravel()
+            a = np.repeat(own, size)
+        value = sims[a, b]
+        by, place = _rank(a, -value, b)
+        by = by[place < size]
+        found.append((lo + a[by], b[by], value[by]))
+    return [np.concatenate(f) for f in zip(*found)]
+
+
+def _even(places: DataFrame, s: Settings, buckets: int) -> DataFrame:
+    """Each node's nearest in as many blocks of equal size as there are buckets, for each order."""
+    # Cells in order, within them the side; nodes in the same place by hash.
+    hashed = F.pmod(F.xxhash64("node"), F.lit(1_000_000)) * F.lit(1e-12)
+    placed = places.select("t", (F.col("code") + 1 / (1 + F.exp(-F.col("side"))) + hashed).alias("place"), "node", "x")
+    cuts: dict[int, list[float]] = {}
+    if buckets > 1:
+        shares = F.percentile_approx("place", [k / buckets for k in range(1, buckets)], max(10_000, 20 * buckets))
+        cuts = {r.t: r.cuts for r in placed.groupBy("t").agg(shares.alias("cuts")).collect()}  # a number per block
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t, place = _array(batch.column("t")), _array(batch.column("place"))
+            block = np.zeros(len(t), np.int32)
+            for k in np.unique(t):
+                block[t == k] = np.searchsorted(cuts.get(int(k), []), place[t == k])
+            yield pa.RecordBatch.from_arrays([batch.column("t"), pa.array(block), batch.column("node"), batch.column("x")], ["t", "block", "node", "x"])
+
+    def near(block: pa.Table) -> pa.Table:
+        block = block.sort_by("node")
+        nodes, x = _array(block["node"]), _matrix(block["x"], s.kind)
+        owners, ids, sims = _closest(x, s.neighbours) if len(nodes) > 1 else [np.empty(0, np.int64)] * 2 + [np.empty(0)]
+        columns = _lists(owners, np.arange(len(nodes)), [nodes[ids], sims.astype(np.float32)])
+        return pa.table([block["node"], *columns, pa.array((nodes % buckets).astype(np.int32))], names=["node", "ids", "sims", "bucket"])
+
+    dealt = placed.mapInArrow(deal, "t int, block int, node long, x binary")
+    return dealt.groupBy("t", "block").applyInArrow(near, "node long, ids array<long>, sims array<float>, bucket int")
+
+
 def _start(nodes: DataFrame, count: int, s: Settings, buckets: int) -> DataFrame:
     """First lists: per table the nodes sorted by the sides of random hyperplanes that they lie on."""
     bits = max(1, int(np.log2(max(2, count / s.leaf))))
+    tables = 1 if s.even and buckets == 1 else s.tables
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, node = _matrix(batch.column("x"), s.kind), batch.column("node")
-            for t in range(s.tables):
+            for t in range(tables):
                 planes = np.random.default_rng([s.seed, t]).standard_normal((x.shape[1], bits + 1)).astype(np.float32)
                 sides = x @ planes
                 code = ((sides[:, :bits] > 0) << np.arange(bits)).sum(axis=1).astype(np.int64)
@@ -186,11 +244,14 @@ def _start(nodes: DataFrame, count: int, s: Settings, buckets: int) -> DataFrame
                 )
 
     places = nodes.select("node", "x").mapInArrow(coded, "t int, code long, side double, node long, x binary")
-    order = ["t", "code", "side", "node"]
-    blocks = places.repartitionByRange(*order).sortWithinPartitions(*order)
-    proposals = blocks.select("t", "node", "x").mapInArrow(
-        lambda batches: _blocks(batches, s, buckets), "node long, ids array<long>, sims array<float>, bucket int"
-    )
+    if s.even:
+        proposals = _even(places, s, buckets)
+    else:
+        order = ["t", "code", "side", "node"]
+        blocks = places.repartitionByRange(*order).sortWithinPartitions(*order)
+        proposals = blocks.select("t", "node", "x").mapInArrow(
+            lambda batches: _blocks(batches, s, buckets), "node long, ids array<long>, sims array<float>, bucket int"
+        )
     empty = nodes.select(
         "node", "x", *[F.array().cast(k).alias(c) for c, k in (("ids", "array<long>"), ("sims", "array<float>"), ("fresh", "array<boolean>"))],
         (F.col("node") % buckets).cast("int").alias("bucket"),
@@ -270,16 +331,25 @@ def _gathered(lists: DataFrame, turn: int, s: Settings, buckets: int) -> DataFra
     )
 
 
+def _known(lists: pa.ChunkedArray, order: np.ndarray, member: np.ndarray, size: int) -> np.ndarray:
+    """Per member, in order, the places that the entries of its list have among the members; -1 for the others."""
+    row, ids = _flat(lists)
+    at = np.minimum(np.searchsorted(member, ids), max(0, len(member) - 1))
+    known, turned = np.full((len(member), size), -1, np.int32), np.argsort(order)
+    known[turned[row], np.arange(len(row)) - np.searchsorted(row, row)] = np.where(member[at] == ids, at, -1)
+    return known
+
+
 def _joined(gathered: DataFrame, lists: DataFrame, s: Settings, buckets: int) -> DataFrame:
-    """Proposals from joining the nodes around each center with each other."""
+    """Proposals from joining the nodes around each center with each other: only entries that lists do not have."""
     members = gathered.select(F.col("bucket").alias("at"), F.explode(F.concat("fresh", "old")).alias("member")).distinct()
     last = F.when(F.size("sims") >= s.neighbours, F.element_at("sims", -1)).otherwise(F.lit(-4.0).cast("float"))
-    known = lists.select(F.col("node").alias("member"), "x", last.alias("last"))
-    vectors = members.join(known, "member")
+    vectors = members.join(lists.select(F.col("node").alias("member"), "x", last.alias("last"), "ids"), "member")
 
     def join(centers: pa.Table, vectors: pa.Table) -> pa.Table:
-        vectors = vectors.sort_by("member")
-        member, x, last = _array(vectors["member"]), _packed(vectors["x"], s.kind), _array(vectors["last"])
+        order = np.argsort(_array(vectors["member"]))
+        member, x, last = _array(vectors["member"])[order], _packed(vectors["x"], s.kind), _array(vectors["last"])[order]
+        known = _known(vectors["ids"], order, member, s.neighbours)
         sides = []
         for name in ("fresh", "old"):
             row, ids = _flat(centers[name])
@@ -289,15 +359,16 @@ def _joined(gathered: DataFrame, lists: DataFrame, s: Settings, buckets: int) ->
         for i in range(len(centers)):
             new, old = (at[ends[i] : ends[i + 1]] for ends, at in sides)
             every = np.concatenate([new, old])
-            around = x[every].astype(np.float32)
+            around = x[order[every]].astype(np.float32)
             sims = around[: len(new)] @ around.T
             a, b = np.nonzero((sims > np.minimum(last[new][:, None], last[every][None])) & (new[:, None] != every[None]))
             value = sims[a, b]
             a, b = new[a], every[b]
             for one, two in ((a, b), (b, a)):
-                better = value > last[one]
+                better = np.flatnonzero(value > last[one])
+                better = better[(known[one[better]] != two[better][:, None]).all(axis=1)]  # what a list has is no improvement
                 found.append((one[better], two[better], value[better]))
-                size += int(better.sum())
+                size += len(better)
             if size > 2_000_000:
                 held, found, size = best(*(np.concatenate([h, *f]) for h, f in zip(held, zip(*found))), s.neighbours), [], 0
         if found:
@@ -325,10 +396,13 @@ def neighbour_graph(nodes: DataFrame, count: int, s: Settings) -> DataFrame:
 
     ``x`` holds unit vectors of the settings' precision (``unit_column``, ``lifted_column``); similarities are their inner products.
     ``node`` must be unique and not negative. The number of rounds follows from the data, as each must
-    change at least ``still`` of all entries for another one to follow.
+    change at least ``still`` of all entries for another one to follow. Where ``even`` blocks hold all nodes
+    of the only bucket, the lists are exact and no round follows.
     """
     buckets = buckets_for(count, s)
     lists = settle(_start(nodes, count, s, buckets), "lists")
+    if s.even and buckets == 1:
+        return lists
     turn = 1
     while True:
         gathered = settle(_gathered(lists, turn, s, buckets), "gathered")

@@ -211,3 +211,49 @@ def test_nearest_beside_a_very_long_vector(spark):
     x = np.random.default_rng(6).standard_normal((1_000, 16))
     x[7] *= 1e7
     assert reached(spark, x) >= 0.93
+
+
+def test_nearest_rows_of_a_block():
+    """All pairs of a block are compared, whether its rows differ or are copies of each other."""
+    rng = np.random.default_rng(13)
+    x = rng.standard_normal((1_300, 16)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[400:] = x[400]
+    for size, part in ((7, x), (7, x[:400]), (7, x[:5]), (40, x[:2])):
+        rows, near, sims = nndescent._closest(part, size, rows=100)
+        every = part @ part.T
+        np.fill_diagonal(every, -np.inf)
+        count = min(size, len(part) - 1)
+        assert rows.tolist() == np.repeat(np.arange(len(part)), count).tolist() and (rows != near).all()
+        assert len(set(zip(rows.tolist(), near.tolist()))) == len(rows)
+        assert np.allclose(sims.reshape(-1, count), -np.sort(-every, axis=1)[:, :count], atol=1e-5)
+
+
+@pytest.mark.parametrize("dense", [False, True])
+def test_proposals_do_not_grow_with_the_buckets(spark, monkeypatch, dense):
+    """Rows out of the joins of all rounds, in four buckets: only entries that lists lack leave, and few are lacking."""
+    monkeypatch.setattr(nndescent, "BUCKET", 800)
+    rng = np.random.default_rng(14)
+    x = rng.standard_normal((1_600, 24))
+    if dense:
+        x[:700] = x[0] + 0.05 * rng.standard_normal((700, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    join, made = nndescent._joined, []
+
+    def joined(gathered, lists, *rest):
+        proposals = nndescent.settle(join(gathered, lists, *rest), "proposals")
+        entries = proposals.select("node", nndescent.F.explode("ids").alias("id"))
+        assert entries.join(lists.select("node", nndescent.F.explode("ids").alias("id")), ["node", "id"]).isEmpty()
+        made.append(proposals.count())
+        return proposals
+
+    monkeypatch.setattr(nndescent, "_joined", joined)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, vector array<double>")
+    nodes = nndescent.settle(vectors.select("node", nndescent.lifted_column("f4")("vector", nndescent.F.lit(1.0)).alias("x")), "nodes")
+    assert nndescent.buckets_for(len(x), ann.GRAPH) == 4
+    lists = {r.node: r.ids for r in nndescent.neighbour_graph(nodes, len(x), ann.GRAPH).select("node", "ids").collect()}
+    every = x @ x.T
+    np.fill_diagonal(every, -np.inf)
+    truth = np.argsort(-every, axis=1)[:, :40]
+    assert made and sum(made) <= 2 * len(x)
+    assert np.mean([len(set(t) & set(lists[i])) / 40 for i, t in enumerate(truth.tolist())]) >= 0.95
